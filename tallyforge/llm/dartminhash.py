@@ -40,8 +40,8 @@ from .shared import free_name, written
 
 COORDINATES = 128
 SHINGLE = 3
-BANDS, ROWS = 25, 5
-SIMILARITY = 0.6
+BANDS, ROWS = 32, 4
+SIMILARITY = 0.5
 SEED = 1_299_709
 _LEVEL_0 = -8
 
@@ -231,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct("b", "m"))).alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
+        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         now = written(small, "edges")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:

@@ -98,7 +98,7 @@ def _folded(names: list[str], keep_copies: bool):
                     continue
                 length[i] = len(texts[i])
                 digest[i] = xxhash.xxh3_64_intdigest(texts[i]) - (1 << 63)
-                found = trie.insert(int(length[i]).to_bytes(8, "big") + int(digest[i] + (1 << 63)).to_bytes(8, "big") + texts[i], i)
+                found = trie.insert(int(length[i]).to_bytes(8, "big") + (int(digest[i]) + (1 << 63)).to_bytes(8, "big") + texts[i], i)
                 first[i] = found == i
                 owner[i] = ids[found]
             moved = pc.if_else(pa.array(first), batch.column(1), pa.nulls(n, batch.column(1).type))

@@ -2,24 +2,27 @@
 
 A factor is a passage of a document that is copied, byte for byte, from a document
 with a smaller id (its reference).  Comparing each document with every reference
-would be quadratic, so the references are indexed in blocks by content: of the
-runs of K words of each document those are kept that have the smallest hash in a
-window of W runs, and a block (a shuffle partition) holds all of one hash.  Two
-documents that share K + W - 1 words share such a run, so a document meets each
-reference block that could hold a long factor of it, and no other.
-
-In a block the first document of a run is the reference of all others.  Runs on
-one diagonal (same document, same reference, same distance of the places) give a
-candidate; the bytes of both are cut out, as far as the next kept run could be,
-and compared.  The comparison goes on over factor boundaries, so a factor that was
-interrupted by a run known from elsewhere becomes one.  Factors of MIN_WORDS whole
-words or more count; a greedy parse from left to right takes, at each place, the
-factor that reaches furthest.  Shorter factors and literals are not given.
+would be quadratic, so the references are indexed in blocks by content.  Of the
+RUN_WORDS-word runs in every window of MIN_WORDS words one is the window's anchor,
+the run with the smallest hash, and a block (a shuffle partition) holds all anchors
+of one hash, each with the hashes of the windows it stands for.  Equal windows have
+equal anchors at equal places, so a document meets each reference block that could
+hold a factor of it, and no other.
+
+In a block the first document with a window is the reference of all others that
+have that window; thus a window that occurs in any document with a smaller id has
+a reference, whatever shorter runs it shares with others.  Windows on one diagonal
+(same document, same reference, same distance of the places) give a candidate; the
+bytes of both are cut out and compared.  The comparison goes on over factor
+boundaries, so a factor that was interrupted by a window known from elsewhere
+becomes one.  Factors of MIN_WORDS whole words or more count; a greedy parse from
+left to right takes, at each place, the factor that reaches furthest.  Shorter
+factors and literals are not given.
 
 Defined results
 * null text, and texts of fewer than MIN_WORDS words: no factor
 * places are offsets in the bytes of the UTF-8 text; a factor starts and ends at word boundaries
-* a document is never its own reference; rows that repeat an id are one document (the first text in byte order)
+* a document is never its own reference; of rows that repeat an id each is compared with other ids' rows only
 * equal reach: the reference with the smallest id
 * a null id takes no part; an empty table gives an empty result; extra columns are ignored
 * very long texts are parsed whole
@@ -38,73 +41,97 @@ from .batches import U64, Words, slices, utf8
 from .dartminhash import _edges_of, _runs
 
 RUN_WORDS = 16
-WINDOW_RUNS = 34
 MIN_WORDS = 50
 
 
-def anchors(data: np.ndarray, at: np.ndarray, k: int = RUN_WORDS, w: int = WINDOW_RUNS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, place, bytes back, bytes forth) of the kept runs; back and forth reach as far as the next kept run may be."""
-    words = Words(data, at, lower=False)
-    n_words = np.diff(words.first)
-    n = np.maximum(n_words - k + 1, 0)
-    total = int(n.sum())
-    if not total:
-        none = np.zeros(0, np.int64)
-        return none, none.astype(U64), none, none, none
-    doc = np.repeat(np.arange(len(n)), n)
-    ends = np.cumsum(n)
-    place = np.arange(total) - np.repeat(ends - n, n)
-    word = words.first[doc] + place
-    h = words.span_hash(words.start[word], words.end[word + k - 1])
-    packed = (h & U64(0xFFFFFFFF00000000)) | np.arange(total, dtype=U64)
-    low, size = packed.copy(), 1
-    while size * 2 <= w:
-        low[: total - size] = np.minimum(low[: total - size], low[size:])
-        size *= 2
-    if size < w:
-        step = w - size
-        low[: total - step] = np.minimum(low[: total - step], low[step:])
-    whole = np.repeat(ends, n) - np.arange(total) >= w
-    kept = np.zeros(total, bool)
-    kept[(low[whole] & U64(0xFFFFFFFF)).astype(np.int64)] = True
-    few = np.flatnonzero((n > 0) & (n < w))
-    if len(few):
-        bounds = np.stack([ends[few] - n[few], ends[few]], axis=1).ravel()
-        kept[(np.minimum.reduceat(np.append(packed, U64(0xFFFFFFFFFFFFFFFF)), bounds)[::2] & U64(0xFFFFFFFF)).astype(np.int64)] = True
-    at_kept = np.flatnonzero(kept)
-    d, wd = doc[at_kept], word[at_kept]
-    reach = k + w
-    back = words.start[np.maximum(wd - reach, words.first[d])]
-    forth = words.end[np.minimum(wd + k + reach, words.first[d + 1]) - 1]
-    origin = at[d]
-    start = words.start[wd]
-    return d, h[at_kept], start - origin, start - back, forth - start
-
-
-def _anchor_batches(k: int, w: int):
+class Anchors:
+    """Anchors of a batch of texts.  Windows of one anchor follow one another, so each anchor stands for a stretch of windows."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, k: int = RUN_WORDS, least: int = MIN_WORDS):
+        words = Words(data, at, lower=False)
+        w = least - k + 1
+        n = np.maximum(np.diff(words.first) - k + 1, 0)
+        n[n < w] = 0
+        total = int(n.sum())
+        self.doc = self.hash = self.place = self.back = self.forth = self.shift = self.size = np.zeros(0, np.int64)
+        self.windows = np.zeros(0, np.uint32)
+        if not total:
+            return
+        doc = np.repeat(np.arange(len(n)), n)
+        ends = np.cumsum(n)
+        word = words.first[doc] + np.arange(total) - np.repeat(ends - n, n)
+        h = words.span_hash(words.start[word], words.end[word + k - 1])
+        low, size = (h & U64(0xFFFFFFFF00000000)) | np.arange(total, dtype=U64), 1
+        while size * 2 <= w:
+            low[: total - size] = np.minimum(low[: total - size], low[size:])
+            size *= 2
+        if size < w:
+            step = w - size
+            low[: total - step] = np.minimum(low[: total - step], low[step:])
+        window = np.flatnonzero(np.repeat(ends, n) - np.arange(total) >= w)
+        anchor = (low[window] & U64(0xFFFFFFFF)).astype(np.int64)
+        self.windows = (words.span_hash(words.start[word[window]], words.end[word[window] + least - 1]) >> U64(32)).astype(np.uint32)
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(anchor)) - 1
+        run = anchor[first]
+        self.doc, self.hash = doc[run], h[run].view(np.int64)
+        #: of the run, in bytes of its text; how far the windows reach back and forth from there; words from the first window to the run; number of windows
+        start = words.start[word[run]]
+        self.place = start - at[self.doc]
+        self.back = start - words.start[word[window[first]]]
+        self.forth = words.end[word[window[last]] + least - 1] - start
+        self.shift = run - window[first]
+        self.size = last - first + 1
+
+
+def _anchor_batches(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                doc, h, start, back, forth = anchors(*utf8(part.column(1)), k, w)
-                ids = part.column(0).to_numpy()[doc]
-                # Place and reach in one number: rows of the shuffle are as short as can be.
-                packed = (start << 32) | (np.minimum(back, 0xFFFF) << 16) | np.minimum(forth, 0xFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(packed)], names=["h", "id", "at"])
+                a = Anchors(*utf8(part.column(1)), k, least)
+                ends = np.concatenate([[0], np.cumsum(a.size)]) * 4
+                windows = pa.Array.from_buffers(pa.binary(), len(a.size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(a.windows)])
+                ids = part.column(0).to_numpy()[a.doc]
+                columns = [pa.array(c) for c in (a.hash, ids, a.place, a.back.astype(np.int32), a.forth.astype(np.int32), a.shift.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, windows], names=["h", "id", "place", "back", "forth", "shift", "windows"])
 
     return run
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a block: each run of a hash against the first document that has it."""
+    """Within a block: each window against the first document that has it."""
     for table in _runs(batches):
-        h, doc, at = (table.column(i).to_numpy() for i in range(3))
+        h, doc = table.column(0).to_numpy(), table.column(1).to_numpy()
         edges = _edges_of(h)
-        first = np.repeat(edges[:-1], np.diff(edges))
-        other = doc != doc[first]
-        if other.any():
-            place, owner_place = at[other] >> 32, at[first[other]] >> 32
-            start, end = place - ((at[other] >> 16) & 0xFFFF), place + (at[other] & 0xFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(doc[first[other]]), pa.array(place - owner_place), pa.array(start), pa.array(end)], names=["id", "ref", "diagonal", "start", "end"])
+        # Only anchors that two documents have can have windows in common; ids are sorted within an anchor.
+        shared = np.repeat(doc[edges[:-1]] != doc[edges[1:] - 1], np.diff(edges))
+        rows = np.flatnonzero(shared)
+        if not len(rows):
+            continue
+        few = table.take(pa.array(rows))
+        h, doc = h[rows], doc[rows]
+        place, back, forth, shift = (few.column(i).to_numpy().astype(np.int64) for i in range(2, 6))
+        parts = few.column(6).combine_chunks() if isinstance(few.column(6), pa.ChunkedArray) else few.column(6)
+        _, offsets, body = parts.buffers()
+        at = np.frombuffer(offsets, np.int32)[parts.offset : parts.offset + len(parts) + 1] // 4
+        window = np.frombuffer(body, np.uint32)[at[0] : at[-1]]
+        size = np.diff(at)
+        row = np.repeat(np.arange(len(rows)), size)
+        # Words from the window to its run: at most MIN_WORDS, so it fits beside the number of the anchor.
+        step = np.repeat(shift, size) - (np.arange(len(row)) - np.repeat(at[:-1] - at[0], size))
+        block = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        key = (block[row] << 8 | step).view(U64) << U64(32) | window
+        order = np.argsort(key, kind="stable")
+        starts = _edges_of(key[order])
+        first = np.repeat(order[starts[:-1]], np.diff(starts))
+        pairs = np.unique((row[order].astype(U64) << U64(32)) | row[first].astype(U64))
+        mine, other = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
+        differ = doc[mine] != doc[other]
+        mine, other = mine[differ], other[differ]
+        if len(mine):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[mine], doc[other], place[mine] - place[other], place[mine] - back[mine], place[mine] + forth[mine])], names=["id", "ref", "diagonal", "start", "end"])
 
 
 def common_runs(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -182,11 +209,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """(id, start, end, ref_id, ref_start): passages of min_words words or more copied from a document with a smaller id."""
-    if min_words <= run_words:
-        raise ValueError("min_words must exceed run_words")
-    window = min_words - run_words
+    if not run_words < min_words < 256:
+        raise ValueError("min_words must exceed run_words and be less than 256")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    runs = docs.mapInArrow(_anchor_batches(run_words, window), "h long, id long, at long").repartition("h").sortWithinPartitions("h", "id", "at")
+    schema = "h long, id long, place long, back int, forth int, shift int, windows binary"
+    runs = docs.mapInArrow(_anchor_batches(run_words, min_words), schema).repartition("h").sortWithinPartitions("h", "id", "place")
     found = runs.mapInArrow(_matched, "id long, ref long, diagonal long, start long, end long")
     wanted = found.groupBy("id", "ref", "diagonal").agg(F.greatest(F.min("start"), F.col("diagonal")).alias("start"), F.max("end").alias("end"))
     wanted = wanted.withColumn("request", F.xxhash64("id", "ref", "diagonal"))
