@@ -102,36 +102,36 @@ def longitudinal_panel(df: DataFrame, spec: Spec, entity: str, time: str, time_o
         lo, hi, slo, shi = (F.col(f"{c}{i}") for c in ("lo", "hi", "slo", "shi"))
         return F.when(lo.isNull() & slo.isNull(), 0).when((lo == hi) | (slo == shi), 1).otherwise(2)
 
-    long = cells.select("id", "t", F.explode(F.array(*[F.struct(F.lit(order[n]).alias("v"), F.lit(n).alias("variable"), state(i).alias("k"), F.col(f"lo{i}").alias("x")) for i, (n, _, _) in enumerate(sides)])).alias("e")).select("id", "t", "e.*") if sides else spark.createDataFrame([], "id string, t int, v int, variable string, k int, x double")
-    used = F.broadcast(spark.createDataFrame([(order[n], n) for n, _, _ in sides], "v int, variable string"))
+    long = cells.select("id", "t", F.explode(F.array(*[F.struct(F.lit(order[n]).alias("vx"), F.lit(n).alias("variable"), state(i).alias("k"), F.col(f"lo{i}").alias("x")) for i, (n, _, _) in enumerate(sides)])).alias("e")).select("id", "t", "e.*") if sides else spark.createDataFrame([], "id string, t int, vx int, variable string, k int, x double")
+    used = F.broadcast(spark.createDataFrame([(order[n], n) for n, _, _ in sides], "vx int, variable string"))
     grid = used.crossJoin(times)
-    by = long.groupBy("v", "t").agg(*[F.sum((F.col("k") == i).cast("long")).alias(c) for i, c in ((1, "u"), (0, "m"), (2, "x"))])
+    by = long.groupBy("vx", "t").agg(*[F.sum((F.col("k") == i).cast("long")).alias(c) for i, c in ((1, "u"), (0, "m"), (2, "x"))])
     u, m, x = z("u"), z("m"), z("x")
     present = u + m + x
-    by_time = grid.join(by, ["v", "t"], "left").select(F.col("v").alias("variable_index"), "variable", F.col("t").alias("time_index"), "timepoint", present.alias("n_present_entities"), u.alias("n_usable"), m.alias("n_missing"), x.alias("n_conflicting"), *[c for a, k in (("usable", u), ("missing", m), ("conflicting", x)) for c in (k.alias(f"{a}_numerator"), present.alias(f"{a}_denominator"), safe_div(k, present).alias(f"p_{a}"))])
+    by_time = grid.join(by, ["vx", "t"], "left").select(F.col("vx").alias("variable_index"), "variable", F.col("t").alias("time_index"), "timepoint", present.alias("n_present_entities"), u.alias("n_usable"), m.alias("n_missing"), x.alias("n_conflicting"), *[c for a, k in (("usable", u), ("missing", m), ("conflicting", x)) for c in (k.alias(f"{a}_numerator"), present.alias(f"{a}_denominator"), safe_div(k, present).alias(f"p_{a}"))])
     usable_t = F.when(F.col("k") == 1, F.col("t"))
-    wv = Window.partitionBy("v", "id")
+    wv = Window.partitionBy("vx", "id")
     inside = long.select("*", F.min(usable_t).over(wv).alias("a"), F.max(usable_t).over(wv).alias("b"))
-    own = inside.groupBy("v", "id").agg(F.sum((F.col("k") == 1).cast("int")).alias("usable"), F.count(F.lit(1)).alias("present"), F.max(((F.col("k") == 0) & (F.col("t") > F.col("a")) & (F.col("t") < F.col("b"))).cast("int")).alias("interior"))
-    own = materialised(own.groupBy("v", "usable", "present", F.coalesce("interior", F.lit(0)).alias("interior")).agg(F.count(F.lit(1)).alias("n")), "panel-entities")
+    own = inside.groupBy("vx", "id").agg(F.sum((F.col("k") == 1).cast("int")).alias("usable"), F.count(F.lit(1)).alias("present"), F.max(((F.col("k") == 0) & (F.col("t") > F.col("a")) & (F.col("t") < F.col("b"))).cast("int")).alias("interior"))
+    own = materialised(own.groupBy("vx", "usable", "present", F.coalesce("interior", F.lit(0)).alias("interior")).agg(F.count(F.lit(1)).alias("n")), "panel-entities")
     su = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    entity_summary = used.join(own, "v", "left").groupBy(F.col("v").alias("variable_index"), "variable").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_valid_entities"), su(F.col("usable") == 0).alias("n_never_observed"), su(F.col("usable") > 0).alias("n_observed_at_least_once"), su(F.col("usable") == F.col("present")).alias("n_complete_among_present"), su(F.col("usable") != F.col("present")).alias("n_incomplete_among_present"))
+    entity_summary = used.join(own, "vx", "left").groupBy(F.col("vx").alias("variable_index"), "variable").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_valid_entities"), su(F.col("usable") == 0).alias("n_never_observed"), su(F.col("usable") > 0).alias("n_observed_at_least_once"), su(F.col("usable") == F.col("present")).alias("n_complete_among_present"), su(F.col("usable") != F.col("present")).alias("n_incomplete_among_present"))
     steps = F.broadcast(spark.createDataFrame([(i,) for i in range(n_times + 1)], "usable int"))
-    distribution = used.crossJoin(steps).join(own.groupBy("v", "usable").agg(F.sum("n").alias("n")), ["v", "usable"], "left").select(F.col("v").alias("variable_index"), "variable", F.col("usable").alias("n_usable_measurements"), z("n").alias("n_entities"))
-    interior = used.join(own, "v", "left").groupBy(F.col("v").alias("variable_index"), "variable").agg(su(F.col("interior") == 1).alias("n_entities_interior_missing"))
+    distribution = used.crossJoin(steps).join(own.groupBy("vx", "usable").agg(F.sum("n").alias("n")), ["vx", "usable"], "left").select(F.col("vx").alias("variable_index"), "variable", F.col("usable").alias("n_usable_measurements"), z("n").alias("n_entities"))
+    interior = used.join(own, "vx", "left").groupBy(F.col("vx").alias("variable_index"), "variable").agg(su(F.col("interior") == 1).alias("n_entities_interior_missing"))
 
     numeric_names = [n for n, _, _ in sides if spec[n].analysis_type in NUMERIC]
     nums = long.where(F.col("variable").isin(numeric_names or [""]))
-    wn = Window.partitionBy("v", "id").orderBy("t")
-    lagged = nums.select("v", "variable", "id", "t", "k", "x", F.lag("t").over(wn).alias("t0"), F.lag("k").over(wn).alias("k0"), F.lag("x").over(wn).alias("x0"))
-    adjacent = _changes(lagged.where("t0 = t - 1").select("v", "variable", F.col("t0").alias("from"), "k0", "x0", "k", "x"), ["v", "variable", "from"])
-    pairs = F.broadcast(spark.createDataFrame([(order[n], n, i) for n in numeric_names for i in range(1, n_times)], "v int, variable string, `from` int"))
-    change_adjacent = pairs.join(adjacent.drop("variable"), ["v", "from"], "left").join(times.select(F.col("t").alias("from"), F.col("timepoint").alias("from_timepoint")), "from").join(times.select((F.col("t") - 1).alias("from"), F.col("timepoint").alias("to_timepoint")), "from")
-    change_adjacent = change_adjacent.select(F.col("from").alias("from_time_index"), "from_timepoint", (F.col("from") + 1).alias("to_time_index"), "to_timepoint", F.col("v").alias("variable_index"), "variable", *_change_columns())
-    ends = nums.groupBy("v", "variable", "id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("k", "x"), "t").alias("a"), F.max_by(F.struct("k", "x"), "t").alias("b"))
-    lasting = _changes(ends.where("n > 1").select("v", "variable", F.col("a.k").alias("k0"), F.col("a.x").alias("x0"), F.col("b.k").alias("k"), F.col("b.x").alias("x")), ["v", "variable"])
-    single = ends.groupBy("v").agg(F.count(F.lit(1)).alias("present"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
-    first_last = used.where(F.col("variable").isin(numeric_names or [""])).join(single, "v", "left").join(lasting.drop("variable"), "v", "left").select(F.col("v").alias("variable_index"), "variable", z("present").alias("n_entities_with_presence"), z("single").alias("n_excluded_single_timepoint"), *_change_columns())
+    wn = Window.partitionBy("vx", "id").orderBy("t")
+    lagged = nums.select("vx", "variable", "id", "t", "k", "x", F.lag("t").over(wn).alias("t0"), F.lag("k").over(wn).alias("k0"), F.lag("x").over(wn).alias("x0"))
+    adjacent = _changes(lagged.where("t0 = t - 1").select("vx", "variable", F.col("t0").alias("from"), "k0", "x0", "k", "x"), ["vx", "variable", "from"])
+    pairs = F.broadcast(spark.createDataFrame([(order[n], n, i) for n in numeric_names for i in range(1, n_times)], "vx int, variable string, `from` int"))
+    change_adjacent = pairs.join(adjacent.drop("variable"), ["vx", "from"], "left").join(times.select(F.col("t").alias("from"), F.col("timepoint").alias("from_timepoint")), "from").join(times.select((F.col("t") - 1).alias("from"), F.col("timepoint").alias("to_timepoint")), "from")
+    change_adjacent = change_adjacent.select(F.col("from").alias("from_time_index"), "from_timepoint", (F.col("from") + 1).alias("to_time_index"), "to_timepoint", F.col("vx").alias("variable_index"), "variable", *_change_columns())
+    ends = nums.groupBy("vx", "variable", "id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("k", "x"), "t").alias("a"), F.max_by(F.struct("k", "x"), "t").alias("b"))
+    lasting = _changes(ends.where("n > 1").select("vx", "variable", F.col("a.k").alias("k0"), F.col("a.x").alias("x0"), F.col("b.k").alias("k"), F.col("b.x").alias("x")), ["vx", "variable"])
+    single = ends.groupBy("vx").agg(F.count(F.lit(1)).alias("present"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
+    first_last = used.where(F.col("variable").isin(numeric_names or [""])).join(single, "vx", "left").join(lasting.drop("variable"), "vx", "left").select(F.col("vx").alias("variable_index"), "variable", z("present").alias("n_entities_with_presence"), z("single").alias("n_excluded_single_timepoint"), *_change_columns())
 
     plain = counts.crossJoin(cel).select(F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(code).alias("issue_code"), F.col(c).alias("n_affected"), F.lit(text).alias("message")) for i, (code, c, text) in enumerate((("missing_entity_id", "n_missing_id", "rows without an entity id take no part"), ("blank_entity_id", "n_blank_id", "rows with a blank entity id take no part"), ("missing_time", "n_missing_time", "rows without a known time take no part"), ("duplicate_id_time", "n_duplicate_cells", "cells hold several rows")))])).alias("i")).select("i.*").where("n_affected > 0")
     none = lambda k, a: F.lit(None).cast(k).alias(a)

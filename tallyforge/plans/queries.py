@@ -578,7 +578,7 @@ def _(t, spark):
     return _transitions(t).transition_summary.where("variable = 'o_orderpriority'").select("left_period_index", "n_retained", "n_eligible", "n_excluded_missing", "n_excluded_conflict", "n_transition_cells")
 
 
-@register("transition_counts", _STATES_SQL + ", l AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED']) AS v), e AS (SELECT * FROM j WHERE k0 = 1 AND k1 = 1) SELECT q.p::INT AS left_period_index, a.v AS from_state, b.v AS to_state, (SELECT count(*) FROM e WHERE e.p = q.p AND v0 = a.v AND v1 = b.v) AS n, q.n AS eligible_denominator, (SELECT count(*) FROM e WHERE e.p = q.p AND v0 = a.v AND v1 = b.v)::DOUBLE / q.n AS proportion, a.v = '4-NOT SPECIFIED' AS from_is_unexpected FROM (SELECT p, count(*) AS n FROM e GROUP BY 1) q CROSS JOIN l a CROSS JOIN l b", "proportion")
+@register("transition_counts", _STATES_SQL + ", l AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED']) AS v), ok AS (SELECT * FROM j WHERE k0 = 1 AND k1 = 1) SELECT q.p::INT AS left_period_index, a.v AS from_state, b.v AS to_state, (SELECT count(*) FROM ok WHERE ok.p = q.p AND v0 = a.v AND v1 = b.v) AS n, q.n AS eligible_denominator, (SELECT count(*) FROM ok WHERE ok.p = q.p AND v0 = a.v AND v1 = b.v)::DOUBLE / q.n AS proportion, a.v = '4-NOT SPECIFIED' AS from_is_unexpected FROM (SELECT p, count(*) AS n FROM ok GROUP BY 1) q CROSS JOIN l a CROSS JOIN l b", "proportion")
 def _(t, spark):
     return _transitions(t).transition_counts.where("variable = 'o_orderpriority'").select("left_period_index", "from_state", "to_state", "n", "eligible_denominator", "proportion", "from_is_unexpected")
 
