@@ -38,7 +38,11 @@ cheap-pills.test/en/4 buy-pills.test/order pills-shop.test/viagra cheap-viagra.t
 adult-x.test/en/5 adult-video.test/watch xxx-adult.test/ porn-tube.test/video sex-cams.test/live adult-chat.test/fr/1 hot-adult.test/es/6 x-adult.test/cams
 spam-farm.test/en/2 link-farm.test/ spam-links.test/page spam-seo.test/backlinks article-spam.test/fr/4 content-farm.test/en/99
 ads-track.test/en/3 track-ads.test/click ads-server.test/banner click-track.test/pixel ad-tracking.test/ popup-ads.test/de/1 ads-network.test/es/8
-free-iphone.test/win win-prize.test/claim payday-loan.test/apply fast-loans.test/cash warez-crack.test/keygen torrent-crack.test/dl crypto-double.test/giveaway""".split()
+free-iphone.test/win win-prize.test/claim payday-loan.test/apply fast-loans.test/cash warez-crack.test/keygen torrent-crack.test/dl crypto-double.test/giveaway
+royal-casino.test/roulette casino-slots.test/jackpot slots-casino.test/bonus poker-bonus.test/play live-poker.test/casino vip-roulette.test/ jackpot-slots.test/win sports-betting.test/tips betting-odds.test/bets football-bets.test/live
+viagra-pills.test/buy pills-online.test/cheap order-viagra.test/ cialis-pills.test/order meds-discount.test/viagra cheap-cialis.test/buy porn-videos.test/xxx xxx-tube.test/sex free-porn.test/watch sex-chat.test/adult adult-cams.test/sex hot-sex.test/video
+spam-blog.test/links buy-backlinks.test/seo seo-spam.test/farm links-farm.test/backlinks spam-posts.test/page ads-click.test/banner banner-ads.test/track ad-click.test/pixel tracking-ads.test/click pixel-track.test/ads popup-track.test/banner
+claim-prize.test/free free-prize.test/iphone win-iphone.test/claim payday-cash.test/loan quick-loan.test/payday cash-loans.test/fast crack-keygen.test/warez warez-dl.test/crack keygen-torrent.test/ crypto-giveaway.test/double double-bitcoin.test/crypto bitcoin-giveaway.test/claim""".split()
 _ORDINARY = """news.daily.test/en/2021/story blog.river.test/post/12 www.library.test/catalogue/8 museum.art.test/fr/exhibits wiki.plants.test/oak m.weather.test/de/berlin
 www.garden.test/en/17.html forum.bikes.test/thread/5?page=2 docs.compiler.test/guide blog.cooking.test/recipes/bread www.school.test/es/curso university.test/research/physics
 city.council.test/meetings health.advice.test/sleep books.review.test/novel/31 www.hiking.test/trails/alps shop.paper.test/en/pens m.recipes.test/soup music.lessons.test/piano
@@ -46,7 +50,10 @@ history.archive.test/1848 www.rail.test/timetable blog.teacher.test/maths/2 astr
 birds.guide.test/fr/3 open.lectures.test/law www.farmers.test/market/6 language.course.test/es/9 m.thermal.test/en/44 blog.thornton.test/en/81?utm_source=feed
 www.ththe.test/en/120#top ththon.test/fr/45.html tion.test/de/311/ therea.test/en/9?page=2&ref=x station.test/es/7 nation.press.test/en/66 m.thing.test/de/18 tionless.test/en/5/
 kernel.source.test/log www.river-side.test/walks old-town.test/guide well-being.test/tips free-software.test/docs win-river.test/map ad-astra.test/stars best-books.test/list
-cheap-flights.test/rome track-cycling.test/results farm-shop.test/eggs link-road.test/plans x-ray.test/physics spare-parts.test/bike""".split()
+cheap-flights.test/rome track-cycling.test/results farm-shop.test/eggs link-road.test/plans x-ray.test/physics spare-parts.test/bike
+www.news-archive.test/story daily-news.test/en/politics news.region.test/weather weather.station.test/forecast www.museum-guide.test/exhibits blog.garden.test/plants garden.club.test/roses blog.travel.test/trails/coast www.trails.test/hiking library.city.test/catalogue books.library.test/novels
+www.university-press.test/journal research.institute.test/physics physics.school.test/lessons school.district.test/calendar maths.lessons.test/geometry language.school.test/courses music.school.test/concerts theatre.city.test/season photo.club.test/gallery www.recipes-daily.test/bread cooking.school.test/soup
+forum.gardeners.test/thread/9 forum.cyclists.test/thread/77?page=3 docs.library.test/guide/install wiki.history.test/1789 history.museum.test/exhibits/rome www.railway.test/timetable/north city.transport.test/lines health.clinic.test/advice/sleep council.region.test/meetings/2020 data.statistics.test/tables""".split()
 LABELLED = [(f"https://{u}", 1) for u in _BLOCKED] + [(f"https://{u}", 0) for u in _ORDINARY]
 
 
@@ -87,8 +94,20 @@ class UrlModel:
         return 1 / (1 + np.exp(-(np.bincount(row, value * self.weights[place], len(urls)) + self.intercept)))
 
 
+def varied(table: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Each URL also with the prefixes, languages and tracking words that pages of any kind have, so that these decide nothing."""
+    out = []
+    for url, label in table:
+        scheme, _, rest = url.partition("://")
+        host, _, path = rest.partition("/")
+        bare = path.split("?")[0].split("#")[0]
+        out += [(url, label), (f"{scheme}://m.{host}/{bare}?utm_source=feed", label), (f"{scheme}://blog.{host}/en/{bare}?page=2&ref=x", label), (f"{scheme}://www.{host}/fr/{bare}.html", label), (f"{scheme}://{host}/de/12/", label), (f"{scheme}://{host}/es/7#top", label)]
+    return out
+
+
 def train(table: list[tuple[str, int]] = LABELLED, steps: int = 400, rate: float = 8.0, penalty: float = 1e-4) -> UrlModel:
     """Logistic regression with a small squared penalty; deterministic."""
+    table = varied(table)
     row, place, value = features([u for u, _ in table])
     y = np.array([label for _, label in table], float)
     w, b = np.zeros(PLACES), 0.0

@@ -1,0 +1,540 @@
+"""Each operator against brute force or a round trip, and its defined results on odd rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyforge.llm import dartminhash, exactdup, langid, licenses, mixing, ordermin, packing, rlzdup, urlfilter, warc
+from tallyforge.llm.batches import Words, utf8
+from tallyforge.llm.queries import QUERIES
+
+LONG = "lorem ipsum dolor " * 40_000
+#: null id, null text, empty text, repeated rows, ties, a very long text, and columns that clash with those the operators add
+ODD = [(1, "alpha beta", "s", "x"), (1, "alpha beta", "s", "x"), (2, None, "s", None), (None, "alpha beta", None, "x"), (3, "", None, "y"), (4, "", "t", "y"), (5, LONG, "t", "z"), (6, LONG, "t", "z"), (7, "%%% ### 123", "t", "q")]
+SCHEMA = "doc_id long, text string, source string, language string, copies string, fingerprint string, owner_id string, near_id string, id string, c0 string, text_ string, k0 string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, s, x, *["clash"] * 8) for i, t, s, x in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+# 1 WARC
+
+
+def read_back(spark, uri):
+    return sorted((r.url, bytes(r.body)) for r in warc.read_warc(spark, uri).collect())
+
+
+def test_warc_round_trip(spark, sf_dir, tmp_path):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index = warc.write_warc(pages, f"file://{tmp_path}/w").collect()
+    want = sorted((r.url, r.html.encode()) for r in pages.collect())
+    assert read_back(spark, f"file://{tmp_path}/w") == want
+    by_id = {r.page_id: r.html.encode() for r in pages.collect()}
+    for r in index:  # each record alone: dictionary, then its frame
+        data = (tmp_path / "w" / r.file).read_bytes()
+        dictionary = data[: 8 + int.from_bytes(data[4:8], "little")] if data[:4] == b"\x5d\x2a\x4d\x18" else b""
+        assert dictionary
+        (_, made), = list(warc.records_in(dictionary + data[r.offset : r.offset + r.length]))
+        assert warc.parse(made)[1] == by_id[r.page_id] and r.payload_sha1 == hashlib.sha1(by_id[r.page_id]).hexdigest()
+
+
+def test_warc_odd(spark, tmp_path):
+    page = spark.createDataFrame([(1, "http://a b/\n", "<p>", "x"), (None, None, "", "x"), (2, "u", None, "x"), (2, "u", None, "x"), (3, None, LONG, "x")], "page_id long, url string, html string, file string")
+    got = rows(warc.write_warc(page, f"file://{tmp_path}/w", file_bytes=1000).select("page_id", "file", "record_bytes"))
+    assert len(got) == 5 and sum(r[1] is None for r in got) == 2
+    assert [b for _, b in read_back(spark, f"file://{tmp_path}/w")] == [b"<p>", LONG.encode(), b""]
+    assert {u for u, _ in read_back(spark, f"file://{tmp_path}/w")} == {"http://a%20b/%0A", "urn:record:3", "urn:record:None"}
+    assert warc.write_warc(page.limit(0), f"file://{tmp_path}/e").count() == 0
+
+
+# 2 packing
+
+
+def slow_pack(sizes, window):
+    """The rule itself: try every choice and count the squares."""
+    open_, n, out = [], Counter(), []
+    for size in sizes:
+        best = None
+        for level in [*range(window - size, 0, -1), 0]:
+            if (level and not n[level]) or size + level > window:
+                continue
+            after = n.copy()
+            if level:
+                after[level] -= 1
+            if level + size < window:
+                after[level + size] += 1
+            cost = sum(v * v for v in after.values())
+            if best is None or cost < best[0]:
+                best = (cost, level, after)
+        _, level, n = best
+        if level:
+            k = next(i for i, w in enumerate(open_) if w[1] == level)
+            at = open_.pop(k)[0]
+        else:
+            at = slow_pack.count = getattr(slow_pack, "count", -1) + 1
+        if level + size < window:
+            open_.append((at, level + size))
+        out.append((at, level))
+    del slow_pack.count
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=60))
+def test_packing_rule(sizes):
+    packer = packing.SumOfSquares(12)
+    assert [packer.place(s) for s in sizes] == slow_pack(sizes, 12)
+
+
+def test_packing_table(docs, odd, none, texts):
+    got = packing.pack(docs, window=256).collect()
+    windows = defaultdict(list)
+    units = Counter()
+    for r in got:
+        windows[r.shard, r.window].append((r.window_offset, r.window_offset + r.units))
+        units[r.doc_id] += r.units
+    for spans in windows.values():
+        spans.sort()
+        assert spans[-1][1] <= 256 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    import regex
+
+    assert units == Counter({d: n for d, t in texts.items() if (n := len(regex.findall(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+", t)))})
+    assert Counter(r.doc_id for r in packing.pack(odd).collect()) == {1: 2, None: 1, 5: math.ceil(120_000 / 2048), 6: math.ceil(120_000 / 2048), 7: 1}
+    assert packing.pack(none).count() == 0
+
+
+# 3 licences
+
+
+def slow_scan(rows_, threshold=licenses.THRESHOLD):
+    """(id, path, text) rows to (id, licence, how, directory) by dictionaries."""
+    n = sum(t is not None for _, _, t in rows_)
+    vocab = set(licenses.vocabulary(licenses.TEMPLATES))
+    df = Counter(w for _, _, t in rows_ if t is not None for w in set(licenses.tokens(t)) & vocab)
+    idf = lambda w: math.log((1 + n) / (1 + (df[w] if w in vocab else 0))) + 1
+    vec = lambda s: {w: c * idf(w) for w, c in Counter(licenses.tokens(s)).items()}
+    templates = [(name, vec(w)) for name, w in licenses.TEMPLATES]
+
+    def best(segment):
+        v = vec(segment)
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        scored = [(-round(sum(x * v.get(w, 0) for w, x in t.items()) / norm / math.sqrt(sum(x * x for x in t.values())), 9), name) for name, t in templates] if norm else []
+        scored = [s for s in scored if -s[0] >= threshold]
+        return min(scored) if scored else None
+
+    own, licensed = {}, {}
+    for i, path, text in rows_:
+        whole = best(text) if text else None
+        line = min(filter(None, map(best, (text or "").split("\n"))), default=None)
+        file = whole or (line if path and re.match(licenses.FILE_NAME, path.rsplit("/", 1)[-1]) else None)
+        own[i] = (file[1], "file") if file else (line[1], "header") if line else None
+        if file and path and "/" in path:
+            d = path.rsplit("/", 1)[0]
+            licensed[d] = min(licensed.get(d, file), file)
+    out = set()
+    for i, path, _ in rows_:
+        if own[i]:
+            out.add((i, *own[i], None))
+            continue
+        d = path.rsplit("/", 1)[0] if path and "/" in path else None
+        while d is not None and d not in licensed:
+            d = d.rsplit("/", 1)[0] if "/" in d else None
+        out.add((i, licensed[d][1], "inherited", d) if d else (i, None, "none", None))
+    return out
+
+
+def test_licenses(spark, texts):
+    mit = "Released under the MIT License."
+    given_ = [(1, "a/LICENSE", "some words\n" + mit + "\nmore words follow here and there"), (2, "a/b/c.py", "print"), (3, "a/b/d/e.py", None), (4, "a/b/COPYING", "Licensed under the Apache License, Version 2.0."), (5, "x/y.py", ""), (6, None, "nothing"), (7, "top.py", "x"), (8, "x/z.py", "code\n" + mit), (9, "a/b/f.py", "Licensed under CC BY-NC 4.0."), (10, "a/b/g.py", LONG + "\n" + mit)]
+    given_ += [(100 + d, f"docs/{d % 3}/{d}", t) for d, t in texts.items()]
+    got = licenses.scan(spark.createDataFrame([(*r, "clash", "clash") for r in given_], "doc_id long, path string, text string, dir string, own string")).collect()
+    assert {(r.doc_id, r.license, r.how, r.license_dir) for r in got} == slow_scan(given_)
+    assert {r.doc_id: (r.license, r.how, r.license_dir) for r in got}[3] == ("Apache-2.0", "inherited", "a/b")
+
+
+def test_licenses_odd(odd, none):
+    from pyspark.sql import functions as F
+
+    assert licenses.scan(none, path=F.col("source")).count() == 0
+    got = licenses.scan(odd, path=F.concat_ws("/", "source", "doc_id")).collect()
+    assert len(got) == len(ODD) and {r.how for r in got} == {"none"}
+
+
+# 4 mixing
+
+
+def slow_draw(rows_, total=None):
+    """The sample by sorting, in Python."""
+    size = lambda t: 0 if t is None else max(len(bin(len(t))) - 2, 1)
+    by = defaultdict(list)
+    for i, t, s in rows_:
+        by[s].append((i, size(t)))
+    weight = {s: math.sqrt(sum(a for _, a in v)) for s, v in by.items()}
+    n, all_ = len(rows_) if total is None else total, sum(weight.values())
+    exact = {s: w * n / all_ for s, w in weight.items()}
+    target = {s: math.floor(x) for s, x in exact.items()}
+    order = sorted((s for s in weight if weight[s] > 0), key=lambda s: (-(exact[s] - target[s]), s is not None, s or ""))
+    for s in order[: n - sum(target.values())]:
+        target[s] += 1
+    out = Counter()
+    for s, v in by.items():
+        m = sum(a for _, a in v)
+        ranked = []
+        for i, a in v:
+            e = target[s] * a / m if m else 0
+            out[i] += math.floor(e)
+            p, u = e - math.floor(e), (int(hashlib.md5(f"{mixing.SEED}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            if p > 0:
+                ranked.append((u / (1 - u) / (p / (1 - p)), i))
+        for _, i in sorted(ranked)[: target[s] - sum(math.floor(target[s] * a / m) for _, a in v) if m else 0]:
+            out[i] += 1
+    return +out
+
+
+def test_mixing(docs):
+    want = slow_draw([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    assert {r.doc_id: r.copies for r in mixing.drawn(docs, columns=["doc_id"]).collect()} == want
+    many = mixing.mixed(docs, total=700)
+    assert many.columns == docs.columns
+    assert Counter(r.doc_id for r in many.collect()) == slow_draw([(r.doc_id, r.text, r.source) for r in docs.collect()], 700)
+
+
+def test_mixing_weights(docs):
+    got = Counter(r.source for r in mixing.mixed(docs, total=100, weights={"src1": 3, "src2": 1}).collect())
+    assert got == {"src1": 75, "src2": 25}
+
+
+def test_mixing_odd(odd, none):
+    got = mixing.drawn(odd, total=20).collect()
+    assert sum(r["copies_"] for r in got) == 20 and all(r.text is not None for r in got)
+    assert mixing.mixed(none).count() == 0
+    same = mixing.drawn(odd.where("doc_id in (5, 6) or doc_id = 1"), total=3).collect()
+    assert sum(r["copies_"] for r in same) == 3
+
+
+# 5 exact dedup
+
+
+def test_exact(docs, texts):
+    first = {}
+    for d in sorted(texts):
+        first.setdefault(texts[d], d)
+    assert {(r.doc_id, r.owner_id, r.is_owner) for r in exactdup.owners(docs).collect()} == {(d, first[t], first[t] == d) for d, t in texts.items()}
+    kept = exactdup.deduplicated(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(first.values())
+
+
+def test_exact_odd(odd, none):
+    got = [(r.doc_id, r.owner_id, r.is_owner) for r in exactdup.owners(odd).collect()]
+    assert Counter(got) == Counter([(1, 1, True), (1, 1, False), (2, 2, True), (None, 1, False), (3, 3, True), (4, 3, False), (5, 5, True), (6, 5, False), (7, 7, True)])
+    kept = exactdup.deduplicated(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5, 7]
+    assert exactdup.owners(none).count() == 0 and exactdup.deduplicated(none).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=6), max_size=40))
+def test_trie(keys):
+    trie, first = exactdup.Trie(), {}
+    for i, k in enumerate(keys):
+        first.setdefault(k, i)
+        assert trie.insert(k, i) == first[k]
+    assert trie.size == len(first)
+
+
+# 6 URLs
+
+
+def test_urls_held_out():
+    rng = np.random.default_rng(1)
+    order = rng.permutation(len(urlfilter.LABELLED))
+    right = 0
+    for fold in range(5):
+        test = {int(i) for i in order[fold::5]}
+        model = urlfilter.train([x for i, x in enumerate(urlfilter.LABELLED) if i not in test])
+        right += sum((model.scores([urlfilter.LABELLED[i][0]])[0] >= 0.5) == urlfilter.LABELLED[i][1] for i in test)
+    assert right / len(order) > 0.8
+
+
+def test_urls_features_by_hand():
+    url = "https://user@www.Spam-Farm.test:80/en/1#x"
+    row, place, value = urlfilter.features([url])
+    grams = {(side, n, t[i : i + n]) for side, t in enumerate(("^spam-farm.test$", "^/en/1$")) for n in urlfilter.GRAMS for i in range(len(t) - n + 1)}
+    assert len(place) <= len(grams) and len(place) > 0.95 * len(grams)
+    assert math.isclose(float((value**2).sum()), 1)
+
+
+def test_urls_odd(spark):
+    page = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "https://casino-win.test/slots", "x"), (3, "https://casino-win.test/slots", "x"), (4, "https://www.library.test/" + "a/" * 50_000, "x")], "page_id long, url string, score string")
+    got = {r.page_id: (r["score_"], r.blocked) for r in urlfilter.scored(page).collect()}
+    assert got[1] == (None, False) and got[3][1] and not got[4][1]
+    assert urlfilter.scored(page.limit(0)).count() == 0
+
+
+# 7 order MinHash
+
+
+def slow_fingerprint(text, k, l, m, seed):  # noqa: E741
+    h = ordermin.kmer_hashes(np.frombuffer(text, np.uint8), k).tolist()
+    seen, pairs, mask = Counter(), [], (1 << 64) - 1
+    mixed = lambda x: int(ordermin.mix(np.array([x & mask], np.uint64))[0])
+    for x in h:
+        pairs.append(mixed(x + seen[x] * 0x9FB21C651E98DF25))
+        seen[x] += 1
+    out = []
+    for j in range(m):
+        a, b = mixed(2 * j + seed), mixed(2 * j + 1 + seed) | 1
+        least = sorted(sorted(range(len(h)), key=lambda i: (((pairs[i] ^ a) * b) & mask, i))[: min(l, len(h))])
+        value = mixed(j)
+        for i in least:
+            value = mixed(value + h[i])
+        out.append(value - (1 << 64) if value >> 63 else value)
+    return out
+
+
+@pytest.mark.parametrize("text", [b"abracadabra abracadabra", b"a", b"short", b"aaaaaaaaaaaaaaaaaaaaaa", "größer als überall".encode()])
+def test_order_minhash(text):
+    assert ordermin.fingerprint(np.frombuffer(text, np.uint8), 4, 3, 16, 7).tolist() == slow_fingerprint(text, 4, 3, 16, 7)
+
+
+def test_order_minhash_feels_order():
+    a = ("one two three four five six seven eight nine ten " * 3).encode()
+    words = a.decode().split()
+    moved = " ".join(words[15:] + words[:15]).encode() + b" "
+    edited = a.replace(b"seven", b"sevem", 1)
+    f = lambda x: np.array(ordermin.fingerprint(np.frombuffer(x, np.uint8), 6, 3, 64, 3))
+    assert (f(a) == f(edited)).mean() > (f(a) == f(moved)).mean()
+
+
+def test_order_minhash_odd(odd, none, spark):
+    got = {(r.doc_id, None if r["fingerprint_"] is None else len(r["fingerprint_"])) for r in ordermin.fingerprints(odd, columns=["doc_id", "fingerprint"]).collect()}
+    assert got == {(1, 32), (2, None), (None, 32), (3, 0), (4, 0), (5, 32), (6, 32), (7, 32)}
+    assert ordermin.fingerprints(none).count() == 0
+
+
+# 8 copied passages
+
+
+def covered(spans):
+    by = defaultdict(set)
+    for d, a, b, *_ in spans:
+        by[d].update(range(a, b))
+    return by
+
+
+def slow_windows(texts_, least):
+    """Bytes covered by runs of ``least`` words that a document with a smaller id has too."""
+    seen, out = set(), defaultdict(set)
+    for d in sorted(texts_):
+        b = texts_[d].encode()
+        w = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", b)]
+        mine = []
+        for i in range(len(w) - least + 1):
+            s = b[w[i][0] : w[i + least - 1][1]]
+            mine.append(s)
+            if s in seen:
+                out[d].update(range(w[i][0], w[i + least - 1][1]))
+        seen.update(mine)
+    return out
+
+
+def check_spans(got, texts_):
+    for d, a, b, r, at in got:
+        assert r < d and texts_[d].encode()[a:b] == texts_[r].encode()[at : at + b - a]
+
+
+def test_spans(docs, texts):
+    got = rows(rlzdup.duplicate_spans(docs))
+    check_spans(got, texts)
+    assert covered(got) == slow_windows(texts, rlzdup.MIN_WORDS)
+
+
+def test_spans_of_parts(spark):
+    """A short part that an early document has must not hide a passage that later ones share."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    left, middle, right = word(25), word(20), word(25)
+    texts_ = {1: f"{word(30)} {middle} {word(30)}", 2: f"{word(40)} {left} {middle} {right} {word(40)}", 3: f"{word(5)} {left} {middle} {right}", 4: f"{left} {middle} {word(60)} {middle} {right}", 5: f"{right} {word(3)} {left} {middle} {right} {word(2)}"}
+    got = rows(rlzdup.duplicate_spans(spark.createDataFrame(list(texts_.items()), "doc_id long, text string")))
+    check_spans(got, texts_)
+    assert covered(got) == slow_windows(texts_, 50) and {g[0] for g in got} == {3, 5}
+
+
+def test_spans_odd(odd, none):
+    got = rows(rlzdup.duplicate_spans(odd))
+    assert got == [(6, 0, len(LONG) - 1, 5, 0)]
+    assert rlzdup.duplicate_spans(none).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(1, 20), st.integers(0, 5)), min_size=1, max_size=12))
+def test_greedy_parse(items):
+    spans = [(a, a + n, r, a) for a, n, r in items]
+    got = rlzdup.parse(spans)
+    assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+    assert covered([(0, *g) for g in got])[0] == covered([(0, *s) for s in spans])[0]
+
+
+# 9 near duplicates
+
+
+def slow_jaccard(texts_, k=dartminhash.SHINGLE):
+    sets = {}
+    for d, t in texts_.items():
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+        sets[d] = {g: 1 + math.log(c) for g, c in Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))).items()} if w else {}
+    inv = defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            inv[g].append(d)
+    out = {}
+    for a, b in {(min(a, b), max(a, b)) for ds in inv.values() for a in ds for b in ds if a != b}:
+        m = sum(min(v, sets[b].get(g, 0)) for g, v in sets[a].items())
+        out[a, b] = m / (sum(sets[a].values()) + sum(sets[b].values()) - m)
+    return out
+
+
+def test_near_recall(docs, texts):
+    group = {r.doc_id: r.group_id for r in dartminhash.near_duplicates(docs).collect()}
+    near = [p for p, j in slow_jaccard(texts).items() if j >= dartminhash.SIMILARITY]
+    assert sum(group.get(a, -1) == group.get(b, -2) for a, b in near) >= 0.9 * len(near)
+    far = {p for p, j in slow_jaccard(texts).items() if j < 0.25}
+    alone = set(texts) - {d for p, j in slow_jaccard(texts).items() if j >= 0.3 for d in p}
+    assert not alone & set(group) and far
+
+
+def test_sketch_is_unbiased():
+    text = " ".join(f"w{i}" for i in range(400))
+    other = " ".join(f"w{i}" if i % 4 else f"v{i}" for i in range(0, 400))
+    words = Words(*utf8(pa.array([text, other])))
+    doc, el, wt = dartminhash.weighted_sets(words, 1)
+    s = dartminhash.sketches(doc, el, wt, 2, t=1024)
+    assert abs((s[0] == s[1]).mean() - 300 / 500) < 0.05
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 102), (102, 101), (7, 7)]
+    got = {r.id: r.root for r in dartminhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_near_odd(odd, none):
+    got = {(r.doc_id, r.group_id) for r in dartminhash.near_duplicates(odd).collect()}
+    assert got == {(5, 5), (6, 5)}
+    kept = dartminhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
+    assert dartminhash.near_duplicates(none).count() == 0 and dartminhash.one_of_each(none).count() == 0
+
+
+def test_near_is_the_same_for_any_split(docs):
+    one = rows(dartminhash.near_duplicates(docs.repartition(1)))
+    assert one == rows(dartminhash.near_duplicates(docs.repartition(5)))
+
+
+# 10 languages
+
+
+def test_languages_held_out(docs):
+    seen = docs.where("doc_id % 2 = 0")
+    held = docs.where("doc_id % 2 = 1")
+    got = langid.identify(held, langid.train_profiles(seen), columns=["doc_id", "lang"]).collect()
+    assert sum(r.lang == r.language for r in got) >= 0.97 * len(got)
+
+
+def test_languages_by_hand():
+    p = langid.Profiles.train({"a": ["the cat sat on the mat"], "b": ["der hund lief weg"]}, dimensions=256)
+    text = "the hat"
+    total = np.zeros(256)
+    framed = " the hat "
+    for i in range(len(framed) - 2):
+        g = np.ones(256)
+        for j in range(3):
+            g = g * np.roll(langid._letter_vector(ord(framed[i + j]), 256, langid.SEED), 2 - j)
+        total += g
+    want = p.prototypes @ (total / np.linalg.norm(total))
+    assert np.allclose(p.cosines([text])[0], want, atol=1e-5)
+
+
+def test_languages_odd(odd, none, docs):
+    profiles = langid.train_profiles(docs)
+    got = {(r.doc_id, r["language_"] is None, r.accepted) for r in langid.identify(odd, profiles).collect()}
+    assert {(2, True, False), (3, True, False), (4, True, False), (7, True, False)} <= got and (1, False, True) in got
+    kept = langid.identify(odd, profiles, accepted_only=True)
+    assert kept.columns == odd.columns and kept.count() == 5
+    assert langid.identify(none, profiles).count() == 0
+    untaught = langid.train_profiles(none.withColumnRenamed("source", "lang"))
+    assert {r.accepted for r in langid.identify(odd, untaught).collect()} == {False}
+
+
+# queries and pipeline
+
+
+def test_every_query_has_a_number():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark, docs, texts, sf_dir):
+    import corpus_pipeline as cp
+
+    stage = dict(cp.STAGES)
+    known = stage["language_id"](spark, docs, sf_dir)
+    assert known.columns == docs.columns and known.count() == docs.count()
+    single = stage["exact_dedup"](spark, known, sf_dir)
+    first = {}
+    for d in sorted(texts):
+        first.setdefault(texts[d], d)
+    assert single.columns == docs.columns and {r.doc_id for r in single.collect()} == set(first.values())
+    apart = stage["near_dedup"](spark, single, sf_dir)
+    left = {r.doc_id for r in apart.collect()}
+    near = [p for p, j in slow_jaccard({d: texts[d] for d in first.values()}).items() if j >= 0.6]
+    assert sum(a in left and b in left for a, b in near) <= 0.1 * len(near)
+    assert {d for d in first.values() if all(d not in p for p, j in slow_jaccard({d: texts[d] for d in first.values()}).items() if j >= 0.3)} <= left
+    mix = stage["mixing"](spark, apart, sf_dir)
+    assert mix.columns == docs.columns and mix.count() == apart.count()
+    want = slow_draw([(r.doc_id, r.text, r.source) for r in apart.collect()])
+    assert Counter(r.doc_id for r in mix.collect()) == want
+    packed = stage["packing"](spark, mix, sf_dir).collect()
+    pieces = Counter(r.doc_id for r in packed if r.piece == 0)
+    assert pieces == want
+    assert rows(cp.run(spark, sf_dir)) == sorted((tuple(r) for r in packed), key=str)
+    assert [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, odd, none, sf_dir):
+    import corpus_pipeline as cp
+
+    odd = odd.withColumnRenamed("k0", "lang")
+    for table in (odd, none.withColumnRenamed("k0", "lang")):
+        for name, stage in cp.STAGES[:-1]:
+            out = stage(spark, table, sf_dir)
+            assert out.columns == table.columns and out.count() >= 0, name
+        assert cp.STAGES[-1][1](spark, table, sf_dir).count() >= 0
