@@ -10,7 +10,7 @@ equal anchors at equal places, so a document meets each reference block that cou
 hold a factor of it, and no other.
 
 In a block the first document with a window is the reference of all others that
-have that window; thus a window that occurs in any document with a smaller id has
+have that window (the n-th occurrence in one meets the n-th in the other); thus a window that occurs in any document with a smaller id has
 a reference, whatever shorter runs it shares with others.  Windows on one diagonal
 (same document, same reference, same distance of the places) give a candidate; the
 bytes of both are cut out and compared.  The comparison goes on over factor
@@ -125,7 +125,17 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (block[row] << 8 | step).view(U64) << U64(32) | window
         order = np.argsort(key, kind="stable")
         starts = _edges_of(key[order])
-        first = np.repeat(order[starts[:-1]], np.diff(starts))
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        # A document that has a window several times meets the reference's first, second … occurrence, so copies of
+        # repetitive texts stay on one diagonal.
+        owner = doc[row[order]]
+        change = np.ones(len(order), bool)
+        change[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
+        begin = np.flatnonzero(change)
+        run = np.cumsum(change) - 1
+        times = np.diff(np.append(begin, len(order)))
+        nth = np.arange(len(order)) - begin[run]
+        first = order[starts[:-1][group] + np.minimum(nth, times[run[starts[:-1]]][group] - 1)]
         pairs = np.unique((row[order].astype(U64) << U64(32)) | row[first].astype(U64))
         mine, other = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
         differ = doc[mine] != doc[other]
