@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import U64, Words, mix, shingles, slices, unit, utf8
-from .shared import free_name, written
+from .shared import arrow_map, free_name, written
 
 COORDINATES = 128
 SHINGLE = 3
@@ -129,7 +129,7 @@ def _sketch_batches(k: int, t: int, bands: int, rows: int, seed: int):
 def sketch_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, t: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """(id, sketch, bands) of every document that has words."""
     given = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    return given.mapInArrow(_sketch_batches(k, t, bands, rows, seed), "id long, sketch binary, bands array<long>")
+    return arrow_map(given, _sketch_batches(k, t, bands, rows, seed), "id long, sketch binary, bands array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

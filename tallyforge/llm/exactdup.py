@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from .shared import arrow_map
 from pyspark.sql import types as T
 
 
@@ -150,7 +152,7 @@ def _shuffled(df: DataFrame, id_col: str, text_col: str, rest: list[str], keep_c
     fields = [T.StructField("i", T.LongType()), T.StructField("t", T.StringType()), *(T.StructField(f"c{j}", df.schema[c].dataType) for j, c in enumerate(rest))]
     more = [T.StructField("n", T.LongType()), T.StructField("h", T.LongType()), T.StructField("o", T.LongType()), T.StructField("f", T.BooleanType())]
     given = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"), *(F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(rest)))
-    folded = given.mapInArrow(_folded([x.name for x in [*fields, *more]], keep_copies), T.StructType([*fields, *more]))
+    folded = arrow_map(given, _folded([x.name for x in [*fields, *more]], keep_copies), T.StructType([*fields, *more]))
     # A row that kept its text precedes the copies that lost theirs, also among equal ids.
     return folded.repartition("n", "h").sortWithinPartitions("n", "h", F.col("i").asc_nulls_last(), F.col("f").desc()), T.StructType(fields)
 
@@ -159,7 +161,7 @@ def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, owner_id, is_owner) for every row: the smallest id with the same text, and whether this row is the one to keep."""
     moved, _ = _shuffled(df, id_col, text_col, [], True)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("owner_id", T.LongType()), T.StructField("is_owner", T.BooleanType())])
-    return moved.mapInArrow(_owned(schema.names, True, 2), schema)
+    return arrow_map(moved, _owned(schema.names, True, 2), schema)
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,5 +171,5 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = [id_col, text_col, *rest]
     names = [f"x{j}" for j in range(len(order))]
     schema = T.StructType([T.StructField(x, f.dataType) for x, f in zip(names, fields)])
-    out = moved.mapInArrow(_owned(names, False, len(fields)), schema)
+    out = arrow_map(moved, _owned(names, False, len(fields)), schema)
     return out.select(*(F.col(names[order.index(c)]).cast(df.schema[c].dataType).alias(c) for c in df.columns))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import slices
-from .shared import free_name
+from .shared import arrow_map, free_name
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -204,4 +204,4 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", columns:
                     yield pa.RecordBatch.from_arrays([*columns_out, language, pa.array(np.round(top, 6)), pa.array(accepted)], names=schema.names)
 
     source = df.select(*(F.col(f"`{c}`").alias(names[i]) for i, c in enumerate(kept)), F.col(f"`{text_col}`").alias(inner))
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import U64, Words, slices, utf8
-from .shared import join_small, written
+from .shared import arrow_map, join_small, written
 
 THRESHOLD = 0.7
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
@@ -104,7 +104,7 @@ def document_frequencies(docs: DataFrame, vocab: list[bytes]) -> tuple[int, np.n
                 total += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size)), pa.array(np.append([total], df))], names=["word", "n"])
 
-    counts = docs.select("text").where("text is not null").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = arrow_map(docs.select("text").where("text is not null"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     by_word = {r["word"]: r["n"] for r in counts}
     return by_word.get(-1, 0), np.array([by_word.get(i, 0) for i in range(size)])
 
@@ -195,7 +195,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Co
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), path.cast("string").alias("path"))
     scanner = Scanner(templates, *document_frequencies(docs, vocabulary(templates)), threshold)
     id_type = docs.schema["id"].dataType.simpleString()
-    found = docs.mapInArrow(_matched(scanner), f"id {id_type}, path string, line string, line_score double, whole string, whole_score double")
+    found = arrow_map(docs, _matched(scanner), f"id {id_type}, path string, line string, line_score double, whole string, whole_score double")
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     is_file = F.col("whole").isNotNull() | (named & F.col("line").isNotNull())
     own = F.when(is_file & F.col("whole").isNotNull(), F.col("whole")).otherwise(F.col("line"))

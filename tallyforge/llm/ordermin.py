@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import LOWER, U64, _power, mix, slices, utf8
-from .shared import free_name
+from .shared import arrow_map, free_name
 
 K, L, M = 8, 3, 32
 SEED = 48_611
@@ -105,7 +105,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), lists], names=schema.names)
 
     source = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text_col}`").alias("text_"))
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def similarity(a: Column, b: Column) -> Column:

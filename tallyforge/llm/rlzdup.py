@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .batches import U64, Words, slices, utf8
 from .dartminhash import _edges_of, _runs
+from .shared import arrow_map
 
 RUN_WORDS = 16
 MIN_WORDS = 50
@@ -223,7 +224,7 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("min_words must exceed run_words and be less than 256")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
     schema = "h long, id long, place long, back int, forth int, shift int, windows binary"
-    runs = docs.mapInArrow(_anchor_batches(run_words, min_words), schema).repartition("h").sortWithinPartitions("h", "id", "place")
+    runs = arrow_map(docs, _anchor_batches(run_words, min_words), schema).repartition("h").sortWithinPartitions("h", "id", "place")
     found = runs.mapInArrow(_matched, "id long, ref long, diagonal long, start long, end long")
     wanted = found.groupBy("id", "ref", "diagonal").agg(F.greatest(F.min("start"), F.col("diagonal")).alias("start"), F.max("end").alias("end"))
     wanted = wanted.withColumn("request", F.xxhash64("id", "ref", "diagonal"))
@@ -234,6 +235,6 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = wanted.select("request", "id", "ref", "diagonal", (F.col("end") - F.col("start")).alias("size"), F.explode(sides).alias("s")).select("request", "s.side", "s.from", "s.key", F.col("id").alias("doc"), "ref", "diagonal", "size")
     cut = docs.join(asked, docs["id"] == asked["key"]).select("request", "side", "from", "doc", "ref", "diagonal", F.expr("substring(cast(text as binary), cast(from + 1 as int), cast(size as int))").alias("body"))
     pairs = cut.repartition("request").sortWithinPartitions("request", "doc", "ref", "diagonal", "side", "body")
-    spans = pairs.mapInArrow(_verified(min_words), "id long, start long, end long, ref long, ref_start long")
+    spans = arrow_map(pairs, _verified(min_words), "id long, start long, end long, ref long, ref_start long")
     out = spans.repartition("id").sortWithinPartitions("id", "start", "end").mapInArrow(_parsed, "id long, start long, end long, ref long, ref_start long")
     return out.select(F.col("id").alias(id_col), "start", "end", F.col("ref").alias("ref_id"), "ref_start")

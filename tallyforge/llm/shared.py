@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own bound of an Arrow batch, which counts as no wish of the user, and ours.
+DEFAULT_BATCH_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+
 _OWN: dict[str, str] = {}
 
 
@@ -39,6 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for rows that hold texts: batches of at most BATCH_BYTES, unless the session asks for still smaller ones.
+
+    A worker holds a batch several times over, on both sides of the pipe.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == f"{DEFAULT_BATCH_BYTES}b":
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, small_rows: int, broadcast_rows: int = 200_000) -> DataFrame:
     """Join with a side whose row count is known: broadcast up to ``broadcast_rows`` rows, else shuffled."""
     return big.join(F.broadcast(small) if small_rows <= broadcast_rows else small, on, how)

@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import arrow_map
+
 DICTIONARY_FRAME = 0x184D2A5D
 FILE_BYTES = 64 << 20
 DICTIONARY_BYTES = 112 << 10
@@ -129,7 +131,7 @@ def write_warc(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str =
     """
     given = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{body_col}`"))
     index = f"{uri}/index"
-    given.mapInArrow(_writer(uri, file_bytes, date), INDEX).write.parquet(index)
+    arrow_map(given, _writer(uri, file_bytes, date), INDEX).write.parquet(index)
     return df.sparkSession.read.schema(INDEX).parquet(index)
 
 
