@@ -34,7 +34,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool
     if not infer or not raw.columns:
         return clean
     tests = (("bigint", lambda x: x.rlike(r"^[+-]?\d{1,18}$")), ("double", lambda x: x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), ("date", lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(x, "yyyy-MM-dd").isNotNull()), ("boolean", lambda x: F.lower(x).isin("true", "false")))
-    got = clean.agg(*[F.bool_and(F.coalesce(t(quoted(c)), quoted(c).isNull())).alias(f"{k}{i}") for i, c in enumerate(clean.columns) for k, t in tests], *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(clean.columns)]).first()
+    got = clean.agg(*[F.bool_and(quoted(c).isNull() | t(quoted(c))).alias(f"{k}{i}") for i, c in enumerate(clean.columns) for k, t in tests], *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(clean.columns)]).first()
     kind = lambda i: next((k for k, _ in tests if got[f"{k}{i}"]), "string") if got[f"n{i}"] else "string"
     return clean.select(*[quoted(c).cast(kind(i)).alias(c) for i, c in enumerate(clean.columns)])
 
