@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text worked on at a time: small enough to stay in cache, the last document of a slice is never cut.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -57,16 +59,30 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES of text; a longer text is a run of its own."""
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    lib = ctypes.CDLL(None)
+    return lib if hasattr(lib, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """What the allocators keep of freed memory goes back to the system: workers live from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``size`` bytes of text; a longer text is a run of its own."""
     if not batch.num_rows:
         return
     _, at = utf8(batch.column(batch.schema.get_field_index(column)))
     first = 0
     while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         yield batch.slice(first, last - first)
         first = last
+    give_back()
 
 
 class Words:

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import give_back
 from .shared import arrow_map
 from pyspark.sql import types as T
 
@@ -106,6 +107,8 @@ def _folded(names: list[str], keep_copies: bool):
             moved = pc.if_else(pa.array(first), batch.column(1), pa.nulls(n, batch.column(1).type))
             out = pa.RecordBatch.from_arrays([batch.column(0), moved, *batch.columns[2:], pa.array(length), pa.array(digest), pa.array(owner, pa.int64()), pa.array(first)], names=names)
             yield out if keep_copies else out.filter(pa.array(first))
+            del texts, trie, out, moved
+            give_back()
 
     return run
 

@@ -35,6 +35,8 @@ SAMPLE_PER_LANGUAGE = 400
 #: Random vectors of DIMENSIONS entries have cosines of about 1/32; below twice that nothing was recognised.
 MIN_COSINE = 2 / np.sqrt(DIMENSIONS)
 SEED = 20_011
+#: Bytes of text that share one table of n-gram vectors.
+SLICE_BYTES = 1 << 19
 
 
 @functools.cache
@@ -107,7 +109,7 @@ class _Grams:
         self.codes = np.stack(points_of[::-1], axis=1).astype(np.uint32)
         self.doc, self.column = doc, column
 
-    def blocks(self, width: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+    def blocks(self, width: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the first text, count matrix) for runs of texts; a matrix has about ``width`` cells."""
         if not len(self.codes):
             yield 0, np.zeros((self.docs, 0), np.float32)
@@ -189,7 +191,7 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", columns:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, inner):
+            for part in slices(batch, inner, SLICE_BYTES):
                 texts = part.column(part.schema.get_field_index(inner)).to_pylist()
                 cosines = profiles.cosines(texts).astype(np.float64)
                 some = (cosines != 0).any(axis=1) if len(profiles.languages) else np.zeros(len(texts), bool)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's own bound of an Arrow batch, which counts as no wish of the user, and ours.
-DEFAULT_BATCH_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+DEFAULT_BATCH_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
 
 _OWN: dict[str, str] = {}
 
