@@ -45,6 +45,7 @@ class Profile:
 
     def __init__(self, df: DataFrame, spec: Spec, group: Column | None = None, assume_timezone: bool = False):
         self.spark, self.spec, self.grouped = df.sparkSession, spec, group is not None
+        self._numeric: dict[tuple[str, ...], DataFrame] = {}
         self.readings = readings(df, spec, assume_timezone)
         self.usable = [r for r in self.readings if r.usable]
         total = F.struct(F.lit(ROWS).alias("name"), F.lit("observed").alias("state"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("word"))
@@ -71,9 +72,10 @@ class Profile:
         """(g, name, n, n_missing, n_observed, n_unique, n_infinite, n_inexact) of the usable variables."""
         seen = F.col("state") != "missing"
         count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
-        return self.counts.where(F.col("name") != ROWS).groupBy("g", "name").agg(
+        # A row for each group and variable, which every component needs: computed once.
+        return materialised(self.counts.where(F.col("name") != ROWS).groupBy("g", "name").agg(
             F.sum("c").alias("n"), count(~seen).alias("n_missing"), count(seen).alias("n_observed"), F.count(F.when(seen, 1)).alias("n_unique"), count(F.col("state") == "infinite").alias("n_infinite"), count(F.col("state") == "inexact").alias("n_inexact")
-        )
+        ), "basic-counts")
 
     def grid(self, groups: list[str], kinds: tuple[str, ...] = ()) -> DataFrame:
         """(g, group_order, name, variable_order, type) for every group and usable variable of these kinds."""
@@ -87,14 +89,18 @@ class Profile:
         return out
 
     def numeric(self, groups: list[str] | None = None) -> DataFrame:
-        """The 23 numeric statistics of every group and numeric variable (g and orders beside them)."""
+        """The 23 numeric statistics of every group and numeric variable (g and orders beside them); a second call reads the first one's table."""
+        key = tuple(groups or [ALL])
+        if key in self._numeric:
+            return self._numeric[key]
         own = self._of(*NUMERIC).where("state = 'observed'")
         s = numeric_statistics(own.select("g", "name", F.col("num").alias("v"), "c"), ["g", "name"])
         basic = self.basic.select("g", "name", "n", "n_missing", "n_observed", "n_infinite", "n_inexact")
         out = self._full(groups, NUMERIC, basic, s)
         for c in ("n", "n_missing", "n_observed", "n_infinite", "n_finite", "n_below_lower", "n_above_upper", "outlier_count"):
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-        return out
+        self._numeric[key] = materialised(out, "numeric")
+        return self._numeric[key]
 
     def temporal(self, groups: list[str] | None = None) -> DataFrame:
         kinds = {r.name: r for r in self.usable if r.variable.analysis_type in TEMPORAL}
