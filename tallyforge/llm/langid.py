@@ -5,9 +5,20 @@ its letters' vectors, each permuted (rotated) by its distance from the n-gram's
 end; a text is the sum of its n-grams, a language the sum of its sample texts.
 The answer is the language whose prototype has the largest cosine to the text.
 
+The cosine that accepts a text depends on how many n-grams it rests on.  A text
+whose n-grams occur c times each is worth (sum c)^2 / (sum c^2) of them: its cosine
+is the mean weight of its n-grams in the prototype times the root of that number,
+so a short or repetitive text of a language has a small cosine and a varied one
+does not.  Training holds out each half of the labelled sample in turn, cuts
+passages of 1, 2, 4 ... 512 words and whole texts from it, and takes for each power
+of two of that number ``MARGIN`` times the cosine that all but ``REJECTED`` of them
+reach; between the middles of these classes it is interpolated.  A repetitive text is
+thus judged as leniently as a short one.
+
 Defined results
 * null text, or a text without letters: language null, cosine 0, rejected
-* a cosine below ``min_cosine`` for every language: the best language is named, but the text is rejected
+* a cosine below the calibrated one, or below ``min_cosine``, for every language: the best language is named, but the text is rejected
+* too few labelled passages to calibrate a number of n-grams: what holds for fewer n-grams holds there, ``min_cosine`` alone if there is none
 * equal cosines: the alphabetically first language
 * very long texts are read whole; the work grows with their distinct n-grams
 * repeated rows are judged alike; an empty table gives an empty result
@@ -32,8 +43,15 @@ DIMENSIONS = 1024
 GRAM = 3
 #: Labelled sample for the prototypes: this many texts of each language, those with the smallest hashed ids.
 SAMPLE_PER_LANGUAGE = 400
-#: Random vectors of DIMENSIONS entries have cosines of about 1/32; below twice that nothing was recognised.
+#: Random vectors of DIMENSIONS entries have cosines of about 1/32; below twice that nothing was recognised, however short the text.
 MIN_COSINE = 2 / np.sqrt(DIMENSIONS)
+#: Share of held-out passages that the calibrated cosine may reject, and passages that a class must have to be calibrated.
+REJECTED, LEAST_PASSAGES = 0.005, 40
+#: Texts of a taught language from elsewhere than the labelled ones reach less than those do.
+MARGIN = 0.6
+#: Words of the held-out passages, besides whole texts, and classes of worth: powers of two of n-grams.
+PASSAGE_WORDS = [1 << i for i in range(10)]
+CLASSES = 12
 SEED = 20_011
 #: Bytes of text that share one table of n-gram vectors.
 SLICE_BYTES = 1 << 19
@@ -131,6 +149,8 @@ class Profiles:
     def __init__(self, languages: list[str], prototypes: np.ndarray, n: int, dimensions: int, seed: int):
         self.languages, self.prototypes, self.n, self.dimensions, self.seed = languages, prototypes, n, dimensions, seed
         self._known: dict[bytes, np.ndarray] = {}
+        #: for each class of worth the cosine that accepts, 0 where nothing was calibrated
+        self.floors = np.zeros(CLASSES)
 
     @classmethod
     def train(cls, samples: dict[str, list[str]], n: int = GRAM, dimensions: int = DIMENSIONS, seed: int = SEED) -> Profiles:
@@ -150,16 +170,60 @@ class Profiles:
 
     def cosines(self, texts: list[str | None]) -> np.ndarray:
         """texts x languages; a row of zeros for a text without n-grams."""
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, how many n-grams each text is worth)."""
         g = _Grams(texts, self.n)
-        out = np.zeros((len(texts), len(self.languages)), np.float32)
+        out, worth = np.zeros((len(texts), len(self.languages)), np.float32), np.zeros(len(texts))
         if not len(g.codes) or not self.languages:
-            return out
+            return out, worth
         table = gram_vectors(g.codes, self.dimensions, self.seed).astype(np.float32)
         for first, counts in g.blocks():
             vectors = counts @ table
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             out[first : first + len(counts)] = (vectors / np.where(norms == 0, 1, norms)) @ self.prototypes.T
-        return out
+            # Sums of squares of long texts exceed what float32 counts exactly.
+            squares = np.einsum("ij,ij->i", counts, counts, dtype=np.float64)
+            worth[first : first + len(counts)] = counts.sum(axis=1, dtype=np.float64) ** 2 / np.where(squares == 0, 1, squares)
+        return out, worth
+
+    def least(self, worth: np.ndarray) -> np.ndarray:
+        """The calibrated cosine that accepts texts worth so many n-grams."""
+        return np.interp(np.log2(np.maximum(worth, 1)), np.arange(CLASSES) + 0.5, self.floors)
+
+    def calibrate(self, samples: dict[str, list[str]]) -> None:
+        """Sets ``floors`` from the samples, each half judged by prototypes of the other."""
+        worth, own = [np.zeros(0)], [np.zeros(0)]
+        for half in (0, 1):
+            taught = Profiles.train({k: v[1 - half :: 2] for k, v in samples.items()}, self.n, self.dimensions, self.seed)
+            for i, name in enumerate(taught.languages):
+                cut = [p for k, t in enumerate(samples[name][half::2]) for p in passages(t, k)]
+                for first in range(0, len(cut), 200):
+                    cosines, n = taught.judged(cut[first : first + 200])
+                    worth.append(n)
+                    own.append(cosines[:, i].astype(np.float64))
+        worth, own = np.concatenate(worth), np.concatenate(own)
+        kind, floor = _class(worth), 0.0
+        for c in range(CLASSES):
+            mine = own[(kind == c) & (worth > 0)]
+            if len(mine) >= LEAST_PASSAGES:
+                floor = max(floor, MARGIN * float(np.quantile(mine, REJECTED)))
+            self.floors[c] = floor
+
+
+def _class(worth: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(worth, 1)).astype(int), 0, CLASSES - 1)
+
+
+def passages(text: str, k: int) -> Iterator[str]:
+    """The text, and of each length in PASSAGE_WORDS below its own a passage from a place that depends on ``k``."""
+    words = text.split()
+    yield text
+    for size in PASSAGE_WORDS:
+        if size < len(words):
+            at = k * 7919 % (len(words) - size + 1)
+            yield " ".join(words[at : at + size])
 
 
 def train_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, dimensions: int = DIMENSIONS, seed: int = SEED) -> Profiles:
@@ -176,7 +240,9 @@ def train_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["language"], []).append(r["text"])
-    return Profiles.train(samples, dimensions=dimensions, seed=seed)
+    profiles = Profiles.train(samples, dimensions=dimensions, seed=seed)
+    profiles.calibrate(samples)
+    return profiles
 
 
 def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", columns: list[str] | None = None, min_cosine: float = MIN_COSINE, accepted_only: bool = False) -> DataFrame:
@@ -193,11 +259,12 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", columns:
         for batch in batches:
             for part in slices(batch, inner, SLICE_BYTES):
                 texts = part.column(part.schema.get_field_index(inner)).to_pylist()
-                cosines = profiles.cosines(texts).astype(np.float64)
+                cosines, worth = profiles.judged(texts)
+                cosines = cosines.astype(np.float64)
                 some = (cosines != 0).any(axis=1) if len(profiles.languages) else np.zeros(len(texts), bool)
                 best = cosines.argmax(axis=1) if len(profiles.languages) else np.zeros(len(texts), int)
                 top = np.where(some, cosines[np.arange(len(texts)), best] if len(profiles.languages) else 0.0, 0.0)
-                accepted = some & (top >= min_cosine)
+                accepted = some & (top >= np.maximum(min_cosine, profiles.least(worth)))
                 columns_out = [part.column(i) for i in range(len(kept))]
                 if accepted_only:
                     yield pa.RecordBatch.from_arrays(columns_out, names=schema.names).filter(pa.array(accepted))

@@ -497,6 +497,37 @@ def test_languages_odd(odd, none, docs):
     assert {r.accepted for r in langid.identify(odd, untaught).collect()} == {False}
 
 
+RIGHTS = {
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "vi": "Tat ca moi nguoi sinh ra deu duoc tu do va binh dang ve nhan pham va quyen. Moi con nguoi deu duoc tao hoa ban cho ly tri va luong tam va can phai doi xu voi nhau trong tinh bang huu.",
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.",
+}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_languages_untaught(spark, size):
+    import base64
+
+    profiles = langid.train_profiles(spark.read.parquet(f"/root/testdata/{size}/documents.parquet").where("doc_id % 2 = 0"))
+    held = [(r.lang, r.text) for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").where("doc_id % 2 = 1").collect()]
+    noise = np.random.default_rng(4).bytes
+    junk = {f"base64 of {n}": base64.b64encode(noise(n)).decode() for n in (150, 3000, 60_000)}
+    short = {f"{n} words of {i}": " ".join(t.split()[3 : 3 + n]) for n in (5, 8) for i, (_, t) in enumerate(held) if len(set(t.split())) > 40}
+    given_ = [*RIGHTS.items(), *((f"{k} again", f"{t} " * 3) for k, t in RIGHTS.items()), *junk.items(), *short.items(), *held]
+    got = langid.identify(spark.createDataFrame(given_, "name string, text string"), profiles).collect()
+    assert {r.name[:2] for r in got[: 2 * len(RIGHTS)] if r.accepted} == {"en", "de", "fr"}
+    assert all(r.accepted and r.language == r.name[:2] for r in got[: 2 * len(RIGHTS)] if r.name[:2] in ("en", "de", "fr"))
+    assert not any(r.accepted for r in got if r.name in junk)
+    few = [r.accepted for r in got if r.name in short]
+    assert sum(few) >= 0.98 * len(few) > 0
+    assert sum(r.accepted for r in got[-len(held) :]) >= 0.98 * len(held)
+
+
 # queries and pipeline
 
 
