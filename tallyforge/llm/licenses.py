@@ -1,7 +1,8 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of a text is a possible header, and the whole text a possible licence
-file.  A segment (line or text) is a sparse vector of word counts times inverse
+Every line of a text is a possible header, and so is every run of as many words as
+some template has, across line feeds and inside longer lines; the whole text is a
+possible licence file.  A segment (line, run or text) is a sparse vector of word counts times inverse
 document frequency; its licence is that of the template with the largest cosine,
 if that reaches ``threshold``.  Document frequencies of the templates' words are
 counted over all documents; a word of no template weighs like one that no document
@@ -15,7 +16,7 @@ are joined with licensed ones by path, level by level of their ancestors.
 
 Defined results
 * null text: no licence of its own, but it may inherit; the same for empty text
-* several licences in a text: the line with the largest cosine, then the alphabetically first licence
+* several licences in a text: the line or run with the largest cosine, then the alphabetically first licence
 * several licence files in a directory: the largest cosine, then the alphabetically first licence
 * null path, or a path without directory: no ancestors, so nothing to inherit
 * repeated rows get equal results; an empty table gives an empty result
@@ -125,6 +126,7 @@ class Scanner:
         self.rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
         self.names = [name for name, _ in templates]
         self.order = np.array([sorted(set(self.names)).index(x) for x in self.names])
+        self.lengths = sorted({len(tokens(wording)) for _, wording in templates})
 
     def best(self, words: Words, number: np.ndarray, segment: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
         """(template or -1, cosine) of each segment; ``segment`` numbers the one that each word stands in."""
@@ -162,6 +164,38 @@ class Scanner:
                 cosine[s] = scores.max()
         return template, cosine
 
+    def windows(self, words: Words, number: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """(template or -1, cosine) of each text's best run of as many words as a template has; every start is tried."""
+        template, cosine = np.full(docs, -1), np.zeros(docs)
+        some = number >= 0
+        weight = np.where(some, self.idf[number], self.outside)
+        # A word adds at least its weight's square to the norm's, and at most its largest share of any template to the product.
+        reach = np.concatenate([[0], np.cumsum(np.where(some, weight * self.rows.max(axis=0)[number], 0))])
+        norm = np.concatenate([[0], np.cumsum(weight**2)])
+        h = words.hashes()
+        for length in self.lengths:
+            if length > len(number):
+                break
+            start = np.arange(len(number) - length + 1)
+            likely = reach[length:] - reach[:-length] >= (self.threshold - 1e-9) * np.sqrt(norm[length:] - norm[:-length]) - 1e-9
+            start = start[likely & (words.doc[start] == words.doc[start + length - 1])]
+            for chunk in np.array_split(start, len(start) // 2000 + 1):
+                at = chunk[:, None] + np.arange(length)
+                times = (h[at][:, :, None] == h[at][:, None, :]).sum(axis=2)
+                size = np.sqrt((weight[at] ** 2 * times).sum(axis=1))
+                product = np.zeros((len(chunk), len(self.rows)))
+                for j in range(length):
+                    column = at[:, j]
+                    product += np.where(some[column], weight[column], 0)[:, None] * self.rows[:, number[column]].T
+                scores = np.round(product / size[:, None], 9)
+                top = scores.max(axis=1, initial=0)
+                for k in np.flatnonzero(top >= self.threshold):
+                    ties = np.flatnonzero(scores[k] == top[k])
+                    found, d = ties[self.order[ties].argmin()], words.doc[chunk[k]]
+                    if template[d] < 0 or (top[k], -self.order[found]) > (cosine[d], -self.order[template[d]]):
+                        template[d], cosine[d] = found, top[k]
+        return template, cosine
+
 
 def _matched(scanner: Scanner):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +211,7 @@ def _matched(scanner: Scanner):
                 doc_of = np.searchsorted(at, breaks, "right") - 1
                 template, cosine = scanner.best(words, number, line, len(breaks))
                 whole, whole_cosine = scanner.best(words, number, words.doc, n)
-                best, score = np.full(n, -1), np.zeros(n)
+                best, score = scanner.windows(words, number, n)
                 for s in np.flatnonzero(template >= 0):
                     d = min(int(doc_of[s]), n - 1)
                     new = (cosine[s], -scanner.order[template[s]])

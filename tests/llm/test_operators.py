@@ -180,6 +180,35 @@ def test_licenses(spark, texts):
     assert {r.doc_id: (r.license, r.how, r.license_dir) for r in got}[3] == ("Apache-2.0", "inherited", "a/b")
 
 
+def test_licenses_in_runs_of_words(spark, texts):
+    """Headers that are wrapped or stand inside a line, and every run of words by brute force."""
+    prose = "Enst thereat of the onanshat and rethhand thntnd in oredble erinst"
+    cases = {
+        "Licensed under the Apache License,\nVersion 2.0.": "Apache-2.0",
+        "This work is licensed under the GNU General Public License,\nversion 3.": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Released under the MIT License.": "MIT",
+        "Licensed under\nthe Apache\n\nLicense, Version 2.0": "Apache-2.0",
+        "the terms of the house and the general version of it": None,
+    }
+    given_ = [(i, t) for i, t in texts.items()] + [(10_000 + 10 * i + j, f"{a}{c}{b}") for i, c in enumerate(cases) for j, (a, b) in enumerate([(prose + "\n", "\n" + prose), (prose + " ", " " + prose), (prose + "\n", "")])]
+    got = {r.doc_id: (r.license, r.score) for r in licenses.scan(spark.createDataFrame([(i, f"d/{i}", t) for i, t in given_], "doc_id long, path string, text string")).collect()}
+    assert {i: got[i][0] for i, _ in given_ if i >= 10_000} == {10_000 + 10 * i + j: name for i, name in enumerate(cases.values()) for j in range(3)}
+    vocab = licenses.vocabulary(licenses.TEMPLATES)
+    df = Counter(w for _, t in given_ for w in set(licenses.tokens(t)) & set(vocab))
+    idf = lambda w: math.log((1 + len(given_)) / (1 + df[w])) + 1
+    templates = [{w: c * idf(w) for w, c in Counter(licenses.tokens(x)).items()} for _, x in licenses.TEMPLATES]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for i, t in given_:
+        w = licenses.tokens(t)
+        if len(w) > 120 and i < 10_000:
+            continue
+        runs = [w[a : a + n] for n in {len(licenses.tokens(x)) for _, x in licenses.TEMPLATES} for a in range(len(w) - n + 1)]
+        runs += [v for line in t.split("\n") if (v := licenses.tokens(line))]
+        best = max((sum(x * c.get(k, 0) for k, x in v.items()) / norm(v) / norm(c) for v in ({k: n * idf(k) for k, n in Counter(r).items()} for r in runs) for c in templates), default=0)
+        assert (got[i][1] or 0) >= round(best, 4) - 1e-4 if best >= licenses.THRESHOLD + 1e-9 else got[i][0] is None, (i, best, got[i])
+
+
 def test_licenses_odd(odd, none):
     from pyspark.sql import functions as F
 
