@@ -9,6 +9,10 @@ counted over all documents; a word of no template weighs like one that no docume
 has.  Vectors are made only of segments that can reach the threshold: the words
 outside the templates bound the norm from below, so that test loses nothing.
 
+Whole texts are moreover compared with complete licence texts (``licence_texts``), by
+weights of their own: a word that occurs c times counts 1 + ln c, since the common
+words of a long licence would outweigh all others, and ``FILE_THRESHOLD`` must be reached.
+
 A licence file (the text as a whole matches, or its name says so and a line
 matches) gives its licence to its directory.  A file without a licence of its own
 inherits from the nearest ancestor directory that has one: the distinct directories
@@ -25,6 +29,8 @@ Defined results
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from .batches import U64, Words, slices, utf8
 from .shared import arrow_map, join_small, written
 
-THRESHOLD = 0.7
+THRESHOLD, FILE_THRESHOLD = 0.7, 0.85
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 #: (licence, wording); a licence may have several.
 TEMPLATES = [
@@ -69,6 +75,17 @@ def tokens(text: str) -> list[bytes]:
     return re.findall(rb"[0-9a-z\x80-\xff]+", text.encode("utf-8", "surrogatepass").translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
 
 
+@functools.cache
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, complete text without a copyright line) from the files beside this module."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+    out = []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out.append((name.removesuffix(".txt"), f.read()))
+    return out
+
+
 def vocabulary(templates: list[tuple[str, str]]) -> list[bytes]:
     return sorted({w for _, wording in templates for w in tokens(wording)})
 
@@ -99,9 +116,7 @@ def document_frequencies(docs: DataFrame, vocab: list[bytes]) -> tuple[int, np.n
                 words = Words(*utf8(part.column(0)))
                 number = _numbers(words, known)
                 some = number >= 0
-                seen = np.zeros(part.num_rows * size, bool)
-                seen[words.doc[some] * size + number[some]] = True
-                df += seen.reshape(-1, size).sum(axis=0)
+                df += np.bincount(np.unique(words.doc[some] * size + number[some]) % size, minlength=size)
                 total += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size)), pa.array(np.append([total], df))], names=["word", "n"])
 
@@ -113,7 +128,8 @@ def document_frequencies(docs: DataFrame, vocab: list[bytes]) -> tuple[int, np.n
 class Scanner:
     """Template vectors with the corpus's weights; travels with the tasks."""
 
-    def __init__(self, templates: list[tuple[str, str]], documents: int, frequencies: np.ndarray, threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], documents: int, frequencies: np.ndarray, threshold: float, damped: bool = False):
+        self.damped = damped
         self.vocab = vocabulary(templates)
         self.known, self.threshold = _hashes(self.vocab), threshold
         self.idf = np.log((1 + documents) / (1 + frequencies)) + 1
@@ -122,12 +138,16 @@ class Scanner:
         rows = np.zeros((len(templates), len(self.vocab)))
         for i, (_, wording) in enumerate(templates):
             for w, n in Counter(tokens(wording)).items():
-                rows[i, number[w]] = n * self.idf[number[w]]
+                rows[i, number[w]] = self.times(n) * self.idf[number[w]]
         self.rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
         self.names = [name for name, _ in templates]
         self.order = np.array([sorted(set(self.names)).index(x) for x in self.names])
         self.lengths = sorted({len(tokens(wording)) for _, wording in templates})
 
+    def times(self, n):
+        """What n occurrences of a word count."""
+        return 1 + np.log(n) if self.damped else n
+
     def best(self, words: Words, number: np.ndarray, segment: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
         """(template or -1, cosine) of each segment; ``segment`` numbers the one that each word stands in."""
         size = len(self.vocab)
@@ -137,9 +157,9 @@ class Scanner:
         if not len(key):
             return template, cosine
         seg, word = key // size, key % size
-        weight = count * self.idf[word]
+        weight = self.times(count) * self.idf[word]
         outside = np.bincount(segment[~some], minlength=segments)
-        norm = np.bincount(seg, weight**2, segments) + outside * self.outside**2
+        norm = np.bincount(seg, weight**2, segments) + (outside > 0 if self.damped else outside) * self.outside**2
         top = np.zeros(segments)
         for row in self.rows:
             np.maximum(top, np.bincount(seg, weight * row[word], segments), out=top)
@@ -154,9 +174,9 @@ class Scanner:
             at = dict(zip((words.data[x:y].tobytes().lower() for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist())), number[a:b].tolist()))
             for w, n in counts.items():
                 if at[w] >= 0:
-                    vector[at[w]] = n * self.idf[at[w]]
+                    vector[at[w]] = self.times(n) * self.idf[at[w]]
                 else:
-                    rest += (n * self.outside) ** 2
+                    rest += (self.times(n) * self.outside) ** 2
             scores = np.round(self.rows @ vector / np.sqrt(vector @ vector + rest), 9)
             if scores.max() >= self.threshold:
                 ties = np.flatnonzero(scores == scores.max())
@@ -197,7 +217,7 @@ class Scanner:
         return template, cosine
 
 
-def _matched(scanner: Scanner):
+def _matched(scanner: Scanner, files: Scanner):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -211,6 +231,7 @@ def _matched(scanner: Scanner):
                 doc_of = np.searchsorted(at, breaks, "right") - 1
                 template, cosine = scanner.best(words, number, line, len(breaks))
                 whole, whole_cosine = scanner.best(words, number, words.doc, n)
+                full, full_cosine = files.best(words, _numbers(words, files.known), words.doc, n)
                 best, score = scanner.windows(words, number, n)
                 for s in np.flatnonzero(template >= 0):
                     d = min(int(doc_of[s]), n - 1)
@@ -218,7 +239,8 @@ def _matched(scanner: Scanner):
                     if best[d] < 0 or new > (score[d], -scanner.order[best[d]]):
                         best[d], score[d] = template[s], cosine[s]
                 name = lambda t: pa.array([scanner.names[i] if i >= 0 else None for i in t], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), name(best), pa.array(score), name(whole), pa.array(whole_cosine)], names=["id", "path", "line", "line_score", "whole", "whole_score"])
+                both = [min((-c, x.names[t]) for x, t, c in ((scanner, t, c), (files, u, d)) if t >= 0) if max(t, u) >= 0 else (0.0, None) for t, c, u, d in zip(whole, whole_cosine, full, full_cosine)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), name(best), pa.array(score), pa.array([b for _, b in both], pa.string()), pa.array([-float(c) for c, _ in both], pa.float64())], names=["id", "path", "line", "line_score", "whole", "whole_score"])
 
     return run
 
@@ -227,9 +249,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Co
     """(id, license, how, score, license_dir) of every row: how is file, header, inherited or none; license_dir is the directory inherited from."""
     path = F.col("path") if path is None else path
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), path.cast("string").alias("path"))
-    scanner = Scanner(templates, *document_frequencies(docs, vocabulary(templates)), threshold)
+    vocab, texts = vocabulary([*templates, *full_texts()]), full_texts()
+    total, frequencies = document_frequencies(docs, vocab)
+    counted = dict(zip(vocab, frequencies.tolist()))
+    of = lambda x: np.array([counted[w] for w in vocabulary(x)])
+    scanner, files = Scanner(templates, total, of(templates), threshold), Scanner(texts, total, of(texts), FILE_THRESHOLD, damped=True)
     id_type = docs.schema["id"].dataType.simpleString()
-    found = arrow_map(docs, _matched(scanner), f"id {id_type}, path string, line string, line_score double, whole string, whole_score double")
+    found = arrow_map(docs, _matched(scanner, files), f"id {id_type}, path string, line string, line_score double, whole string, whole_score double")
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     is_file = F.col("whole").isNotNull() | (named & F.col("line").isNotNull())
     own = F.when(is_file & F.col("whole").isNotNull(), F.col("whole")).otherwise(F.col("line"))

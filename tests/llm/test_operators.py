@@ -209,6 +209,18 @@ def test_licenses_in_runs_of_words(spark, texts):
         assert (got[i][1] or 0) >= round(best, 4) - 1e-4 if best >= licenses.THRESHOLD + 1e-9 else got[i][0] is None, (i, best, got[i])
 
 
+def test_licenses_full_texts(spark, texts):
+    """Complete licence files without a telling name, with a copyright line, give their licence to their directory."""
+    full = dict(licenses.full_texts())
+    given_ = [(i, f"docs/{i}", t) for i, t in texts.items()] + [(10_000 + i, f"p/{name}/{i}", f"Copyright (c) 2019 The Erinst Authors\n\n{t}") for i, (name, t) in enumerate(full.items())] + [(20_000 + i, f"p/{name}/src/a.py", "print") for i, name in enumerate(full)]
+    given_ += [(30_000, "q/1", " ".join(sorted(set(w.decode() for w in licenses.tokens(full["GPL-3.0"])))[:300])), (30_001, "q/2", "the of and to or a " * 200)]
+    got = {r.doc_id: (r.license, r.how, r.license_dir) for r in licenses.scan(spark.createDataFrame(given_, "doc_id long, path string, text string")).collect()}
+    for i, name in enumerate(full):
+        assert got[10_000 + i] == (name, "file", None) and got[20_000 + i] == (name, "inherited", f"p/{name}")
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0"} <= set(full)
+    assert got[30_000][1] == got[30_001][1] == "none"
+
+
 def test_licenses_odd(odd, none):
     from pyspark.sql import functions as F
 
