@@ -75,6 +75,17 @@ def test_warc_odd(spark, tmp_path):
     assert warc.write_warc(page.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_dictionary_of_all_records():
+    """Phrases that only the last records share get into the dictionary."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    phrases = [" ".join(word(7) for _ in range(8)) for _ in range(60)]
+    early = [" ".join(word(7) for _ in range(60)) for _ in range(750)]
+    late = [" ".join([phrases[i] for i in rng.choice(60, 12, replace=False)] + [word(7)]) for _ in range(250)]
+    raw = warc.train([t.encode() for t in early + late])
+    assert sum(p.encode() in raw for p in phrases) >= 57
+
+
 # 2 packing
 
 
