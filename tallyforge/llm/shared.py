@@ -9,8 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spark's own bound of an Arrow batch, which counts as no wish of the user, and ours.
 DEFAULT_BATCH_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
@@ -58,6 +59,14 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, small_
     return big.join(F.broadcast(small) if small_rows <= broadcast_rows else small, on, how)
 
 
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The id column as a 64-bit number; ids of other kinds (texts, fractions) are refused before anything runs, not cast."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"ids must be whole numbers of at most 64 bits, and {name} is {kind.simpleString()}: number the documents first")
+    return F.col(f"`{name}`").cast("long")
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, or with underscores added until no column in ``taken`` has that name (case ignored)."""
     used = {c.lower() for c in taken}

@@ -423,12 +423,74 @@ def check_spans(got, texts_):
         assert r < d and texts_[d].encode()[a:b] == texts_[r].encode()[at : at + b - a]
 
 
-def test_spans(docs, texts):
-    got = rows(rlzdup.duplicate_spans(docs))
+def slow_factors(texts_, least):
+    """A parser that goes through the documents one by one, with the index in a dictionary: seed -> (id, places) of its first occurrence."""
+    index, out = {}, []
+    for d in sorted(texts_):
+        b = texts_[d].encode()
+        w = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", b)]
+        seen, factors = defaultdict(list), []
+        for i in range(len(w) - least + 1):
+            start, end = w[i][0], w[i + least - 1][1]
+            seed = b[start:end]
+            seen[seed].append(start)
+            if seed in index:
+                ref, places = index[seed]
+                there = places[min(len(seen[seed]), len(places)) - 1]
+                # A factor goes on while the index knows the next seeds at the next places of the same reference.
+                old = next((f for f in factors if f[2] == ref and f[3] - f[0] == there - start and f[0] <= start <= f[1]), None)
+                if old:
+                    old[1] = max(old[1], end)
+                else:
+                    factors.append([start, end, ref, there])
+        for seed, places in seen.items():
+            index.setdefault(seed, (d, places))
+        at = 0
+        while True:
+            open_ = [f for f in factors if f[0] <= at < f[1]]
+            if open_:
+                start, end, ref, there = min(open_, key=lambda f: (-f[1], f[2]))
+                out.append((d, at, end, ref, there + at - start))
+                at = end
+            elif any(f[0] > at for f in factors):
+                at = min(f[0] for f in factors if f[0] > at)
+            else:
+                break
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot_rows", [rlzdup.HOT_ROWS, 2])
+def test_spans(docs, texts, hot_rows):
+    got = rows(rlzdup.duplicate_spans(docs, hot_rows=hot_rows))
     check_spans(got, texts)
+    assert got == slow_factors(texts, rlzdup.MIN_WORDS)
     assert covered(got) == slow_windows(texts, rlzdup.MIN_WORDS)
 
 
+@pytest.mark.parametrize("hot_rows", [rlzdup.HOT_ROWS, 1])
+def test_spans_of_repetitive_texts(spark, hot_rows):
+    """Few words, so that factors meet, overlap and repeat in every way."""
+    rng = np.random.default_rng(5)
+    gaps = [" ", ", ", " " * 300]
+    texts_ = {d: "".join("abc"[x] + gaps[int(y == 0) + int(z == 0)] for x, y, z in rng.integers(0, [2, 9, 40], (int(rng.integers(10, 80)), 3))) for d in range(40)}
+    got = rows(rlzdup.duplicate_spans(spark.createDataFrame(list(texts_.items()), "doc_id long, text string"), min_words=8, run_words=3, hot_rows=hot_rows))
+    check_spans(got, texts_)
+    assert got == slow_factors(texts_, 8) and len(got) > 100
+
+
+def test_spans_of_ids_with_several_texts(spark):
+    passage, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    got = rows(rlzdup.duplicate_spans(spark.createDataFrame([(1, passage), (2, "zzzz " + passage), (2, other), (3, other), (3, other), (3, passage)], "doc_id long, text string")))
+    n, m = len(passage), len(other)
+    assert got == sorted([(2, 5, 5 + n, 1, 0), (3, 0, m, 2, 0), (3, 0, n, 1, 0)], key=str)
+
+
+@pytest.mark.parametrize("query", [lambda d: rlzdup.duplicate_spans(d), lambda d: exactdup.owners(d), lambda d: dartminhash.near_duplicates(d), lambda d: packing.pack(d), lambda d: warc.write_warc(d, "file:///nowhere", "doc_id", "text", "text")])
+def test_ids_that_are_no_numbers_are_refused(spark, query):
+    with pytest.raises(ValueError, match="whole numbers"):
+        query(spark.createDataFrame([("u-1", "some text")], "doc_id string, text string"))
+
+
 def test_spans_of_parts(spark):
     """A short part that an early document has must not hide a passage that later ones share."""
     rng = np.random.default_rng(3)
