@@ -7,7 +7,7 @@ one to the brim takes it out of the array.
 
 A document longer than a window is cut: whole windows of its own, and the rest is
 placed.  Sizes are computed once and written as a narrow table; from there on only
-ids and sizes move.  Each shard of documents packs by itself, in id order; the
+ids and sizes move.  Each shard of documents packs by itself, in the order of ids and sizes; the
 number of shards follows the total size alone, so a result does not depend on how
 the input happens to be split.
 
@@ -15,6 +15,7 @@ Defined results
 * null or empty text (no units): placed nowhere, no row
 * ties between choices: a fuller window first, the one that reached its level first; a new window last
 * repeated rows are placed as often as they occur; a null id is placed like any other, before the rest
+* ids are whole numbers and come back unchanged, beside null ones too; others raise ValueError
 * extra columns are ignored; an empty table gives an empty result
 """
 
@@ -22,13 +23,14 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import integer_id, written
 
 WINDOW = 2048
 SHARD_UNITS = 1 << 27
@@ -78,22 +80,29 @@ class SumOfSquares:
         return window, best
 
 
-def _pack_shard(window: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "units"], kind="stable", na_position="first")
-        packer, out = SumOfSquares(window), []
-        for doc, units in zip(rows["id"].tolist(), rows["units"].tolist()):
-            start = piece = 0
-            while start < units:
-                size = min(window, units - start)
-                at, offset = packer.place(size)
-                out.append((doc, piece, at, offset, start, size))
-                start += size
-                piece += 1
-        got = pd.DataFrame(out, columns=["doc_id", "piece", "window", "window_offset", "doc_offset", "units"])
-        got["doc_id"] = pd.array(got["doc_id"], dtype="Int64")
-        got.insert(0, "shard", int(key[0]))
-        return got
+SCHEMA = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("window", pa.int64()), ("window_offset", pa.int32()), ("doc_offset", pa.int64()), ("units", pa.int32())])
+#: Pieces that are held before they are handed on.
+PIECES = 10_000
+
+
+def _packed(window: int):
+    """Rows come sorted by shard, id and size; a task holds the level array and the open windows of one shard, never its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, now, out = None, None, []
+        for batch in batches:
+            for shard, doc, units in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if packer is None or shard != now:
+                    packer, now = SumOfSquares(window), shard
+                for piece, start in enumerate(range(0, units, window)):
+                    size = min(window, units - start)
+                    at, offset = packer.place(size)
+                    out.append((shard, doc, piece, at, offset, start, size))
+                    if len(out) == PIECES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SCHEMA)], schema=SCHEMA)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SCHEMA)], schema=SCHEMA)
 
     return run
 
@@ -101,9 +110,10 @@ def _pack_shard(window: int):
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: Column | None = None, window: int = WINDOW, shard_units: int = SHARD_UNITS) -> DataFrame:
     """One row for each piece of a document: its window (shard, window), its place in the window and in the document."""
     size = pretokens(F.col(f"`{text_col}`")) if units is None else units
-    sizes = written(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("units")).where("units > 0"), "packing-sizes")
+    sizes = written(df.select(integer_id(df, id_col).alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("units")).where("units > 0"), "packing-sizes")
     total = sizes.agg(F.sum("units")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_units))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    schema = "shard int, doc_id long, piece int, window long, window_offset int, doc_offset long, units int"
-    return sizes.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack_shard(window), schema)
+    # Also by size, so that rows that share an id, or have none, are no shard of their own.
+    shard = F.pmod(F.xxhash64("id", "units"), F.lit(shards)).cast("int").alias("shard")
+    moved = sizes.select(shard, "id", "units").repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "units")
+    return moved.mapInArrow(_packed(window), "shard int, doc_id long, piece int, window long, window_offset int, doc_offset long, units int")
