@@ -10,7 +10,7 @@ plain MinHash would not see.
 Defined results
 * null text: null fingerprint; empty text: an empty fingerprint
 * a text shorter than k bytes: one k-mer, the whole text; fewer than L k-mers: all of them, in order
-* equal hashes: the earlier place in the text
+* equal hashes: the earlier place in the text; occurrences are counted by all 64 bits of a k-mer's hash, in texts of any length
 * repeated rows get equal fingerprints; an empty table gives an empty result
 * very long texts are fingerprinted whole; columns that clash with ``fingerprint`` push it to ``fingerprint_``
 """
@@ -30,7 +30,6 @@ from .shared import arrow_map, free_name
 
 K, L, M = 8, 3, 32
 SEED = 48_611
-_POSITIONS = 24
 
 
 def kmer_hashes(text: np.ndarray, k: int) -> np.ndarray:
@@ -49,16 +48,18 @@ def kmer_hashes(text: np.ndarray, k: int) -> np.ndarray:
 def occurrences(h: np.ndarray) -> np.ndarray:
     """How often each k-mer stood before in the text."""
     n = len(h)
-    if n < 1 << _POSITIONS:
-        # The upper bits of the hash name the k-mer, the lower ones hold the position: one sort of plain numbers.
-        packed = np.sort((h & ~U64((1 << _POSITIONS) - 1)) | np.arange(n, dtype=U64))
-        at = (packed & U64((1 << _POSITIONS) - 1)).astype(np.int64)
-        name = packed >> U64(_POSITIONS)
-    else:
-        at = np.lexsort((np.arange(n), h))
-        name = h[at]
+    bits = U64(max(1, n.bit_length()))
+    low = (U64(1) << bits) - U64(1)
+    # The upper bits of the hash and, below them, the position: one sort of plain numbers.
+    at = (np.sort((h & ~low) | np.arange(n, dtype=U64)) & low).astype(np.int64)
+    name = h[at]
     new = np.ones(n, bool)
     new[1:] = name[1:] != name[:-1]
+    # k-mers that differ in the lower bits alone may lie mixed; whole hashes are sorted then.
+    if (new[1:] & (name[1:] >> bits == name[:-1] >> bits)).any():
+        at = np.argsort(h, kind="stable")
+        name = h[at]
+        new[1:] = name[1:] != name[:-1]
     begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     out = np.empty(n, np.int64)
     out[at] = np.arange(n) - begin
