@@ -7,12 +7,13 @@ trained on all records of that file.  A file is closed at ``file_bytes`` of
 records; a task writes as many as it needs and nothing is shuffled.
 
 Files appear under their final names only when complete, and their names and
-contents depend on the input alone, so a task that runs again leaves the same.
+contents depend on the input and the date alone, so a task that runs again leaves the same.
 
 Defined results
 * null body: no record; its index row has null file, offset and lengths
 * empty body: a record with an empty block; null URL: the target is ``urn:record:`` and the id
-* spaces and control characters in a URL are percent-encoded; repeated rows are records of their own
+* spaces and control characters in a URL are percent-encoded; repeated rows are records of their own, each with an id of its own
+* ids are whole numbers; others raise ValueError
 * too few or too small records to train on: no dictionary frame, plain frames
 * a record larger than ``file_bytes`` has a file of its own; an empty table writes no file
 * extra columns are ignored
@@ -24,6 +25,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,13 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map
+from .shared import arrow_map, integer_id
 
 DICTIONARY_FRAME = 0x184D2A5D
 FILE_BYTES = 64 << 20
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 6
-DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, url string, file string, offset long, length long, record_bytes long, payload_sha1 string"
 
 
@@ -48,11 +49,11 @@ def _target(url: str | None, key: int | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record(key: int | None, url: str | None, body: bytes, date: str = DATE) -> bytes:
-    """One WARC/1.1 resource record."""
+def record(key: int | None, url: str | None, body: bytes, date: str, place: str) -> bytes:
+    """One WARC/1.1 resource record; ``place`` (file and number in it) makes its id one of its own, also among equal rows."""
     target = _target(url, key)
     digest = hashlib.sha1(body).hexdigest()
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key} {target} {digest}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{place} {key} {target} {digest}")
     head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {target}\r\nWARC-Block-Digest: sha1:{digest}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
@@ -86,11 +87,14 @@ def _writer(uri: str, limit: int, date: str):
         names = ["page_id", "url", "file", "offset", "length", "record_bytes", "payload_sha1"]
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
+        def named() -> str:
+            return f"part-{task:06d}-{files:04d}.warc.zst"
+
         def close(held: list[tuple[int | None, str | None, bytes, str]]) -> pa.RecordBatch:
             nonlocal files
-            name = f"part-{task:06d}-{files:04d}.warc.zst"
+            name = named()
             files += 1
-            info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()
+            info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f"{uri}/{name}")}>\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()
             frames, at = file_bytes_of([info, *(r[2] for r in held)])
             partial = f"{root}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(partial) as out:
@@ -113,11 +117,13 @@ def _writer(uri: str, limit: int, date: str):
                 if body is None:
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key, url, None, None, None, None, None), types)], names=names)
                     continue
-                made = record(key, url, body.encode() if isinstance(body, str) else body, date)
+                body = body.encode() if isinstance(body, str) else body
+                made = record(key, url, body, date, f"{uri}/{named()} {len(held)}")
                 if held and size + len(made) > limit:
                     yield close(held)
                     held, size = [], 0
-                held.append((key, url, made, hashlib.sha1(body.encode() if isinstance(body, str) else body).hexdigest()))
+                    made = record(key, url, body, date, f"{uri}/{named()} 0")
+                held.append((key, url, made, hashlib.sha1(body).hexdigest()))
                 size += len(made)
         if held:
             yield close(held)
@@ -125,12 +131,14 @@ def _writer(uri: str, limit: int, date: str):
     return run
 
 
-def write_warc(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
+def write_warc(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES, date: str | None = None) -> DataFrame:
     """Writes the rows as WARC files under ``uri`` and returns the index, one row for each row of ``df``.
 
-    The files are written once, here; the index is a table beside them.
+    The files are written once, here; the index is a table beside them.  ``date`` is
+    the WARC-Date of all records, this moment by the driver's clock if it isn't given.
     """
-    given = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{body_col}`"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    given = df.select(integer_id(df, id_col), F.col(f"`{url_col}`").cast("string"), F.col(f"`{body_col}`"))
     index = f"{uri}/index"
     arrow_map(given, _writer(uri, file_bytes, date), INDEX).write.parquet(index)
     return df.sparkSession.read.schema(INDEX).parquet(index)
