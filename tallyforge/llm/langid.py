@@ -233,10 +233,10 @@ def train_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     ranked without the texts, which are then read for those ids alone.
     """
     by_hash = Window.partitionBy("language").orderBy("order", "id")
-    named = labelled.select(F.col(id_col).alias("id"), F.col(language_col).alias("language"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("order")).where("id is not null and language is not null")
+    named = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{language_col}`").alias("language"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("order")).where("id is not null and language is not null")
     chosen = named.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language).select("id", "language")
     # At most per_language ids of each language, so the broadcast side is bounded by a parameter.
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null").orderBy("id", "text").collect()
+    rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").where("text is not null").orderBy("id", "text").collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["language"], []).append(r["text"])
