@@ -16,7 +16,7 @@ Defined results
 * null source: a source of its own; null text: measure 0, never drawn; empty text: measure 1
 * equal ranks (repeated ids): by measure, then as many of the equal rows as the size asks for
 * without target weights a source's weight is the square root of its total measure
-* a source without a target weight is not drawn if weights are given; weights need not add up to 1
+* a source without a target weight is not drawn if weights are given; weights need not add up to 1; what the weight of a source without rows asks for is shared out among the others
 * an empty table gives an empty result; extra columns are passed through
 """
 
@@ -38,6 +38,11 @@ def random_unit(id_col: Column, seed: int = SEED) -> Column:
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def source_key() -> Column:
+    """Column s as the key of joins: null is a key like any other, and no source's name is like it."""
+    return F.coalesce(F.concat(F.lit("="), F.col("s")), F.lit(""))
+
+
 def bit_length(text: Column) -> Column:
     """Number of binary digits of the text's length: the default measure, gentle to long texts; 0 for null."""
     return F.coalesce(F.length(F.bin(F.length(text))), F.lit(0)).cast("long")
@@ -64,7 +69,7 @@ def _targets(narrow: DataFrame, total: int | None, weights: dict[str | None, flo
 
 
 def _ranked(df: DataFrame, targets: DataFrame, sources: int) -> DataFrame:
-    joined = join_small(df, targets.withColumn("s_", F.coalesce("s", F.lit("\0null"))).drop("s"), ["s_"], "inner", sources)
+    joined = join_small(df, targets.withColumn("s_", source_key()).drop("s"), ["s_"], "inner", sources)
     expected = F.col("target").cast("double") * F.col("a").cast("double") / F.when(F.col("measure") > 0, F.col("measure").cast("double"))
     rows = joined.withColumn("e", F.coalesce(expected, F.lit(0.0))).withColumn("whole", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.floor("e"))
     odds = F.col("u") / (1 - F.col("u"))
@@ -80,7 +85,7 @@ def drawn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets, sources = _targets(narrow, total, weights)
     targets = written(targets, "mixing-targets")
     # A null id has the random number of the empty string.
-    small = narrow.withColumn("u", random_unit(F.coalesce(F.col("i").cast("string"), F.lit("")), seed)).withColumn("s_", F.coalesce("s", F.lit("\0null")))
+    small = narrow.withColumn("u", random_unit(F.coalesce(F.col("i").cast("string"), F.lit("")), seed)).withColumn("s_", source_key())
     ranks = _ranked(small, targets, sources)
     squeezed = F.floor(F.col("q") / (1 + F.col("q")) * RANGES)
     counts = ranks.groupBy("s_").agg(F.first("target").alias("target"), F.sum("whole").alias("whole"))
@@ -97,7 +102,7 @@ def drawn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     split = edge.where("take < ties").limit(1).count() > 0
 
     inner = [f"k{j}" for j in range(len(kept))]
-    rows = df.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner)), *core).withColumn("u", random_unit(F.coalesce(F.col("i").cast("string"), F.lit("")), seed)).withColumn("s_", F.coalesce("s", F.lit("\0null")))
+    rows = df.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner)), *core).withColumn("u", random_unit(F.coalesce(F.col("i").cast("string"), F.lit("")), seed)).withColumn("s_", source_key())
     rows = join_small(_ranked(rows, targets, sources), edge, ["s_"], "left", sources)
     here, end = F.struct("q", "i", "a"), F.struct("q_end", "i_end", "a_end")
     tied = F.col("q").isNotNull() & F.col("take").isNotNull() & here.eqNullSafe(end)
