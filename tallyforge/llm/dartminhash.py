@@ -10,17 +10,20 @@ earliest.  Two documents agree on a coordinate with a probability equal to their
 weighted Jaccard similarity, and a sketch costs about T ln T darts however long
 the text is.
 
-Bands of a sketch are joined by their hashes.  Within a bucket the sketches of all
-members are compared (each new finding is compared with all that are left, so the
-parts of a bucket that hang together are found exactly), and the groups are the
-connected parts over all buckets.
+Bands of a sketch are joined by their hashes.  Of equal sketches that a task meets
+only the first is banded, the others are linked to it, so a group of copies brings
+each bucket one row a task.  Within a bucket equal sketches are one, and the parts
+that hang together are found exactly: each new finding is compared with all that are
+left, but for those that the triangle inequality rules out (the number of coordinates
+on which two sketches differ is a distance).  The groups are the connected parts
+over all buckets.
 
 Defined results
 * null text and text without words: no sketch, never in a group
 * a text of fewer than k words: one shingle of all its words
-* repeated rows: one document; several texts under one id count as that document's
-* null id: not grouped (and kept by ``one_of_each``)
-* an empty table gives an empty result; extra columns are passed through by ``one_of_each``
+* repeated rows: one document; several texts under one id count as that document's, each of them is compared
+* null id: not grouped (and kept by ``one_of_each``); an id that isn't a whole number raises ValueError
+* an empty table gives an empty result; extra columns of any type and name are passed through by ``one_of_each``
 * very long texts are sketched whole
 """
 
@@ -32,17 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import U64, Words, mix, shingles, slices, unit, utf8
-from .shared import arrow_map, free_name, written
+from .shared import arrow_map, free_name, integer_id, written
 
 COORDINATES = 128
 SHINGLE = 3
 BANDS, ROWS = 32, 4
 SIMILARITY = 0.5
 SEED = 1_299_709
+#: Sketches that a task remembers.
+MET = 1 << 20
 _LEVEL_0 = -8
 
 
@@ -106,6 +112,7 @@ def sketches(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int
 
 def _sketch_batches(k: int, t: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*utf8(part.column(1)))
@@ -119,17 +126,27 @@ def _sketch_batches(k: int, t: int, bands: int, rows: int, seed: int):
                 for r in range(rows):
                     keys = mix(keys + prints[:, r : r + bands * rows : rows].astype(U64) + U64(1))
                 keys = mix(keys + np.arange(bands, dtype=U64)).view(np.int64)
-                sketch = pa.Array.from_buffers(pa.binary(4 * t), len(prints), [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), sketch, lists], names=["id", "sketch", "bands"])
+                ids = part.column(0).filter(pa.array(some))
+                # A fuller table of what was met would only save some more: sketches that it forgot meet in their buckets.
+                if len(met) > MET:
+                    met.clear()
+                same: list[int | None] = []
+                for digest, key in zip(map(xxhash.xxh3_128_digest, np.ascontiguousarray(prints)), ids.to_pylist()):
+                    same.append(met.get(digest))
+                    met.setdefault(digest, key)
+                first = np.array([s is None for s in same], bool)
+                held = pa.array([p.tobytes() if s is None else None for p, s in zip(prints, same)], pa.binary())
+                ends = np.concatenate([[0], np.cumsum(np.where(first, bands, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[first].ravel()))
+                yield pa.RecordBatch.from_arrays([ids, held, lists, pa.array(same, pa.int64())], names=["id", "sketch", "bands", "same"])
 
     return run
 
 
 def sketch_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, t: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """(id, sketch, bands) of every document that has words."""
-    given = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    return arrow_map(given, _sketch_batches(k, t, bands, rows, seed), "id long, sketch binary, bands array<long>")
+    """(id, sketch, bands, same) of every document that has words; for a document whose sketch its task has met, only ``same``, the id it met it with."""
+    given = df.select(integer_id(df, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    return arrow_map(given, _sketch_batches(k, t, bands, rows, seed), "id long, sketch binary, bands array<long>, same long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -185,18 +202,35 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def connected(sketch: np.ndarray, least: float) -> np.ndarray:
     """For each sketch the number of the first one in its part; two hang together if they agree on ``least`` of the coordinates."""
-    out = np.full(len(sketch), -1)
-    left = np.arange(len(sketch))
+    t = sketch.shape[1]
+    most = t - math.ceil(least * t - 1e-9)
+    rows = np.ascontiguousarray(sketch).view(np.dtype((np.void, sketch.itemsize * t))).ravel()
+    _, place, of = np.unique(rows, return_index=True, return_inverse=True)
+    # Distinct sketches in the order of their first rows.
+    order = np.argsort(place)
+    place, back = place[order], np.argsort(order)
+    kind = sketch[place]
+    out, left = np.full(len(kind), -1), np.arange(len(kind))
     while len(left):
-        first, left = left[0], left[1:]
-        out[first] = first
-        front = [first]
+        seed, left = left[0], left[1:]
+        out[seed] = seed
+        # Sketches differ from one another at least by the difference of their distances from the seed.
+        apart = (kind[left] != kind[seed]).sum(axis=1)
+        near = apart <= most
+        out[left[near]] = seed
+        front = list(zip(apart[near].tolist(), left[near].tolist()))
+        by = np.argsort(apart[~near], kind="stable")
+        left, apart = left[~near][by], apart[~near][by]
         while front and len(left):
-            near = (sketch[left] == sketch[front.pop()]).mean(axis=1) >= least
-            out[left[near]] = first
-            front += left[near].tolist()
-            left = left[~near]
-    return out
+            far, one = front.pop()
+            reach = int(np.searchsorted(apart, far + most, "right"))
+            hit = np.flatnonzero((kind[left[:reach]] != kind[one]).sum(axis=1) <= most)
+            if len(hit):
+                out[left[hit]] = seed
+                front += zip(apart[hit].tolist(), left[hit].tolist())
+                left, apart = np.delete(left, hit), np.delete(apart, hit)
+        left.sort()
+    return place[out[back[of]]]
 
 
 def _compared(least: float):
@@ -245,12 +279,11 @@ def _grouped(sketched: DataFrame, least: float) -> DataFrame:
     bands = sketched.select(F.explode("bands").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
     # Buckets with the same members, found in several tasks, are one.
     members = written(bands.mapInArrow(_buckets, "bucket long, id long").distinct(), "buckets")
-    if members.limit(1).count() == 0:
-        return sketched.sparkSession.createDataFrame([], "id long, root long")
-    # Sketches of an id that repeats: one of them, the same one always.
-    one = sketched.select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch"))
-    filled = members.join(one, "id").select("bucket", "id", "sketch").repartition("bucket").sortWithinPartitions("bucket", "id")
-    return components(filled.mapInArrow(_compared(least), "a long, b long"))
+    # An id with several texts has a row for each of its sketches.
+    held = sketched.where("sketch is not null").select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi").distinct()
+    filled = members.join(held, "id").select("bucket", "id", "sketch").repartition("bucket").sortWithinPartitions("bucket", "id")
+    found = filled.mapInArrow(_compared(least), "a long, b long")
+    return components(found.unionByName(sketched.where("same is not null and same <> id").select(F.col("id").alias("a"), F.col("same").alias("b"))))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, **how: int) -> DataFrame:
@@ -264,12 +297,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sketched = written(sketch_table(df, id_col, text_col, **how), "sketches")
     key = free_name(df.columns, "near_id")
     gone = written(_grouped(sketched, least).where("id <> root").select(F.col("id").alias(key)), "near-copies")
-    kept = df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
+    kept = df.join(gone, F.col(f"`{id_col}`") == F.col(key), "left_anti")
     repeated = written(sketched.groupBy("id").count().where("count > 1").select(F.col("id").alias(key)), "repeated-ids")
     if repeated.limit(1).count() == 0:
         return kept
     # Rows that repeat an id with the same text are one document too.
-    same = F.col(f"`{id_col}`").cast("long") == F.col(key)
-    n = free_name(df.columns, "row_no")
-    again = kept.join(repeated, same, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(*(F.col(f"`{c}`") for c in df.columns)))).where(F.col(n) == 1).drop(n)
+    same = F.col(f"`{id_col}`") == F.col(key)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    again = kept.join(repeated, same, "left_semi").groupBy(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).agg(F.min_by(row, row.cast("string")).alias("row")).select("row.*")
     return kept.join(repeated, same, "left_anti").unionByName(again)

@@ -75,6 +75,14 @@ def test_warc_odd(spark, tmp_path):
     assert warc.write_warc(page.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    page = spark.createDataFrame([(1, "u", "same page")] * 30 + [(2, "u", None)], "page_id long, url string, html string").repartition(3)
+    warc.write_warc(page, f"file://{tmp_path}/w", file_bytes=800, date="2024-05-06T07:08:09Z")
+    heads = [warc.parse(r)[0] for f in sorted((tmp_path / "w").glob("*.zst")) for _, r in warc.records_in(f.read_bytes())]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) > 35
+    assert {h["WARC-Date"] for h in heads} == {"2024-05-06T07:08:09Z"}
+
+
 def test_warc_dictionary_of_all_records():
     """Phrases that only the last records share get into the dictionary."""
     rng = np.random.default_rng(5)
@@ -142,6 +150,26 @@ def test_packing_table(docs, odd, none, texts):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_keeps_ids(spark):
+    """Ids that a double can't hold, beside a null one, and a shard that reaches over batches and tasks."""
+    big = [9007199254740993, 9007199254740995, None, -(2**63), 2**63 - 1]
+    got = packing.pack(spark.createDataFrame([(i, "a b c", 1.5) for i in big], "doc_id long, text string, shard double")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(big)
+
+
+def test_packing_by_shards(spark):
+    rng = np.random.default_rng(2)
+    sizes = {i: int(n) for i, n in enumerate(rng.integers(1, 40, 3000))}
+    got = packing.pack(spark.createDataFrame([(i, "w " * n) for i, n in sizes.items()], "doc_id long, text string").repartition(7), window=16, shard_units=9000).collect()
+    shards = {r.doc_id: r.shard for r in got}
+    assert len(set(shards.values())) > 3
+    for shard in set(shards.values()):
+        mine = [i for i in sorted(sizes) if shards[i] == shard]
+        want = packing.SumOfSquares(16)
+        pieces = [(i, k, *want.place(min(16, sizes[i] - s)), s) for i in mine for k, s in enumerate(range(0, sizes[i], 16))]
+        assert sorted((r.doc_id, r.piece, r.window, r.window_offset, r.doc_offset) for r in got if r.shard == shard) == pieces
+
+
 # 3 licences
 
 
@@ -292,6 +320,15 @@ def test_mixing_odd(odd, none):
     assert sum(r["copies_"] for r in same) == 3
 
 
+def test_mixing_null_source(spark):
+    rows_ = [(i, "text", s) for i, s in enumerate([None] * 6 + ["\0null"] * 10 + [""] * 4 + ["="] * 8)]
+    got = mixing.drawn(spark.createDataFrame(rows_, "doc_id long, text string, source string"), weights={None: 1.0, "\0null": 2.0, "": 1.0, "nowhere": 1.0}, total=16)
+    counts = Counter()
+    for r in got.collect():
+        counts[r.source] += r.copies
+    assert counts == {None: 4, "\0null": 8, "": 4}
+
+
 # 5 exact dedup
 
 
@@ -312,6 +349,24 @@ def test_exact_odd(odd, none):
     assert exactdup.owners(none).count() == 0 and exactdup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("subtree_bytes", [0, 1 << 20])
+def test_exact_hot(spark, subtree_bytes):
+    """Texts above the bound of copies are settled apart, with the same result; among them equal rows and null ids."""
+    rng = np.random.default_rng(4)
+    rows_ = [(int(i) if i else None, t) for i, t in zip(rng.integers(0, 400, 3000), rng.choice(["", "hot text", "hotter", "rare é", None, *(f"t{k}" for k in range(900))], 3000, p=[0.2, 0.2, 0.2, 0.01, 0.09, *[0.3 / 900] * 900]))]
+    rows_ += [(None, "of nobody")] * 30 + [(7, "all one row")] * 30
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(6)
+    want, first = [], {}
+    for i, t in sorted(rows_, key=lambda r: (r[0] is None, r[0] or 0)):
+        new = t is None or t not in first
+        first.setdefault(t, i)
+        want.append((i, i if t is None else first[t], new))
+    got = exactdup.owners(df, hot_rows=20, subtree_bytes=subtree_bytes).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    kept = exactdup.deduplicated(df, hot_rows=20, subtree_bytes=subtree_bytes).collect()
+    assert Counter(map(tuple, kept)) == Counter((i, t) for (i, t), w in zip(sorted(rows_, key=lambda r: (r[0] is None, r[0] or 0)), want) if w[2])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(max_size=6), max_size=40))
 def test_trie(keys):
@@ -320,6 +375,7 @@ def test_trie(keys):
         first.setdefault(k, i)
         assert trie.insert(k, i) == first[k]
     assert trie.size == len(first)
+    assert all(trie.find(k) == i for k, i in first.items()) and all(trie.find(k + b"x") == first.get(k + b"x") and trie.find(k[:-1]) == first.get(k[:-1]) for k in keys)
 
 
 # 6 URLs
@@ -377,6 +433,18 @@ def test_order_minhash(text):
     assert ordermin.fingerprint(np.frombuffer(text, np.uint8), 4, 3, 16, 7).tolist() == slow_fingerprint(text, 4, 3, 16, 7)
 
 
+def test_occurrences_by_all_bits():
+    """k-mers whose hashes agree on 40 bits, or on all but the last, are different k-mers."""
+    a, b = 0xABCDEF0123000001, 0xABCDEF0123000002
+    h = np.array([a, b, a, b, b, 5, a, 4, 5], np.uint64)
+    assert ordermin.occurrences(h).tolist() == [0, 0, 1, 1, 2, 0, 2, 0, 1]
+    h = np.random.default_rng(1).integers(0, 40, 5000).astype(np.uint64) << np.uint64(3)
+    seen = Counter()
+    for x, n in zip(h.tolist(), ordermin.occurrences(h).tolist()):
+        assert n == seen[x]
+        seen[x] += 1
+
+
 def test_order_minhash_feels_order():
     a = ("one two three four five six seven eight nine ten " * 3).encode()
     words = a.decode().split()
@@ -554,6 +622,70 @@ def test_sketch_is_unbiased():
     assert abs((s[0] == s[1]).mean() - 300 / 500) < 0.05
 
 
+def slow_sketch(elements, t, seed):
+    """Darts of each element of {hash: weight}, cell by cell, until each coordinate has one."""
+    mask = (1 << 64) - 1
+    mixed = lambda x: int(dartminhash.mix(np.array([x & mask], np.uint64))[0])
+    unit = lambda x: (x >> 11) * 2.0**-53
+    best, level = [math.inf] * t, dartminhash._LEVEL_0
+    while math.inf in best:
+        low, width = (0.0, 2.0**level) if level == dartminhash._LEVEL_0 else (2.0 ** (level - 1), 2.0 ** (level - 1))
+        for element, weight in elements.items():
+            for unit_no in range(math.ceil(weight)):
+                start = mixed(element + seed)
+                start = mixed(start + unit_no) if unit_no else start
+                here = mixed(start ^ mixed(level + 1000))
+                darts, total, p = 0, math.exp(-width), math.exp(-width)
+                while total < unit(here):
+                    darts += 1
+                    p *= width / darts
+                    total += p
+                for number in range(darts):
+                    place = mixed(here + (number + 1) * 0xD6E8FEB86659FD93)
+                    bits = t.bit_length() - 1
+                    if unit((place << bits) & mask) < weight - unit_no:
+                        rank = low + width * unit(mixed(place ^ 0xA5A5A5A5A5A5A5A5))
+                        best[place >> (64 - bits)] = min(best[place >> (64 - bits)], rank)
+        level += 1
+    return best
+
+
+def test_sketch_against_single_darts():
+    sets = [{3: 1.0}, {3: 1.0, 99: 2.7}, {i * i: 1 + i / 7 for i in range(1, 9)}]
+    doc, element, weight = zip(*((d, e, w) for d, s in enumerate(sets) for e, w in s.items()))
+    got = dartminhash.sketches(np.array(doc), np.array(element, np.uint64), np.array(weight), 3, 16, 5)
+    assert np.allclose(got, [slow_sketch(s, 16, 5) for s in sets], rtol=1e-12)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(2, 5))
+def test_connected_parts(seed, n, letters):
+    """The triangle inequality rules out no pair: the parts are those of all pairs."""
+    s = np.random.default_rng(seed).integers(0, letters, (n, 8)).astype(np.uint32)
+    part = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if (s[i] == s[j]).mean() >= 0.5:
+                a, b = part[i], part[j]
+                part = [min(a, b) if p in (a, b) else p for p in part]
+    assert dartminhash.connected(s, 0.5).tolist() == part
+
+
+def test_near_of_ids_with_several_texts(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b + " x"), (4, "other words altogether"), (5, a)], "doc_id long, text string")
+    assert rows(dartminhash.near_duplicates(df)) == [(i, 1) for i in (1, 2, 3, 5)]
+
+
+def test_names_with_dots_and_columns_of_maps(spark):
+    df = spark.createDataFrame([(1, "some words here", "en", {"a": 1}), (1, "some words here", "en", {"a": 1}), (2, "other words there", "en", None)], "`doc.id` long, `te.xt` string, `la.ng` string, extra map<string,int>")
+    got = dartminhash.one_of_each(df, "doc.id", "te.xt")
+    assert got.columns == df.columns and sorted(r[0] for r in got.collect()) == [1, 2]
+    profiles = langid.train_profiles(df, "doc.id", "te.xt", "la.ng")
+    assert langid.identify(df, profiles, "te.xt").count() == 3
+    assert mixing.mixed(df, id_col="doc.id", text_col="te.xt", source_col="la.ng").count() == 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 102), (102, 101), (7, 7)]
     got = {r.id: r.root for r in dartminhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
