@@ -31,30 +31,38 @@ GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
 _URL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^#]*)")
 
-#: The labelled table: hosts and paths of kinds that crawls block (1) and of ordinary pages (0).
-_BLOCKED = """casino-royal.test/slots casino-bonus.test/ best-casino.test/poker online-casino.test/en/12 win-casino.test/jackpot casino-win.test/en/1 lucky-win.test/roulette
-poker-stars.test/ free-poker.test/de/3 sports-bets.test/odds free-bets.test/en/7 bets-online.test/fr/9 bet-now.test/live betting-tips.test/ slots-bets.test/es/2
-cheap-pills.test/en/4 buy-pills.test/order pills-shop.test/viagra cheap-viagra.test/ cheap-meds.test/pills discount-pills.test/de/8 cialis-cheap.test/
-adult-x.test/en/5 adult-video.test/watch xxx-adult.test/ porn-tube.test/video sex-cams.test/live adult-chat.test/fr/1 hot-adult.test/es/6 x-adult.test/cams
-spam-farm.test/en/2 link-farm.test/ spam-links.test/page spam-seo.test/backlinks article-spam.test/fr/4 content-farm.test/en/99
-ads-track.test/en/3 track-ads.test/click ads-server.test/banner click-track.test/pixel ad-tracking.test/ popup-ads.test/de/1 ads-network.test/es/8
-free-iphone.test/win win-prize.test/claim payday-loan.test/apply fast-loans.test/cash warez-crack.test/keygen torrent-crack.test/dl crypto-double.test/giveaway
-royal-casino.test/roulette casino-slots.test/jackpot slots-casino.test/bonus poker-bonus.test/play live-poker.test/casino vip-roulette.test/ jackpot-slots.test/win sports-betting.test/tips betting-odds.test/bets football-bets.test/live
-viagra-pills.test/buy pills-online.test/cheap order-viagra.test/ cialis-pills.test/order meds-discount.test/viagra cheap-cialis.test/buy porn-videos.test/xxx xxx-tube.test/sex free-porn.test/watch sex-chat.test/adult adult-cams.test/sex hot-sex.test/video
-spam-blog.test/links buy-backlinks.test/seo seo-spam.test/farm links-farm.test/backlinks spam-posts.test/page ads-click.test/banner banner-ads.test/track ad-click.test/pixel tracking-ads.test/click pixel-track.test/ads popup-track.test/banner
-claim-prize.test/free free-prize.test/iphone win-iphone.test/claim payday-cash.test/loan quick-loan.test/payday cash-loans.test/fast crack-keygen.test/warez warez-dl.test/crack keygen-torrent.test/ crypto-giveaway.test/double double-bitcoin.test/crypto bitcoin-giveaway.test/claim""".split()
-_ORDINARY = """news.daily.test/en/2021/story blog.river.test/post/12 www.library.test/catalogue/8 museum.art.test/fr/exhibits wiki.plants.test/oak m.weather.test/de/berlin
-www.garden.test/en/17.html forum.bikes.test/thread/5?page=2 docs.compiler.test/guide blog.cooking.test/recipes/bread www.school.test/es/curso university.test/research/physics
-city.council.test/meetings health.advice.test/sleep books.review.test/novel/31 www.hiking.test/trails/alps shop.paper.test/en/pens m.recipes.test/soup music.lessons.test/piano
-history.archive.test/1848 www.rail.test/timetable blog.teacher.test/maths/2 astronomy.club.test/moon photo.journal.test/de/12 www.theatre.test/season tables.data.test/census
-birds.guide.test/fr/3 open.lectures.test/law www.farmers.test/market/6 language.course.test/es/9 m.thermal.test/en/44 blog.thornton.test/en/81?utm_source=feed
-www.ththe.test/en/120#top ththon.test/fr/45.html tion.test/de/311/ therea.test/en/9?page=2&ref=x station.test/es/7 nation.press.test/en/66 m.thing.test/de/18 tionless.test/en/5/
-kernel.source.test/log www.river-side.test/walks old-town.test/guide well-being.test/tips free-software.test/docs win-river.test/map ad-astra.test/stars best-books.test/list
-cheap-flights.test/rome track-cycling.test/results farm-shop.test/eggs link-road.test/plans x-ray.test/physics spare-parts.test/bike
-www.news-archive.test/story daily-news.test/en/politics news.region.test/weather weather.station.test/forecast www.museum-guide.test/exhibits blog.garden.test/plants garden.club.test/roses blog.travel.test/trails/coast www.trails.test/hiking library.city.test/catalogue books.library.test/novels
-www.university-press.test/journal research.institute.test/physics physics.school.test/lessons school.district.test/calendar maths.lessons.test/geometry language.school.test/courses music.school.test/concerts theatre.city.test/season photo.club.test/gallery www.recipes-daily.test/bread cooking.school.test/soup
-forum.gardeners.test/thread/9 forum.cyclists.test/thread/77?page=3 docs.library.test/guide/install wiki.history.test/1789 history.museum.test/exhibits/rome www.railway.test/timetable/north city.transport.test/lines health.clinic.test/advice/sleep council.region.test/meetings/2020 data.statistics.test/tables""".split()
-LABELLED = [(f"https://{u}", 1) for u in _BLOCKED] + [(f"https://{u}", 0) for u in _ORDINARY]
+#: Words of hosts that crawls block (gambling, pills, sex, loans and prizes, cracks, link farms, trackers), of ordinary hosts, and of both.
+_BLOCKED = """casino poker roulette jackpot slots blackjack bingo betting bets bookmaker odds gambling lottery
+viagra cialis pills pharmacy-rx meds-order weightloss steroids porn xxx sex adult escort nude webcam-girls milf erotic hookup
+payday loans-fast giveaway prize-claim bitcoin-double hyip replica-watches fake-id get-rich warez crack keygen torrent-dl serialz
+spam backlinks linkfarm seo-links doorway bulk-mail ads adserver adclick tracker track-pixel popup banner-click clicktrack""".split()
+_ORDINARY = """garden library museum theatre university school college hospital clinic council weather railway timetable bakery recipes cooking kitchen
+news journal magazine review novel poems history archive census statistics research physics biology geology astronomy chemistry maths geometry
+hiking trails mountain alps river coast harbour sailing cycling bikes running football chess climbing camping wildlife birds otters trees roses plants
+music piano orchestra choir photo painting pottery cinema film dance wiki forum docs guide manual compiler kernel software database python teacher lessons
+language grammar dictionary travel hotel flights train ferry village town region parliament law court charity volunteer church market farmers paper pens
+furniture clothes shoes toys books stories children parents health sleep doctor dentist pharmacy-school bank-history insurance energy solar winter spring summer autumn
+haushalt wanderung bibliothek stadt schule garten kochen nachrichten wetter rathaus jardin cuisine montagne ecole musee livres recettes mairie voyage
+escuela biblioteca cocina noticias jardines montes libros ciudad viajes tiempo brennick ondrelle vantessa kirandor marento lunara
+castelmont harrowby milden bradwell ashmere ourelle denmoor lerantis wentholm reshtel anderholt sorrento withland oakhurst pellandra quorley stanmere""".split()
+_BOTH = "best online free my top world 24 city club shop daily live new big pro hub zone point house cheap win track farm x link the home net one lucky star old royal fast hot".split()
+_PATHS = "index page list about item view start help story post".split()
+
+
+def _hosts(words: list[str], times: int, label: int) -> list[tuple[str, int]]:
+    """Each word alone and beside ``times`` words that are in hosts of both kinds, so that these decide nothing."""
+    out = []
+    for i, word in enumerate(words):
+        out.append((f"https://{word}.test/{_PATHS[i % len(_PATHS)]}", label))
+        for j in range(times):
+            other, dash = _BOTH[(5 * i + 11 * j) % len(_BOTH)], "-" if (i + j) % 2 else ""
+            host = f"{other}{dash}{word}" if (i + j) % 3 else f"{word}{dash}{other}"
+            out.append((f"https://{host}.test/{words[(i + 3 * j + 1) % len(words)] if j % 2 else _PATHS[(i + j) % len(_PATHS)]}/{7 * i + j}", label))
+    return out
+
+
+#: The labelled table: 1 is blocked.
+LABELLED = _hosts(_BLOCKED, 6, 1) + _hosts(_ORDINARY, 3, 0)
 
 
 def features(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
