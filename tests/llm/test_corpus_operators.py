@@ -421,7 +421,7 @@ def test_urls_training_by_hand():
     for _ in range(20):
         step, bias = defaultdict(float), 0.0
         for v, (_, y) in zip(vectors, rows_):
-            error = (1 / (1 + math.exp(-(sum(x * w[k] for k, x in v.items()) + b))) - y) / len(rows_)
+            error = (1 / (1 + math.exp(-(sum(x * w[k] for k, x in v.items()) + b))) - y) / 2 / sum(z == y for _, z in rows_)
             bias += error
             for k, x in v.items():
                 step[k] += error * x
