@@ -1,26 +1,29 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance along directories.
 
 Every line of a text is a possible header, and so is every run of as many words as
-some template has, across line feeds and inside longer lines; the whole text is a
-possible licence file.  A segment (line, run or text) is a sparse vector of word counts times inverse
-document frequency; its licence is that of the template with the largest cosine,
-if that reaches ``threshold``.  Document frequencies of the templates' words are
+some template has, across line feeds and inside longer lines.  A segment (line or
+run) is a sparse vector of word counts times inverse document frequency; its licence
+is that of the template with the largest cosine, if that reaches ``threshold``.  Document frequencies of the templates' words are
 counted over all documents; a word of no template weighs like one that no document
 has.  Vectors are made only of segments that can reach the threshold: the words
 outside the templates bound the norm from below, so that test loses nothing.
 
-Whole texts are moreover compared with complete licence texts (``licence_texts``), by
+Whole texts are compared with complete licence texts (``licence_texts``), by
 weights of their own: a word that occurs c times counts 1 + ln c, since the common
 words of a long licence would outweigh all others, and ``FILE_THRESHOLD`` must be reached.
 
-A licence file (the text as a whole matches, or its name says so and a line
-matches) gives its licence to its directory.  A file without a licence of its own
+A licence file gives its licence to its directory.  It is a text that matches a
+complete licence text, or one whose name says so (LICENSE, COPYING ...) and that has
+a header.  A source file that has a header, however short it is, is no licence file.
+An SPDX-License-Identifier tag is a header that needs no comparing: it names the
+licence itself, with score 1.  A file without a licence of its own
 inherits from the nearest ancestor directory that has one: the distinct directories
 are joined with licensed ones by path, level by level of their ancestors.
 
 Defined results
 * null text: no licence of its own, but it may inherit; the same for empty text
-* several licences in a text: the line or run with the largest cosine, then the alphabetically first licence
+* several licences in a text: the first SPDX tag (of an expression the first licence, without -only or -or-later), else the line or run with the largest cosine, then the alphabetically first licence
+* a sentence that denies a licence ("not licensed under ...") counts like the header that it repeats
 * several licence files in a directory: the largest cosine, then the alphabetically first licence
 * null path, or a path without directory: no ancestors, so nothing to inherit
 * repeated rows get equal results; an empty table gives an empty result
@@ -44,6 +47,8 @@ from .batches import U64, Words, slices, utf8
 from .shared import arrow_map, join_small, written
 
 THRESHOLD, FILE_THRESHOLD = 0.7, 0.85
+#: The tag's licence; a full stop behind it is no part of it.
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9]+(?:[.-]+[A-Za-z0-9]+)*)"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 #: (licence, wording); a licence may have several.
 TEMPLATES = [
@@ -230,17 +235,16 @@ def _matched(scanner: Scanner, files: Scanner):
                 line = np.searchsorted(breaks, words.start, "right") - 1
                 doc_of = np.searchsorted(at, breaks, "right") - 1
                 template, cosine = scanner.best(words, number, line, len(breaks))
-                whole, whole_cosine = scanner.best(words, number, words.doc, n)
-                full, full_cosine = files.best(words, _numbers(words, files.known), words.doc, n)
+                whole, whole_cosine = files.best(words, _numbers(words, files.known), words.doc, n)
                 best, score = scanner.windows(words, number, n)
                 for s in np.flatnonzero(template >= 0):
                     d = min(int(doc_of[s]), n - 1)
                     new = (cosine[s], -scanner.order[template[s]])
                     if best[d] < 0 or new > (score[d], -scanner.order[best[d]]):
                         best[d], score[d] = template[s], cosine[s]
-                name = lambda t: pa.array([scanner.names[i] if i >= 0 else None for i in t], pa.string())
-                both = [min((-c, x.names[t]) for x, t, c in ((scanner, t, c), (files, u, d)) if t >= 0) if max(t, u) >= 0 else (0.0, None) for t, c, u, d in zip(whole, whole_cosine, full, full_cosine)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), name(best), pa.array(score), pa.array([b for _, b in both], pa.string()), pa.array([-float(c) for c, _ in both], pa.float64())], names=["id", "path", "line", "line_score", "whole", "whole_score"])
+                name = lambda x, t: pa.array([x.names[i] if i >= 0 else None for i in t], pa.string())
+                columns = [part.column(0), part.column(2), part.column(3), name(scanner, best), pa.array(score), name(files, whole), pa.array(whole_cosine)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "path", "tag", "line", "line_score", "whole", "whole_score"])
 
     return run
 
@@ -248,18 +252,22 @@ def _matched(scanner: Scanner, files: Scanner):
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, license, how, score, license_dir) of every row: how is file, header, inherited or none; license_dir is the directory inherited from."""
     path = F.col("path") if path is None else path
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), path.cast("string").alias("path"))
+    text = F.col(f"`{text_col}`")
+    # Null where there is no tag.
+    tag = F.regexp_replace(F.nullif(F.regexp_extract(text, SPDX, 1), F.lit("")), "-(only|or-later)$", "")
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), path.cast("string").alias("path"), tag.alias("tag"))
     vocab, texts = vocabulary([*templates, *full_texts()]), full_texts()
     total, frequencies = document_frequencies(docs, vocab)
     counted = dict(zip(vocab, frequencies.tolist()))
     of = lambda x: np.array([counted[w] for w in vocabulary(x)])
     scanner, files = Scanner(templates, total, of(templates), threshold), Scanner(texts, total, of(texts), FILE_THRESHOLD, damped=True)
     id_type = docs.schema["id"].dataType.simpleString()
-    found = arrow_map(docs, _matched(scanner, files), f"id {id_type}, path string, line string, line_score double, whole string, whole_score double")
+    found = arrow_map(docs, _matched(scanner, files), f"id {id_type}, path string, tag string, line string, line_score double, whole string, whole_score double")
+    found = found.withColumn("line", F.coalesce("tag", "line")).withColumn("line_score", F.when(F.col("tag").isNotNull(), 1.0).otherwise(F.col("line_score")))
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     is_file = F.col("whole").isNotNull() | (named & F.col("line").isNotNull())
-    own = F.when(is_file & F.col("whole").isNotNull(), F.col("whole")).otherwise(F.col("line"))
-    score = F.when(is_file & F.col("whole").isNotNull(), F.col("whole_score")).otherwise(F.col("line_score"))
+    own = F.coalesce("whole", "line")
+    score = F.when(F.col("whole").isNotNull(), F.col("whole_score")).otherwise(F.col("line_score"))
     place = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", ""))
     own_how = F.when(is_file, "file").when(F.col("line").isNotNull(), "header")
     narrow = written(found.select("id", place.alias("dir"), own.alias("own"), score.alias("score"), own_how.alias("own_how")), "licenses")

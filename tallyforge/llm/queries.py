@@ -82,7 +82,8 @@ WITH templates(t, license, wording) AS (VALUES {_TEMPLATE_ROWS}),
 template_words AS (
   SELECT t, license, w, count(*) AS tf FROM (
     SELECT t, license, unnest(regexp_extract_all(translate(wording, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS w FROM templates) GROUP BY ALL),
-docs AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, translate(text, '{_UPPER}', '{_LOWER}') AS body FROM documents),
+docs AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, translate(text, '{_UPPER}', '{_LOWER}') AS body,
+  regexp_replace(nullif(regexp_extract(text, '{licenses.SPDX}', 1), ''), '-(only|or-later)$', '') AS tag FROM documents),
 size AS (SELECT count(body) AS n FROM docs),
 segments AS (
   SELECT r, 'line' AS kind, i AS part, regexp_extract_all(line, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws
@@ -99,14 +100,14 @@ norms AS (
 template_norms AS (SELECT t, sqrt(sum(pow(tf * idf, 2))) AS norm FROM template_words JOIN idf USING (w) GROUP BY t),
 scores AS (
   SELECT c.r, c.kind, c.part, tw.license, round(sum(c.tf * idf * tw.tf * idf) / any_value(s.norm) / any_value(tn.norm), 9) AS score
-  FROM counts c JOIN idf USING (w) JOIN template_words tw ON tw.w = c.w JOIN norms s ON (s.r, s.kind, s.part) = (c.r, c.kind, c.part) JOIN template_norms tn ON tn.t = tw.t
+  FROM (SELECT * FROM counts WHERE kind = 'line') c JOIN idf USING (w) JOIN template_words tw ON tw.w = c.w JOIN norms s ON (s.r, s.kind, s.part) = (c.r, c.kind, c.part) JOIN template_norms tn ON tn.t = tw.t
   GROUP BY c.r, c.kind, c.part, tw.t, tw.license),
-best AS (SELECT r, kind, license, score FROM scores WHERE score >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, kind ORDER BY score DESC, license) = 1),
+best AS (SELECT r, license, score FROM scores WHERE score >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
 own AS (
   SELECT d.r, d.doc_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS dir,
-    coalesce(w.license, l.license) AS license, coalesce(w.score, l.score) AS score,
-    CASE WHEN w.license IS NOT NULL THEN 'file' WHEN l.license IS NOT NULL THEN CASE WHEN regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$') THEN 'file' ELSE 'header' END END AS how
-  FROM docs d LEFT JOIN best w ON w.r = d.r AND w.kind = 'whole' LEFT JOIN best l ON l.r = d.r AND l.kind = 'line'),
+    coalesce(tag, l.license) AS license, CASE WHEN tag IS NOT NULL THEN 1 ELSE l.score END AS score,
+    CASE WHEN coalesce(tag, l.license) IS NOT NULL THEN CASE WHEN regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$') THEN 'file' ELSE 'header' END END AS how
+  FROM docs d LEFT JOIN best l ON l.r = d.r),
 licensed AS (SELECT dir AS up, license, score FROM own WHERE how = 'file' AND dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
 above AS (
   SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS up

@@ -191,9 +191,8 @@ def slow_scan(rows_, threshold=licenses.THRESHOLD):
 
     own, licensed = {}, {}
     for i, path, text in rows_:
-        whole = best(text) if text else None
         line = min(filter(None, map(best, (text or "").split("\n"))), default=None)
-        file = whole or (line if path and re.match(licenses.FILE_NAME, path.rsplit("/", 1)[-1]) else None)
+        file = line if path and re.match(licenses.FILE_NAME, path.rsplit("/", 1)[-1]) else None
         own[i] = (file[1], "file") if file else (line[1], "header") if line else None
         if file and path and "/" in path:
             d = path.rsplit("/", 1)[0]
@@ -248,6 +247,19 @@ def test_licenses_in_runs_of_words(spark, texts):
         assert (got[i][1] or 0) >= round(best, 4) - 1e-4 if best >= licenses.THRESHOLD + 1e-9 else got[i][0] is None, (i, best, got[i])
 
 
+def test_licenses_of_source_files(spark, texts):
+    """A short source file with a header is no licence file, and nothing inherits from it; tags are read as such."""
+    apache, gpl = "Licensed under the Apache License, Version 2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    given_ = [(i, f"docs/{i}", t) for i, t in texts.items()]
+    given_ += [(10_000, "e/short.py", f"# {apache}\nimport os"), (10_001, "e/other.py", "print"), (10_002, "g/s.c", f"/* {gpl} */"), (10_003, "g/t.c", "int x;"), (10_004, "h/a.rs", "// SPDX-License-Identifier: MIT\nfn main() {}"), (10_005, "h/b.rs", "fn f() {}")]
+    given_ += [(10_006, "i/a.c", "/* SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) */"), (10_007, "i/LICENSE", "SPDX-License-Identifier: ISC."), (10_008, "i/j/b.c", "int y;"), (10_009, "k/w.c", "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met: */")]
+    got = {r.doc_id: (r.license, r.how, r.license_dir) for r in licenses.scan(spark.createDataFrame(given_, "doc_id long, path string, text string")).collect()}
+    assert [got[10_000 + i] for i in range(10)] == [
+        ("Apache-2.0", "header", None), (None, "none", None), ("GPL-3.0", "header", None), (None, "none", None), ("MIT", "header", None),
+        (None, "none", None), ("GPL-2.0", "header", None), ("ISC", "file", None), ("ISC", "inherited", "i"), ("BSD-3-Clause", "header", None),
+    ]
+
+
 def test_licenses_full_texts(spark, texts):
     """Complete licence files without a telling name, with a copyright line, give their licence to their directory."""
     full = dict(licenses.full_texts())
