@@ -280,7 +280,7 @@ def _grouped(sketched: DataFrame, least: float) -> DataFrame:
     # Buckets with the same members, found in several tasks, are one.
     members = written(bands.mapInArrow(_buckets, "bucket long, id long").distinct(), "buckets")
     # An id with several texts has a row for each of its sketches.
-    held = sketched.where("sketch is not null").select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi").distinct()
+    held = sketched.where("sketch is not null").select("id", "sketch")
     filled = members.join(held, "id").select("bucket", "id", "sketch").repartition("bucket").sortWithinPartitions("bucket", "id")
     found = filled.mapInArrow(_compared(least), "a long, b long")
     return components(found.unionByName(sketched.where("same is not null and same <> id").select(F.col("id").alias("a"), F.col("same").alias("b"))))
