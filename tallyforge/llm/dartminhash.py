@@ -135,7 +135,8 @@ def _sketch_batches(k: int, t: int, bands: int, rows: int, seed: int):
                     same.append(met.get(digest))
                     met.setdefault(digest, key)
                 first = np.array([s is None for s in same], bool)
-                held = pa.array([p.tobytes() if s is None else None for p, s in zip(prints, same)], pa.binary())
+                # Two bytes a coordinate are enough to compare: others agree by chance on one of 65,536.
+                held = pa.array([p.tobytes() if s is None else None for p, s in zip(prints.astype(np.uint16), same)], pa.binary())
                 ends = np.concatenate([[0], np.cumsum(np.where(first, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[first].ravel()))
                 yield pa.RecordBatch.from_arrays([ids, held, lists, pa.array(same, pa.int64())], names=["id", "sketch", "bands", "same"])
@@ -241,7 +242,7 @@ def _compared(least: float):
             sketch = table.column(2)
             a, b = [], []
             for first, last in zip(at[:-1], at[1:]):
-                part = np.frombuffer(b"".join(sketch.slice(first, last - first).to_pylist()), np.uint32).reshape(last - first, -1)
+                part = np.frombuffer(b"".join(sketch.slice(first, last - first).to_pylist()), np.uint16).reshape(last - first, -1)
                 ids = doc[first:last]
                 head = ids[connected(part, least)]
                 far = head != ids
@@ -281,7 +282,8 @@ def _grouped(sketched: DataFrame, least: float) -> DataFrame:
     members = written(bands.mapInArrow(_buckets, "bucket long, id long").distinct(), "buckets")
     # An id with several texts has a row for each of its sketches.
     held = sketched.where("sketch is not null").select("id", "sketch")
-    filled = members.join(held, "id").select("bucket", "id", "sketch").repartition("bucket").sortWithinPartitions("bucket", "id")
+    # Shuffled at every size: neither side is bounded.
+    filled = members.hint("merge").join(held, "id").select("bucket", "id", "sketch").repartition("bucket").sortWithinPartitions("bucket", "id")
     found = filled.mapInArrow(_compared(least), "a long, b long")
     return components(found.unionByName(sketched.where("same is not null and same <> id").select(F.col("id").alias("a"), F.col("same").alias("b"))))
 
