@@ -52,15 +52,16 @@ def longitudinal_drift(periods: Periods, spec: Spec, variables: list[str] | None
     # A column that a period lacks, or can't be read there, is null in the union and dropped again by (period, variable).
     types = {v.name: next(r.dtype for rs in bound.values() for r in rs if r.name == v.name and r.usable) for v in good}
     parts = [df.select(F.lit(str(p)).alias("\0p"), *[(F.col(f"`{v.name}`") if (p, v.name) in usable else F.lit(None)).cast(types[v.name]).alias(v.name) for v in good]) for p, df in enumerate(periods.tables.values(), 1)]
-    profile = Profile(reduce(DataFrame.unionByName, parts), Spec(tuple(good)), F.col("`\0p`"), assume_timezone)
+    # Written once: the periods are read again by each pass of the profile.
+    profile = Profile(reduce(DataFrame.unionByName, parts), Spec(tuple(good)), F.col("`\0p`"), assume_timezone, overall=False, kept=True)
     groups = [str(p) for p in bound]
     cells = [(p, periods.labels[p - 1], order[v.name], v.name, v.analysis_type, (p, v.name) in usable) for p in bound for v in spec]
     cell = F.broadcast(spark.createDataFrame(cells, "period_index int, period string, variable_index int, variable string, kind string, usable boolean"))
     state = [F.when(F.col("usable"), "available").otherwise("unavailable").alias("status"), F.when(~F.col("usable"), "the variable can't be read in this period").alias("reason")]
     own = lambda part: part.withColumn("period_index", F.col("g").try_cast("int")).withColumnRenamed("name", "variable")
-    sizes = profile.counts.where("name = '\0rows' and g <> '\0all'").groupBy(F.col("g").try_cast("int").alias("period_index")).agg(F.sum("c").alias("rows"))
+    sizes = profile.cells.where("i = -1").select(F.col("g").try_cast("int").alias("period_index"), F.col("n").alias("rows"))
 
-    basic = own(profile.basic.where("g <> '\0all'").select("g", "name", F.col("n_missing").alias("m")))
+    basic = own(profile.cells.where("i >= 0").select("g", profile._name(F.col("i")).alias("name"), F.col("n_missing").alias("m")))
     held = cell.join(sizes, "period_index", "left").join(basic.select("period_index", "variable", "m"), ["period_index", "variable"], "left")
     n, m = F.coalesce("rows", F.lit(0)), F.when(F.col("usable"), F.coalesce("m", F.lit(0)))
     missingness = held.select("period_index", "period", "variable_index", "variable", n.alias("n"), m.alias("n_missing"), (n - m).alias("n_observed"), safe_div(m, n).alias("p_missing"), *state)

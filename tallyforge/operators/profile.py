@@ -1,17 +1,18 @@
-"""Typed summaries from one table of value counts.
+"""Typed summaries of a table, whole or by group.
 
-One scan turns each row into (group, variable, state, value) and counts equal ones,
-with partial aggregation before the only shuffle.  Every statistic, for every group
-and for all groups together, is then an aggregate of that narrow table: exact
-distinct counts are numbers of rows, quantiles and moments are weighted.  Texts are
-counted by SHA-256 and length, so their bodies never travel.
+One aggregate, with a row for each group and no shuffle of values, gives counts, sums,
+extremes and central moments of all variables; it is unpivoted into a small table of
+cells (group, variable).  Everything else is done only if it is asked for: quantiles by
+counted cells, fences by one more pass, numbers of distinct values and levels variable
+by variable, each reading its own column.  Texts are told apart by SHA-256 and length,
+so their bodies never travel.  Overall is merged from the groups' cells.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import BLANKS, EXACT, Reading, is_infinite, number_form, readings, safe_div, text_form
@@ -22,60 +23,137 @@ from .quantiles import quantiles
 ALL = "\0all"
 ROWS = "\0rows"
 NUMERIC, LEVELS, TEMPORAL = ("numeric", "integer"), ("categorical", "binary"), ("date", "datetime")
+#: Variables of one aggregate: generated code has a size that the JVM still compiles.
+TOGETHER = 16
+#: Levels of all categorical variables together; a profile with more fails, nothing is cut.
+MAX_LEVELS = 100_000
+_CELL = ["n_missing", "n_infinite", "n_inexact", "n_finite", "sum", "lo", "hi", "m2", "m3", "m4", "n_empty", "n_blank", "min_length", "max_length"]
 
 
-def _entry(r: Reading) -> Column:
-    v, x, kind = r.variable, r.column, r.variable.analysis_type
+def _columns(i: int, r: Reading) -> list[Column]:
+    """What the passes read of variable i: m (missing), v (number), k (state), h (hash), l (level)."""
+    kind, x, name = r.variable.analysis_type, r.column, lambda c: f"{c}{i}"
+    out = [r.missing.alias(name("m"))]
     if kind == "text":
-        state = F.when(r.missing, "missing").when(x == "", "empty").when(F.btrim(x, F.lit(BLANKS)) == "", "blank").otherwise("observed")
-        num, word = F.char_length(x).cast("double"), F.sha2(x, 256)
+        blank = F.btrim(x, F.lit(BLANKS)) == ""
+        out += [F.when(~r.missing, F.when(x == "", 1).when(blank, 2).otherwise(0)).alias(name("k")), F.when(~r.missing, F.char_length(x)).alias(name("v")), F.when(~r.missing, F.sha2(x, 256)).alias(name("h"))]
     elif kind in LEVELS:
-        state, num, word = F.when(r.missing, "missing").otherwise("observed"), F.lit(None).cast("double"), text_form(x, r.dtype)
+        out += [F.when(~r.missing, text_form(x, r.dtype)).alias(name("l"))]
     else:
         num = number_form(x, r.dtype)
         # Whole numbers that a double does not hold are counted apart and make the variable unusable.
         lossy = F.abs(x.cast("decimal(20,0)")) > EXACT if kind == "integer" else F.lit(False)
-        state = F.when(r.missing, "missing").when(lossy, "inexact").when(is_infinite(num), "infinite").otherwise("observed")
-        word = F.lit(None).cast("string")
-    return F.struct(F.lit(v.name).alias("name"), state.alias("state"), F.when(state != "missing", num).alias("num"), F.when(state != "missing", word).alias("word"))
+        infinite = is_infinite(num) if kind in NUMERIC else F.lit(False)
+        out += [F.when(r.missing, 0).when(lossy, 1).when(infinite, 2).otherwise(3).alias(name("k"))]
+        out += [F.when(~r.missing & ~lossy & ~infinite, num).alias(name("v")), F.when(~r.missing, x if kind == "integer" else num).alias(name("h"))]
+    return out
+
+
+def _aggregates(i: int, r: Reading) -> list[Column]:
+    kind, col = r.variable.analysis_type, lambda c: F.col(f"{c}{i}")
+    out: dict[str, Column] = {"n_missing": F.count_if(col("m"))}
+    if kind == "text":
+        out |= {"n_empty": F.count_if(col("k") == 1), "n_blank": F.count_if(col("k") == 2), "min_length": F.min(col("v")).cast("long"), "max_length": F.max(col("v")).cast("long")}
+    elif kind not in LEVELS:
+        v = col("v")
+        out |= {"n_finite": F.count(v), "lo": F.min(v), "hi": F.max(v)}
+        if kind in NUMERIC:
+            n, m2 = F.count(v), F.var_pop(v) * F.count(v)
+            out |= {"n_infinite": F.count_if(col("k") == 2), "n_inexact": F.count_if(col("k") == 1), "sum": F.sum(v), "m2": m2}
+            out |= {"m3": F.coalesce(F.skewness(v) * F.pow(m2, F.lit(1.5)) / F.sqrt(n), F.lit(0.0)), "m4": F.coalesce((F.kurtosis(v) + 3) * m2 * m2 / n, F.lit(0.0))}
+    return [x.alias(f"{c}_{i}") for c, x in out.items()]
 
 
 class Profile:
-    """Summaries of a table, whole or by group.  ``group`` is a string column; its nulls are left out."""
+    """Summaries of a table, whole or by group.  ``group`` is a string column; its nulls are left out.
+
+    With ``kept`` the columns that the passes read are written first, for tables that are costly to read again.
+    """
 
-    def __init__(self, df: DataFrame, spec: Spec, group: Column | None = None, assume_timezone: bool = False):
+    def __init__(self, df: DataFrame, spec: Spec, group: Column | None = None, assume_timezone: bool = False, overall: bool = True, kept: bool = False):
         self.spark, self.spec, self.grouped = df.sparkSession, spec, group is not None
+        self.overall = self.grouped and overall
         self._numeric: dict[tuple[str, ...], DataFrame] = {}
+        self._quartiles: dict[tuple[str, ...], DataFrame] = {}
         self.readings = readings(df, spec, assume_timezone)
         self.usable = [r for r in self.readings if r.usable]
-        total = F.struct(F.lit(ROWS).alias("name"), F.lit("observed").alias("state"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("word"))
         key = F.lit(ALL) if group is None else group
-        long = df.select(key.alias("g"), F.explode(F.array(total, *map(_entry, self.usable))).alias("e")).where("g is not null").select("g", "e.*")
-        self.counts = materialised(long.groupBy("g", "name", "state", "num", "word").agg(F.count(F.lit(1)).alias("c")), "value-counts")
-        if self.grouped:
-            everything = self.counts.groupBy("name", "state", "num", "word").agg(F.sum("c").alias("c"))
-            self.counts = self.counts.unionByName(everything.select(F.lit(ALL).alias("g"), "name", "state", "num", "word", "c"))
+        self.rows = df.select(key.alias("g"), *(c for i, r in enumerate(self.usable) for c in _columns(i, r))).where("g is not null")
+        if kept:
+            self.rows = materialised(self.rows, "profile-rows")
 
-    def _named(self, *kinds: str) -> list[str]:
-        return [r.name for r in self.usable if r.variable.analysis_type in kinds]
+    def _numbers(self, kinds: tuple[str, ...]) -> list[int]:
+        return [i for i, r in enumerate(self.usable) if r.variable.analysis_type in kinds]
 
-    def _of(self, *kinds: str) -> DataFrame:
-        return self.counts.where(F.col("name").isin(self._named(*kinds) or [""]))
+    def _name(self, i: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(r.name) for r in self.usable] or [F.lit("")]), i + 1)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """(g, i, n and _CELL) of each group and usable variable, and the group's size under i = -1; written once."""
+        types = {c: "double" if c in ("sum", "lo", "hi", "m2", "m3", "m4") else "long" for c in _CELL}
+        parts = []
+        for first in range(0, max(1, len(self.usable)), TOGETHER):
+            chunk = list(enumerate(self.usable))[first : first + TOGETHER]
+            wide = self.rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(a for i, r in chunk for a in _aggregates(i, r)))
+            have = set(wide.columns)
+            items = [F.struct(F.lit(i).alias("i"), *((F.col(f"{c}_{i}") if f"{c}_{i}" in have else F.lit(None)).cast(t).alias(c) for c, t in types.items())) for i, _ in chunk]
+            if not first:
+                items.append(F.struct(F.lit(-1).alias("i"), *(F.lit(None).cast(t).alias(c) for c, t in types.items())))
+            parts.append(wide.select("g", "n", F.explode(F.array(*items)).alias("x")).select("g", "n", "x.*"))
+        cells = materialised(reduce(DataFrame.unionByName, parts), "profile-cells")
+        return materialised(cells.unionByName(_merged(cells)), "profile-cells") if self.overall else cells
 
     @cached_property
     def totals(self) -> dict[str, int]:
         """Rows of each group; one number for each group, groups are bounded by the caller."""
-        return {r["g"]: r["n"] for r in self.counts.where(F.col("name") == ROWS).groupBy("g").agg(F.sum("c").alias("n")).collect()} or {ALL: 0}
+        return {r["g"]: r["n"] for r in self.cells.where("i = -1").select("g", "n").collect()} or {ALL: 0}
+
+    def _distinct(self, i: int) -> DataFrame:
+        """(g, n_unique) of variable i, from its own column."""
+        kind = self.usable[i].variable.analysis_type
+        columns = [F.col(f"h{i}"), F.col(f"v{i}")] if kind == "text" else [F.col(f"l{i}" if kind in LEVELS else f"h{i}")]
+        each = self.rows.where(~F.col(f"m{i}")).select("g", *(c.alias(f"x{j}") for j, c in enumerate(columns))).distinct()
+        by = each.groupBy("g").agg(F.count(F.lit(1)).alias("n_unique"))
+        if self.overall:
+            by = by.unionByName(each.drop("g").distinct().agg(F.count(F.lit(1)).alias("n_unique")).select(F.lit(ALL).alias("g"), "n_unique"))
+        return by.select("g", F.lit(i).alias("i"), "n_unique")
+
+    def _basic(self, numbers: list[int]) -> DataFrame:
+        counted = self.cells.where(F.col("i").isin(numbers or [-2]))
+        if numbers:
+            counted = counted.join(materialised(reduce(DataFrame.unionByName, map(self._distinct, numbers)), "distinct-counts"), ["g", "i"], "left")
+        else:
+            counted = counted.withColumn("n_unique", F.lit(0).cast("long"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return counted.select("g", self._name(F.col("i")).alias("name"), "n", "n_missing", (F.col("n") - F.col("n_missing")).alias("n_observed"), zero("n_unique"), zero("n_infinite"), zero("n_inexact"))
 
     @cached_property
     def basic(self) -> DataFrame:
         """(g, name, n, n_missing, n_observed, n_unique, n_infinite, n_inexact) of the usable variables."""
-        seen = F.col("state") != "missing"
-        count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
-        # A row for each group and variable, which every component needs: computed once.
-        return materialised(self.counts.where(F.col("name") != ROWS).groupBy("g", "name").agg(
-            F.sum("c").alias("n"), count(~seen).alias("n_missing"), count(seen).alias("n_observed"), F.count(F.when(seen, 1)).alias("n_unique"), count(F.col("state") == "infinite").alias("n_infinite"), count(F.col("state") == "inexact").alias("n_inexact")
-        ), "basic-counts")
+        return self._basic(list(range(len(self.usable))))
+
+    def _cells_of(self, kinds: tuple[str, ...]) -> DataFrame:
+        """Cells of the variables of these kinds with their names."""
+        return self.cells.where(F.col("i").isin(self._numbers(kinds) or [-2])).withColumn("name", self._name(F.col("i"))).withColumn("n_observed", F.col("n") - F.col("n_missing"))
+
+    def _values(self, kinds: tuple[str, ...]) -> DataFrame:
+        """(g, i, v, c) of the finite values of these kinds, also for Overall."""
+        numbers = self._numbers(kinds)
+        if not numbers:
+            return self.spark.createDataFrame([], "g string, i int, v double, c int")
+        group = F.explode(F.array("g", F.lit(ALL))).alias("g") if self.overall else F.col("g")
+        pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in numbers))
+        return self.rows.select(group, pairs.alias("pairs")).select("g", F.explode("pairs").alias("x")).select("g", "x.*").where("v is not null").withColumn("c", F.lit(1))
+
+    def quartiles(self, kinds: tuple[str, ...]) -> DataFrame:
+        """(g, i, q) of the variables of these kinds; what was computed together with others is not computed again."""
+        for have, table in self._quartiles.items():
+            if set(kinds) <= set(have):
+                return table.where(F.col("i").isin(self._numbers(kinds) or [-2]))
+        base = self.cells.where(F.col("i").isin(self._numbers(kinds) or [-2])).select("g", "i", F.col("n_finite").alias("n"), "lo", "hi")
+        self._quartiles[kinds] = materialised(quantiles(self._values(kinds), ["g", "i"], base=base), "quartiles")
+        return self._quartiles[kinds]
 
     def grid(self, groups: list[str], kinds: tuple[str, ...] = ()) -> DataFrame:
         """(g, group_order, name, variable_order, type) for every group and usable variable of these kinds."""
@@ -93,10 +171,11 @@ class Profile:
         key = tuple(groups or [ALL])
         if key in self._numeric:
             return self._numeric[key]
-        own = self._of(*NUMERIC).where("state = 'observed'")
-        s = numeric_statistics(own.select("g", "name", F.col("num").alias("v"), "c"), ["g", "name"])
-        basic = self.basic.select("g", "name", "n", "n_missing", "n_observed", "n_infinite", "n_inexact")
-        out = self._full(groups, NUMERIC, basic, s)
+        own = with_fences(self._cells_of(NUMERIC).join(self.quartiles(NUMERIC), ["g", "i"], "left"))
+        fences = F.broadcast(own.select("g", "i", "lower_fence", "upper_fence"))
+        beyond = self._values(NUMERIC).join(fences, ["g", "i"]).groupBy("g", "i").agg(F.count_if(F.col("v") < F.col("lower_fence")).alias("n_below_lower"), F.count_if(F.col("v") > F.col("upper_fence")).alias("n_above_upper"))
+        stats = numeric_columns(own.withColumnsRenamed({"lo": "min", "hi": "max"}).join(beyond, ["g", "i"], "left"), ["g", "name", "n", "n_missing", "n_observed", "n_infinite", "n_inexact"])
+        out = self._full(groups, NUMERIC, stats)
         for c in ("n", "n_missing", "n_observed", "n_infinite", "n_finite", "n_below_lower", "n_above_upper", "outlier_count"):
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
         self._numeric[key] = materialised(out, "numeric")
@@ -104,10 +183,8 @@ class Profile:
 
     def temporal(self, groups: list[str] | None = None) -> DataFrame:
         kinds = {r.name: r for r in self.usable if r.variable.analysis_type in TEMPORAL}
-        own = self._of(*TEMPORAL).where("state = 'observed'")
-        base = own.groupBy("g", "name").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
-        q = quantiles(own.select("g", "name", F.col("num").alias("v"), "c"), ["g", "name"])
-        out = self._full(groups, TEMPORAL, self.basic.select("g", "name", "n", "n_missing", "n_observed", "n_unique"), base, q)
+        base = self._cells_of(TEMPORAL).join(self.quartiles(TEMPORAL), ["g", "i"], "left").select("g", "name", "lo", "hi", "q")
+        out = self._full(groups, TEMPORAL, self._basic(self._numbers(TEMPORAL)).select("g", "name", "n", "n_missing", "n_observed", "n_unique"), base)
         is_date = F.col("type") == "date"
 
         def shown(x: Column) -> Column:
@@ -128,23 +205,32 @@ class Profile:
         )
 
     def text(self, groups: list[str] | None = None) -> DataFrame:
-        own = self._of("text").where("state <> 'missing'")
-        held = lambda s: F.sum(F.when(F.col("state") == s, F.col("c")).otherwise(0))
-        s = own.groupBy("g", "name").agg(held("empty").alias("n_empty"), held("blank").alias("n_whitespace"), F.min("num").cast("long").alias("min_length"), F.max("num").cast("long").alias("max_length"))
-        out = self._full(groups, ("text",), self.basic.select("g", "name", "n", "n_missing", "n_observed", "n_unique"), s)
+        s = self._cells_of(("text",)).select("g", "name", "n_empty", F.col("n_blank").alias("n_whitespace"), "min_length", "max_length")
+        out = self._full(groups, ("text",), self._basic(self._numbers(("text",))).select("g", "name", "n", "n_missing", "n_observed", "n_unique"), s)
         for c in ("n", "n_missing", "n_observed", "n_unique", "n_empty", "n_whitespace"):
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
         return out
 
+    @cached_property
+    def level_counts(self) -> DataFrame:
+        """(g, name, level, k) of the observed levels of all categorical variables, each from its own column."""
+        numbers = self._numbers(LEVELS)
+        if not numbers:
+            return self.spark.createDataFrame([], "g string, name string, level string, k long")
+        parts = [self.rows.where(~F.col(f"m{i}")).groupBy("g", F.lit(self.usable[i].name).alias("name"), F.col(f"l{i}").alias("level")).agg(F.count(F.lit(1)).alias("k")) for i in numbers]
+        counts = materialised(reduce(DataFrame.unionByName, parts), "level-counts")
+        return counts.unionByName(counts.groupBy("name", "level").agg(F.sum("k").alias("k")).select(F.lit(ALL).alias("g"), "name", "level", "k")) if self.overall else counts
+
     def levels(self, max_levels: int | None = None) -> dict[str, list[tuple[str, bool]]]:
-        """For each categorical variable its levels over all groups: declared ones in their order, then others bytewise."""
+        """For each categorical variable its levels over all groups: declared ones in their order, then others bytewise.
+
+        More than ``max_levels`` of a variable, or MAX_LEVELS of all together, are an error.
+        """
         out = {}
         observed: dict[str, list[str]] = {}
-        found = self._of(*LEVELS).where("state = 'observed'").select("name", "word").distinct()
-        names = self._named(*LEVELS)
-        rows = found.collect() if max_levels is None else bounded(found, max_levels * max(1, len(names)), "the levels of the categorical variables")
-        for r in rows:
-            observed.setdefault(r["name"], []).append(r["word"])
+        names = [self.usable[i].name for i in self._numbers(LEVELS)]
+        for r in bounded(self.level_counts.select("name", "level").distinct(), MAX_LEVELS if max_levels is None else max_levels * max(1, len(names)), "the levels of the categorical variables"):
+            observed.setdefault(r["name"], []).append(r["level"])
         for r in self.usable:
             if r.variable.analysis_type in LEVELS:
                 declared = list(r.variable.levels) or (["FALSE", "TRUE"] if r.variable.analysis_type == "binary" else [])
@@ -160,9 +246,8 @@ class Profile:
         has_declared = {r.name: bool(r.variable.levels) or r.variable.analysis_type == "binary" for r in self.usable}
         rows = [(n, k, w, d if has_declared[n] else None, (not d) if has_declared[n] else False) for n, ls in levels.items() for k, (w, d) in enumerate(ls)]
         known = self.spark.createDataFrame(rows, "name string, level_order int, level string, is_declared boolean, is_unexpected boolean")
-        counted = self._of(*LEVELS).where("state = 'observed'").groupBy("g", "name", F.col("word").alias("level")).agg(F.sum("c").alias("k"))
-        grid = self._full(groups, LEVELS, self.basic.select("g", "name", F.col("n").alias("n_total"), "n_missing", "n_observed")).join(F.broadcast(known), "name")
-        out = grid.join(counted, ["g", "name", "level"], "left")
+        grid = self._full(groups, LEVELS, self._cells_of(LEVELS).select("g", "name", F.col("n").alias("n_total"), "n_missing", "n_observed")).join(F.broadcast(known), "name")
+        out = grid.join(self.level_counts, ["g", "name", "level"], "left")
         for c in ("n_total", "n_missing", "n_observed"):
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
         n = F.coalesce("k", F.lit(0))
@@ -170,32 +255,40 @@ class Profile:
 
     def histogram(self, bins: int = 30) -> DataFrame:
         """(name, bin, lower, upper, midpoint, count): equal bins of each numeric variable; a constant falls into the middle one."""
-        own = self._of(*NUMERIC).where("state = 'observed'").where(F.col("g") == ALL)
-        ends = own.groupBy("name").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+        own = self._values(NUMERIC).where(F.col("g") == ALL)
+        ends = self._cells_of(NUMERIC).where((F.col("g") == ALL) & (F.col("n_finite") > 0)).select("i", "name", "lo", "hi")
         flat = F.col("lo") == F.col("hi")
         pad = F.greatest(F.lit(0.5), F.abs("lo") * 0.01)
-        ends = ends.select("name", flat.alias("flat"), F.when(flat, F.col("lo") - pad).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + pad).otherwise(F.col("hi")).alias("hi"))
-        place = F.when(F.col("flat"), (bins + 1) // 2).otherwise(F.least(F.lit(bins), F.greatest(F.lit(1), F.width_bucket("num", "lo", "hi", F.lit(bins)).cast("int"))))
-        counted = own.join(F.broadcast(ends), "name").groupBy("name", place.cast("int").alias("bin")).agg(F.sum("c").alias("k"))
-        grid = F.broadcast(self.spark.createDataFrame([(n, b) for n in self._named(*NUMERIC) for b in range(1, bins + 1)], "name string, bin int"))
-        full = grid.join(F.broadcast(ends), "name", "left").join(counted, ["name", "bin"], "left")
+        ends = ends.select("i", "name", flat.alias("flat"), F.when(flat, F.col("lo") - pad).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + pad).otherwise(F.col("hi")).alias("hi"))
+        place = F.when(F.col("flat"), (bins + 1) // 2).otherwise(F.least(F.lit(bins), F.greatest(F.lit(1), F.width_bucket("v", "lo", "hi", F.lit(bins)).cast("int"))))
+        counted = own.join(F.broadcast(ends), "i").groupBy("name", place.cast("int").alias("bin")).agg(F.sum("c").alias("k"))
+        grid = F.broadcast(self.spark.createDataFrame([(n, b) for n in [self.usable[i].name for i in self._numbers(NUMERIC)] for b in range(1, bins + 1)], "name string, bin int"))
+        full = grid.join(F.broadcast(ends.drop("i")), "name", "left").join(counted, ["name", "bin"], "left")
         lo, hi = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(1.0))
         width = (hi - lo) / bins
         return full.select("name", "bin", (lo + width * (F.col("bin") - 1)).alias("lower"), (lo + width * F.col("bin")).alias("upper"), (lo + width * (F.col("bin") - 0.5)).alias("midpoint"), F.coalesce("k", F.lit(0)).alias("count"))
 
 
-def numeric_statistics(values: DataFrame, keys: list[str], coef: float = 1.5) -> DataFrame:
-    """The numeric core of weighted finite values (keys, v, c): sums, quantiles, moments (type-3 shape) and Tukey fences."""
-    base = values.groupBy(*keys).agg(F.sum("c").alias("n_finite"), F.sum(F.col("v") * F.col("c")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"))
-    q = quantiles(values, keys)
-    first = base.join(q, keys).withColumn("mean", F.col("sum") / F.col("n_finite")).withColumn("iqr", F.col("q")[2] - F.col("q")[0])
-    first = first.withColumn("lower_fence", F.col("q")[0] - coef * F.col("iqr")).withColumn("upper_fence", F.col("q")[2] + coef * F.col("iqr"))
-    # One row for each group and variable: kept, so that the second pass does not repeat the first.
-    first = materialised(first, "numeric-first-pass")
-    d = F.col("v") - F.col("mean")
-    power = lambda k: F.sum(F.pow(d, F.lit(k)) * F.col("c"))
-    outside = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)) if coef else F.lit(0)
-    second = values.join(first.select(*keys, "mean", "lower_fence", "upper_fence"), keys).groupBy(*keys).agg(power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"), outside(F.col("v") < F.col("lower_fence")).alias("n_below_lower"), outside(F.col("v") > F.col("upper_fence")).alias("n_above_upper"))
+def _merged(cells: DataFrame) -> DataFrame:
+    """Cells of all groups together: counts add up, moments are taken about the common mean."""
+    whole = Window.partitionBy("i")
+    mean = F.sum("sum").over(whole) / F.sum("n_finite").over(whole)
+    d = F.when(F.col("n_finite") > 0, F.col("sum") / F.col("n_finite") - mean).otherwise(0.0)
+    n = F.col("n_finite")
+    moved = cells.withColumns({"m2": F.col("m2") + n * d * d, "m3": F.col("m3") + 3 * d * F.col("m2") + n * d * d * d, "m4": F.col("m4") + 4 * d * F.col("m3") + 6 * d * d * F.col("m2") + n * d * d * d * d})
+    how = {"lo": F.min, "hi": F.max, "min_length": F.min, "max_length": F.max}
+    return moved.groupBy("i").agg(F.sum("n").alias("n"), *(how.get(c, F.sum)(c).alias(c) for c in _CELL)).select(F.lit(ALL).alias("g"), "n", "i", *_CELL)
+
+
+def with_fences(part: DataFrame, coef: float = 1.5) -> DataFrame:
+    """``part`` (n_finite, sum, q) with mean, iqr and Tukey's fences."""
+    q = F.col("q")
+    out = part.withColumns({"mean": safe_div(F.col("sum"), F.col("n_finite")), "iqr": q[2] - q[0]})
+    return out.withColumns({"lower_fence": q[0] - coef * F.col("iqr"), "upper_fence": q[2] + coef * F.col("iqr")})
+
+
+def numeric_columns(part: DataFrame, keys: list[str]) -> DataFrame:
+    """The numeric core (type-3 shape) from n_finite, sum, min, max, q, mean, fences, central moments m2, m3, m4 and the counts beyond the fences."""
     n = F.col("n_finite").cast("double")
     variance = F.when(n >= 2, F.col("m2") / (n - 1))
     sd = F.sqrt(variance)
@@ -203,7 +296,20 @@ def numeric_statistics(values: DataFrame, keys: list[str], coef: float = 1.5) ->
     skew = F.when(shaped, (F.col("m3") / n) / F.pow(F.col("m2") / n, F.lit(1.5)) * F.pow(1 - 1 / n, F.lit(1.5)))
     kurt = F.when(shaped, (F.col("m4") / n) / F.pow(F.col("m2") / n, F.lit(2.0)) * F.pow(1 - 1 / n, F.lit(2.0)) - 3)
     out = F.col("n_below_lower") + F.col("n_above_upper")
-    return first.join(second, keys).select(
-        *keys, "n_finite", "sum", "min", F.col("q")[0].alias("q1"), "mean", F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "iqr", sd.alias("sd"), variance.alias("variance"), (sd / F.sqrt(n)).alias("sem"),
-        F.when(F.col("mean") != 0, sd / F.col("mean")).alias("cv"), skew.alias("skewness"), kurt.alias("kurtosis"), F.lit(None).cast("double").alias("shapiro_p"), "lower_fence", "upper_fence", "n_below_lower", "n_above_upper", out.alias("outlier_count"), (out * 100.0 / n).alias("outlier_percentage"),
+    return part.select(
+        *keys, "n_finite", "sum", "min", F.col("q")[0].alias("q1"), "mean", F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "iqr", sd.alias("sd"), variance.alias("variance"), F.when(n > 0, sd / F.sqrt(n)).alias("sem"),
+        F.when(F.col("mean") != 0, sd / F.col("mean")).alias("cv"), skew.alias("skewness"), kurt.alias("kurtosis"), F.lit(None).cast("double").alias("shapiro_p"), "lower_fence", "upper_fence", "n_below_lower", "n_above_upper", out.alias("outlier_count"), F.when(n > 0, out * 100.0 / n).alias("outlier_percentage"),
     )
+
+
+def numeric_statistics(values: DataFrame, keys: list[str], coef: float = 1.5) -> DataFrame:
+    """The numeric core of weighted finite values (keys, v, c)."""
+    base = materialised(values.groupBy(*keys).agg(F.sum("c").alias("n_finite"), F.sum(F.col("v") * F.col("c")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")), "numeric-sums")
+    q = quantiles(values, keys, base=base.select(*keys, F.col("n_finite").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi")))
+    # One row for each group and variable: kept, so that the second pass does not repeat the first.
+    first = materialised(with_fences(base.join(q, keys), coef), "numeric-first-pass")
+    d = F.col("v") - F.col("mean")
+    power = lambda k: F.sum(F.pow(d, F.lit(k)) * F.col("c"))
+    outside = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)) if coef else F.lit(0)
+    second = values.join(first.select(*keys, "mean", "lower_fence", "upper_fence"), keys).groupBy(*keys).agg(power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"), outside(F.col("v") < F.col("lower_fence")).alias("n_below_lower"), outside(F.col("v") > F.col("upper_fence")).alias("n_above_upper"))
+    return numeric_columns(first.join(second, keys), keys)

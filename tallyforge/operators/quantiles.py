@@ -1,28 +1,61 @@
-"""Exact type-7 quantiles of weighted values that no single task has to hold.
+"""Exact type-7 quantiles without a large task and without moving values.
 
-Values are range-partitioned, so a partition is a cell of consecutive values.
-Cells are counted; only the cells that hold a wanted rank are sorted further.
+The interval of each wanted rank is cut into cells that are counted, with partial
+aggregation, so that only counts are shuffled; the cell that holds the rank, narrowed
+to the values that are there, is the next interval.  An interval of few values is
+counted value by value.  Two or three passes do for any number of rows that are spread
+evenly; where a pass hardly narrows an interval (values of very different magnitude)
+the next one cuts it by magnitude.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialised
 
+CELLS = 2048
+#: Rows of an interval that are counted value by value.
+FEW = 4096
 
-def quantiles(values: DataFrame, keys: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """(keys, q): ``values`` has the keys (never null), ``v`` (finite double) and ``c`` (how often); q is an array in the order of ``probs``."""
-    ranged = materialised(values.select(*keys, "v", "c").repartitionByRange(*keys, "v").withColumn("cell", F.spark_partition_id()), "quantile-cells")
-    cells = ranged.groupBy(*keys, "cell").agg(F.sum("c").alias("held"))
-    cells = cells.withColumn("upto", F.sum("held").over(Window.partitionBy(*keys).orderBy("cell"))).withColumn("n", F.sum("held").over(Window.partitionBy(*keys)))
+
+def _magnitude(v: Column) -> Column:
+    """Grows with v, evenly in the digits of large and small numbers."""
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1100))
+
+
+def _cell(v: Column, lo: Column, hi: Column) -> Column:
+    # Halves, since the difference of two doubles may be none.
+    even = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    low, high = _magnitude(lo), _magnitude(hi)
+    by_size = F.when(high > low, (_magnitude(v) - low) / (high - low)).otherwise(even)
+    share = F.when(F.col("sizes"), by_size).otherwise(even)
+    return F.when(F.col("held") <= FEW, v).otherwise(F.least(F.lit(float(CELLS - 1)), F.floor(share * CELLS).cast("double")))
+
+
+def quantiles(values: DataFrame, keys: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75), base: DataFrame | None = None) -> DataFrame:
+    """(keys, q): ``values`` has the keys (never null), ``v`` (finite double) and ``c`` (how often); q is an array in the order of ``probs``.
+
+    ``base`` is (keys, n, lo, hi) where that is known already.  The keys' combinations are few.
+    """
+    if base is None:
+        base = materialised(values.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "quantile-bounds")
     place = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(F.array(*(f(h).cast("long") for h in place for f in (F.floor, F.ceil))))
-    wanted = cells.withColumn("rank", F.explode(ranks)).where("rank < upto and rank >= upto - held").select(*keys, "cell", "n", "rank", (F.col("upto") - F.col("held")).alias("before"))
-    run = F.sum("c").over(Window.partitionBy(*keys, "cell", "rank").orderBy("v"))
-    found = ranged.join(wanted, [*keys, "cell"]).withColumn("run", F.col("before") + run).where("run > rank and run - c <= rank")
-    by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"), F.first("n").alias("n"))
+    now = base.where("n > 0").select(*keys, "n", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("held"), F.lit(False).alias("sizes"))
+    done, going = now.where("lo = hi"), now.where("lo < hi")
+    first = True
+    while first or going.limit(1).count():
+        first = False
+        intervals = going.groupBy(*keys, "before").agg(*(F.first(c).alias(c) for c in ("lo", "hi", "held", "sizes")))
+        inside = values.join(F.broadcast(intervals), keys).where("v >= lo and v <= hi").withColumn("cell", _cell(F.col("v"), F.col("lo"), F.col("hi")))
+        cells = inside.groupBy(*keys, "before", "cell").agg(F.sum("c").alias("m"), F.min("v").alias("least"), F.max("v").alias("most"))
+        cells = cells.withColumn("upto", F.col("before") + F.sum("m").over(Window.partitionBy(*keys, "before").orderBy("cell")))
+        met = going.join(cells, [*keys, "before"]).where("rank < upto and rank >= upto - m")
+        now = materialised(met.select(*keys, "n", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("upto") - F.col("m")).alias("before"), F.col("m").alias("held"), (F.col("m") * 16 > F.col("held")).alias("sizes")), "quantile-cells")
+        done, going = done.unionByName(now.where("lo = hi")), now.where("lo < hi")
+    by_rank = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"), F.first("n").alias("n"))
     out = []
     for h in place:
         low, high = F.col("at")[F.floor(h).cast("long")], F.col("at")[F.ceil(h).cast("long")]

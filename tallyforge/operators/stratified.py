@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import readings, safe_div, text_form
 from ..spec import Spec, SpecError, strict_levels
-from ..storage import bounded
-from .profile import ALL, Profile
+from ..storage import Parts, bounded
+from .profile import ALL, LEVELS, Profile
 from .summaries import NUMERIC_COLUMNS, TEMPORAL_COLUMNS, TEXT_COLUMNS
 
 BASES = ("compatibility", "column", "row", "overall")
@@ -21,23 +19,17 @@ MAX_STRATA = 200
 _DASH = "—"
 
 
-@dataclass
-class Stratified:
-    groups: DataFrame
-    variables: DataFrame
-    numeric: DataFrame
-    categorical: DataFrame
-    text: DataFrame
-    temporal: DataFrame
-    skipped: DataFrame
+class Stratified(Parts):
+    """groups, variables, numeric, categorical, text, temporal and skipped, each computed when it is asked for.
+
+    ``strata`` is the stratifier, ``labels`` and ``orders`` hold title and place of each
+    summarised variable, ``declared`` the declared levels.
+    """
+
     strata: str
     labels: dict[str, str]
-    #: place of each summarised variable, and the declared levels of categorical ones
     orders: dict[str, int]
-    declared: dict[str, list[str]]
-
-    def __repr__(self) -> str:
-        return "Stratified(groups, variables, numeric, categorical, text, temporal, skipped)"
+    types: dict[str, str]
 
 
 def profile_stratified(df: DataFrame, spec: Spec, strata: str, include_overall: bool = True, include_missing_stratum: bool = True, assume_timezone: bool = False, max_strata: int = MAX_STRATA) -> Stratified:
@@ -52,7 +44,7 @@ def profile_stratified(df: DataFrame, spec: Spec, strata: str, include_overall:
     declared = list(strict_levels(own.variable.levels)) or (["FALSE", "TRUE"] if own.variable.analysis_type == "binary" else [])
     key = F.when(own.missing, F.lit(MISSING) if include_missing_stratum else F.lit(None)).otherwise(text_form(own.column, own.dtype))
     p = Profile(df, spec, key, assume_timezone)
-    sizes = {r["g"]: r["n"] for r in bounded(p.counts.where("name = '\0rows'").groupBy("g").agg(F.sum("c").alias("n")), max_strata + 2, "the stratifier")}
+    sizes = {r["g"]: r["n"] for r in bounded(p.cells.where("i = -1").select("g", "n"), max_strata + 2, "the stratifier")}
     unexpected = sorted((g for g in sizes if g not in (ALL, MISSING) and g not in declared), key=lambda g: g.encode())
     rows, keys = [], []
     if include_overall:
@@ -69,27 +61,43 @@ def profile_stratified(df: DataFrame, spec: Spec, strata: str, include_overall:
     named = F.broadcast(p.spark.createDataFrame([(k, *r) for k, r in zip(keys, ordered)], "g string, " + GROUPS_SCHEMA).drop("n", "is_declared_stratum"))
     prefixed = lambda part, columns: part.drop("group_order").join(named, "g").select(*PREFIX, *columns)
 
-    basic = p._full(keys, (), p.basic)
-    for c in ("n", "n_missing", "n_observed", "n_unique", "n_infinite"):
-        basic = basic.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
     labels = {v.name: v.label or v.name for v in spec}
-    roles = F.create_map(*[F.lit(x) for v in spec for x in (v.name, v.role)])
-    titles = F.create_map(*[F.lit(x) for v in spec for x in (v.name, v.label or v.name)])
-    needed = F.create_map(*[F.lit(x) for v in spec for x in (v.name, v.required)])
-    variables = prefixed(basic.select("g", "group_order", "name", titles[F.col("name")].alias("label"), "type", roles[F.col("name")].alias("role"), needed[F.col("name")].alias("required"), "n", "n_missing", "n_observed", "n_unique", "n_infinite", F.lit("summarised").alias("status"), F.lit(None).cast("string").alias("reason")), ["name", "label", "type", "role", "required", "n", "n_missing", "n_observed", "n_unique", "n_infinite", "status", "reason"])
-
-    numeric = prefixed(p.numeric(keys), ["name", "type", "n", "n_missing", "n_observed", "n_infinite", *NUMERIC_COLUMNS[1:]])
-    cells = p.categorical(keys)
-    columns = ["name", "type", "level", "n", "n_total", "n_observed", "p_total", "p_observed", "is_declared", "is_unexpected"]
-    level_rows = prefixed(cells, columns).withColumn("is_missing_level", F.lit(False))
-    gone = basic.where(F.col("type").isin("categorical", "binary"))
-    gone = gone.select("g", "group_order", "name", "type", F.lit(None).cast("string").alias("level"), F.col("n_missing").alias("n"), F.col("n").alias("n_total"), "n_observed", safe_div(F.col("n_missing"), F.col("n")).alias("p_total"), F.lit(None).cast("double").alias("p_observed"), F.lit(False).alias("is_declared"), F.lit(False).alias("is_unexpected"))
-    categorical = level_rows.unionByName(prefixed(gone, columns).withColumn("is_missing_level", F.lit(True)))
-    skipped_rows = [(*r[:8], x.name, x.variable.analysis_type, x.observed_type, x.reason) for r in ordered for x in p.readings if not x.usable]
-    skipped = p.spark.createDataFrame(skipped_rows, "group_id string, group_order int, group_value string, group_label string, is_overall boolean, is_missing_stratum boolean, is_unexpected_stratum boolean, is_declared boolean, name string, type string, observed_class string, reason string").drop("is_declared")
-    orders = {r.name: j for j, r in enumerate(p.usable, 1)}
-    known = {n: [w for w, d in ls if d] for n, ls in p.levels().items() if any(d for _, d in ls)}
-    return Stratified(groups, variables, numeric, categorical, prefixed(p.text(keys), TEXT_COLUMNS), prefixed(p.temporal(keys), TEMPORAL_COLUMNS), skipped, strata, labels, orders, known)
+    of = lambda field: F.create_map(*[F.lit(x) for v in spec for x in (v.name, field(v))])[F.col("name")]
+
+    def full(counts: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+        out = p._full(keys, kinds, counts)
+        return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_missing", "n_observed", "n_unique", "n_infinite") if c in out.columns})
+
+    def variables() -> DataFrame:
+        names = ["name", "label", "type", "role", "required", "n", "n_missing", "n_observed", "n_unique", "n_infinite", "status", "reason"]
+        rows = full(p.basic).withColumns({"label": of(lambda v: v.label or v.name), "role": of(lambda v: v.role), "required": of(lambda v: v.required), "status": F.lit("summarised"), "reason": F.lit(None).cast("string")})
+        return prefixed(rows, names)
+
+    def categorical() -> DataFrame:
+        columns = ["name", "type", "level", "n", "n_total", "n_observed", "p_total", "p_observed", "is_declared", "is_unexpected"]
+        level_rows = prefixed(p.categorical(keys), columns).withColumn("is_missing_level", F.lit(False))
+        gone = full(p._cells_of(LEVELS).select("g", "name", "n", "n_missing", "n_observed"), LEVELS)
+        gone = gone.select("g", "group_order", "name", "type", F.lit(None).cast("string").alias("level"), F.col("n_missing").alias("n"), F.col("n").alias("n_total"), "n_observed", safe_div(F.col("n_missing"), F.col("n")).alias("p_total"), F.lit(None).cast("double").alias("p_observed"), F.lit(False).alias("is_declared"), F.lit(False).alias("is_unexpected"))
+        return level_rows.unionByName(prefixed(gone, columns).withColumn("is_missing_level", F.lit(True)))
+
+    def skipped() -> DataFrame:
+        found = [(*r[:8], x.name, x.variable.analysis_type, x.observed_type, x.reason) for r in ordered for x in p.readings if not x.usable]
+        return p.spark.createDataFrame(found, "group_id string, group_order int, group_value string, group_label string, is_overall boolean, is_missing_stratum boolean, is_unexpected_stratum boolean, is_declared boolean, name string, type string, observed_class string, reason string").drop("is_declared")
+
+    out = Stratified(
+        groups=lambda: groups,
+        variables=variables,
+        numeric=lambda: prefixed(p.numeric(keys), ["name", "type", "n", "n_missing", "n_observed", "n_infinite", *NUMERIC_COLUMNS[1:]]),
+        categorical=categorical,
+        text=lambda: prefixed(p.text(keys), TEXT_COLUMNS),
+        temporal=lambda: prefixed(p.temporal(keys), TEMPORAL_COLUMNS),
+        skipped=skipped,
+        declared=lambda: {n: [w for w, d in ls if d] for n, ls in p.levels().items() if any(d for _, d in ls)},
+    )
+    out.strata, out.labels = strata, labels
+    out.orders = {r.name: j for j, r in enumerate(p.usable, 1)}
+    out.types = {r.name: r.variable.analysis_type for r in p.usable}
+    return out
 
 
 def reconcile(result: Stratified) -> None:
@@ -171,7 +179,7 @@ def table1(result: Stratified, basis: str = "compatibility") -> DataFrame:
         (2, "median_iqr", "", F.col("n_finite"), F.concat(_one(F.col("median")), F.lit(" ["), _one(F.col("q1")), F.lit(", "), _one(F.col("q3")), F.lit("]")), infinite),
         (3, "missing", "Missing", F.col("n"), gap, F.concat_ws(" ", infinite, missing_note)),
     )
-    types = F.create_map(*[F.lit(x) for r in result.variables.select("name", "type").distinct().collect() for x in (r["name"], r["type"])]) if result.orders else F.create_map(F.lit(""), F.lit(""))
+    types = F.create_map(*[F.lit(x) for kv in result.types.items() for x in kv] or [F.lit(""), F.lit("")])
     unit = F.concat(F.when(F.col("timezone").isNotNull(), F.concat(F.lit("Timezone: "), F.col("timezone"), F.lit(". "))).otherwise(none), F.lit("Range unit: "), F.col("range_unit"), F.lit("."))
     temporal = rows(
         result.temporal.withColumn("type", types[F.col("name")]),

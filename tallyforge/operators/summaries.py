@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contract import is_missing, quoted, readings, safe_div
 from ..spec import Spec, storage_family
-from ..storage import bounded
+from ..storage import Parts, bounded
 from .profile import ALL, Profile
 
 NUMERIC_COLUMNS = ["name", "n_finite", "sum", "min", "q1", "mean", "median", "q3", "max", "iqr", "sd", "variance", "sem", "cv", "skewness", "kurtosis", "shapiro_p", "lower_fence", "upper_fence", "n_below_lower", "n_above_upper", "outlier_count", "outlier_percentage"]
@@ -20,31 +18,20 @@ VARIABLES_SCHEMA = "name string, label string, type string, role string, require
 SKIPPED_SCHEMA = "name string, type string, observed_class string, reason string"
 
 
-@dataclass
-class Summaries:
-    """The components of a profile; its repr shows no value."""
-
-    variables: DataFrame
-    numeric: DataFrame
-    categorical: DataFrame
-    text: DataFrame
-    temporal: DataFrame
-    skipped: DataFrame
-
-    def __repr__(self) -> str:
-        return f"Summaries({', '.join(self.__dataclass_fields__)})"
+class Summaries(Parts):
+    """The components of a profile: variables, numeric, categorical, text, temporal, skipped."""
 
 
 def profile_summaries(df: DataFrame, spec: Spec, assume_timezone: bool = False, max_levels: int | None = None) -> Summaries:
-    """All six components from one scan of ``df``."""
+    """All six components, each computed when it is asked for."""
     p = Profile(df, spec, None, assume_timezone)
     return Summaries(
-        variables_component(p),
-        p.numeric().select(*NUMERIC_COLUMNS),
-        p.categorical(max_levels=max_levels).select(*CATEGORICAL_COLUMNS),
-        p.text().select(*TEXT_COLUMNS),
-        p.temporal().select(*TEMPORAL_COLUMNS),
-        p.spark.createDataFrame([(r.name, r.variable.analysis_type, r.observed_type, r.reason) for r in p.readings if not r.usable], SKIPPED_SCHEMA),
+        variables=lambda: variables_component(p),
+        numeric=lambda: p.numeric().select(*NUMERIC_COLUMNS),
+        categorical=lambda: p.categorical(max_levels=max_levels).select(*CATEGORICAL_COLUMNS),
+        text=lambda: p.text().select(*TEXT_COLUMNS),
+        temporal=lambda: p.temporal().select(*TEMPORAL_COLUMNS),
+        skipped=lambda: p.spark.createDataFrame([(r.name, r.variable.analysis_type, r.observed_type, r.reason) for r in p.readings if not r.usable], SKIPPED_SCHEMA),
     )
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,23 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """Named tables, each made when it is first asked for, so that a part costs nothing to those who want another; its repr shows no value."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self.__dict__["_makers"] = makers
+
+    def __getattr__(self, name: str) -> DataFrame:
+        makers = self.__dict__.get("_makers", {})
+        if name not in makers:
+            raise AttributeError(name)
+        self.__dict__[name] = made = makers[name]()
+        return made
+
+    def __repr__(self) -> str:
+        return f"{type(self).__name__}({', '.join(self._makers)})"
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, most: int = 200_000) -> DataFrame:
     """A join with a side of ``rows`` rows: broadcast up to ``most``, shuffled beyond."""
     return big.join(F.broadcast(small) if rows <= most else small, on, how)
