@@ -1,9 +1,9 @@
 """Typed summaries of a table, whole or by group.
 
-One aggregate, with a row for each group and no shuffle of values, gives counts, sums,
-extremes and central moments of all variables; it is unpivoted into a small table of
-cells (group, variable).  Everything else is done only if it is asked for: quantiles by
-counted cells, fences by one more pass, numbers of distinct values and levels variable
+One aggregate, with a row for each group and no shuffle of values, gives counts, sums
+and extremes of all variables; it is unpivoted into a small table of cells (group,
+variable).  Everything else is done only if it is asked for: quantiles by counted cells,
+central moments and fences by one more pass, numbers of distinct values and levels variable
 by variable, each reading its own column.  Texts are told apart by SHA-256 and length,
 so their bodies never travel.  Overall is merged from the groups' cells.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contract import BLANKS, EXACT, Reading, is_infinite, number_form, readings, safe_div, text_form
@@ -27,7 +27,7 @@ NUMERIC, LEVELS, TEMPORAL = ("numeric", "integer"), ("categorical", "binary"), (
 TOGETHER = 16
 #: Levels of all categorical variables together; a profile with more fails, nothing is cut.
 MAX_LEVELS = 100_000
-_CELL = ["n_missing", "n_infinite", "n_inexact", "n_finite", "sum", "lo", "hi", "m2", "m3", "m4", "n_empty", "n_blank", "min_length", "max_length"]
+_CELL = ["n_missing", "n_infinite", "n_inexact", "n_finite", "sum", "lo", "hi", "n_empty", "n_blank", "min_length", "max_length"]
 
 
 def _columns(i: int, r: Reading) -> list[Column]:
@@ -58,9 +58,7 @@ def _aggregates(i: int, r: Reading) -> list[Column]:
         v = col("v")
         out |= {"n_finite": F.count(v), "lo": F.min(v), "hi": F.max(v)}
         if kind in NUMERIC:
-            n, m2 = F.count(v), F.var_pop(v) * F.count(v)
-            out |= {"n_infinite": F.count_if(col("k") == 2), "n_inexact": F.count_if(col("k") == 1), "sum": F.sum(v), "m2": m2}
-            out |= {"m3": F.coalesce(F.skewness(v) * F.pow(m2, F.lit(1.5)) / F.sqrt(n), F.lit(0.0)), "m4": F.coalesce((F.kurtosis(v) + 3) * m2 * m2 / n, F.lit(0.0))}
+            out |= {"n_infinite": F.count_if(col("k") == 2), "n_inexact": F.count_if(col("k") == 1), "sum": F.sum(v)}
     return [x.alias(f"{c}_{i}") for c, x in out.items()]
 
 
@@ -77,6 +75,8 @@ class Profile:
         self._quartiles: dict[tuple[str, ...], DataFrame] = {}
         self.readings = readings(df, spec, assume_timezone)
         self.usable = [r for r in self.readings if r.usable]
+        #: of values: without groups no text is part of a key
+        self.keys = ["g", "i"] if self.grouped else ["i"]
         key = F.lit(ALL) if group is None else group
         self.rows = df.select(key.alias("g"), *(c for i, r in enumerate(self.usable) for c in _columns(i, r))).where("g is not null")
         if kept:
@@ -91,7 +91,7 @@ class Profile:
     @cached_property
     def cells(self) -> DataFrame:
         """(g, i, n and _CELL) of each group and usable variable, and the group's size under i = -1; written once."""
-        types = {c: "double" if c in ("sum", "lo", "hi", "m2", "m3", "m4") else "long" for c in _CELL}
+        types = {c: "double" if c in ("sum", "lo", "hi") else "long" for c in _CELL}
         parts = []
         for first in range(0, max(1, len(self.usable)), TOGETHER):
             chunk = list(enumerate(self.usable))[first : first + TOGETHER]
@@ -113,13 +113,19 @@ class Profile:
         """(g, n_unique) of variable i, from its own column."""
         kind = self.usable[i].variable.analysis_type
         columns = [F.col(f"h{i}"), F.col(f"v{i}")] if kind == "text" else [F.col(f"l{i}" if kind in LEVELS else f"h{i}")]
-        each = self.rows.where(~F.col(f"m{i}")).select("g", *(c.alias(f"x{j}") for j, c in enumerate(columns))).distinct()
-        by = each.groupBy("g").agg(F.count(F.lit(1)).alias("n_unique"))
+        group = ["g"] if self.grouped else []
+        each = self.rows.where(~F.col(f"m{i}")).select(*group, *(c.alias(f"x{j}") for j, c in enumerate(columns))).distinct()
+        by = self._with_g(each.groupBy(*group).agg(F.count(F.lit(1)).alias("n_unique")))
         if self.overall:
             by = by.unionByName(each.drop("g").distinct().agg(F.count(F.lit(1)).alias("n_unique")).select(F.lit(ALL).alias("g"), "n_unique"))
         return by.select("g", F.lit(i).alias("i"), "n_unique")
 
+    def _with_g(self, part: DataFrame) -> DataFrame:
+        return part if self.grouped else part.withColumn("g", F.lit(ALL))
+
     def _basic(self, numbers: list[int]) -> DataFrame:
+        if "basic" in self.__dict__ and len(numbers) < len(self.usable):
+            return self.basic.where(F.col("name").isin([self.usable[i].name for i in numbers]))
         counted = self.cells.where(F.col("i").isin(numbers or [-2]))
         if numbers:
             counted = counted.join(materialised(reduce(DataFrame.unionByName, map(self._distinct, numbers)), "distinct-counts"), ["g", "i"], "left")
@@ -138,21 +144,21 @@ class Profile:
         return self.cells.where(F.col("i").isin(self._numbers(kinds) or [-2])).withColumn("name", self._name(F.col("i"))).withColumn("n_observed", F.col("n") - F.col("n_missing"))
 
     def _values(self, kinds: tuple[str, ...]) -> DataFrame:
-        """(g, i, v, c) of the finite values of these kinds, also for Overall."""
+        """(keys, v, c) of the finite values of these kinds, also for Overall."""
         numbers = self._numbers(kinds)
         if not numbers:
-            return self.spark.createDataFrame([], "g string, i int, v double, c int")
-        group = F.explode(F.array("g", F.lit(ALL))).alias("g") if self.overall else F.col("g")
+            return self.spark.createDataFrame([], "g string, i int, v double, c int").select(*self.keys, "v", "c")
+        group = [F.explode(F.array("g", F.lit(ALL))).alias("g") if self.overall else F.col("g")] if self.grouped else []
         pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in numbers))
-        return self.rows.select(group, pairs.alias("pairs")).select("g", F.explode("pairs").alias("x")).select("g", "x.*").where("v is not null").withColumn("c", F.lit(1))
+        return self.rows.select(*group, pairs.alias("pairs")).select(*(["g"] if group else []), F.explode("pairs").alias("x")).select(*(["g"] if group else []), "x.*").where("v is not null").withColumn("c", F.lit(1))
 
     def quartiles(self, kinds: tuple[str, ...]) -> DataFrame:
         """(g, i, q) of the variables of these kinds; what was computed together with others is not computed again."""
         for have, table in self._quartiles.items():
             if set(kinds) <= set(have):
                 return table.where(F.col("i").isin(self._numbers(kinds) or [-2]))
-        base = self.cells.where(F.col("i").isin(self._numbers(kinds) or [-2])).select("g", "i", F.col("n_finite").alias("n"), "lo", "hi")
-        self._quartiles[kinds] = materialised(quantiles(self._values(kinds), ["g", "i"], base=base), "quartiles")
+        base = self.cells.where(F.col("i").isin(self._numbers(kinds) or [-2])).select(*self.keys, F.col("n_finite").alias("n"), "lo", "hi")
+        self._quartiles[kinds] = self._with_g(quantiles(self._values(kinds), self.keys, base=base))
         return self._quartiles[kinds]
 
     def grid(self, groups: list[str], kinds: tuple[str, ...] = ()) -> DataFrame:
@@ -161,9 +167,10 @@ class Profile:
         return self.spark.createDataFrame(rows, "g string, group_order int, name string, variable_order int, type string")
 
     def _full(self, groups: list[str] | None, kinds: tuple[str, ...], *parts: DataFrame) -> DataFrame:
-        out = F.broadcast(self.grid(groups or [ALL], kinds))
+        out = self.grid(groups or [ALL], kinds)
         for p in parts:
-            out = out.join(p, ["g", "name"], "left")
+            # A row for each group and variable, like the grid.
+            out = out.join(F.broadcast(p), ["g", "name"], "left")
         return out
 
     def numeric(self, groups: list[str] | None = None) -> DataFrame:
@@ -171,10 +178,11 @@ class Profile:
         key = tuple(groups or [ALL])
         if key in self._numeric:
             return self._numeric[key]
-        own = with_fences(self._cells_of(NUMERIC).join(self.quartiles(NUMERIC), ["g", "i"], "left"))
-        fences = F.broadcast(own.select("g", "i", "lower_fence", "upper_fence"))
-        beyond = self._values(NUMERIC).join(fences, ["g", "i"]).groupBy("g", "i").agg(F.count_if(F.col("v") < F.col("lower_fence")).alias("n_below_lower"), F.count_if(F.col("v") > F.col("upper_fence")).alias("n_above_upper"))
-        stats = numeric_columns(own.withColumnsRenamed({"lo": "min", "hi": "max"}).join(beyond, ["g", "i"], "left"), ["g", "name", "n", "n_missing", "n_observed", "n_infinite", "n_inexact"])
+        own = with_fences(self._cells_of(NUMERIC).join(F.broadcast(self.quartiles(NUMERIC)), ["g", "i"], "left"))
+        own = materialised(own, "numeric-first-pass")
+        about = F.broadcast(own.select(*self.keys, "mean", "lower_fence", "upper_fence"))
+        second = self._with_g(self._values(NUMERIC).join(about, self.keys).groupBy(*self.keys).agg(*_about_mean(F.lit(1), True)))
+        stats = numeric_columns(own.withColumnsRenamed({"lo": "min", "hi": "max"}).join(F.broadcast(second), ["g", "i"], "left"), ["g", "name", "n", "n_missing", "n_observed", "n_infinite", "n_inexact"])
         out = self._full(groups, NUMERIC, stats)
         for c in ("n", "n_missing", "n_observed", "n_infinite", "n_finite", "n_below_lower", "n_above_upper", "outlier_count"):
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
@@ -183,7 +191,7 @@ class Profile:
 
     def temporal(self, groups: list[str] | None = None) -> DataFrame:
         kinds = {r.name: r for r in self.usable if r.variable.analysis_type in TEMPORAL}
-        base = self._cells_of(TEMPORAL).join(self.quartiles(TEMPORAL), ["g", "i"], "left").select("g", "name", "lo", "hi", "q")
+        base = self._cells_of(TEMPORAL).join(F.broadcast(self.quartiles(TEMPORAL)), ["g", "i"], "left").select("g", "name", "lo", "hi", "q")
         out = self._full(groups, TEMPORAL, self._basic(self._numbers(TEMPORAL)).select("g", "name", "n", "n_missing", "n_observed", "n_unique"), base)
         is_date = F.col("type") == "date"
 
@@ -255,7 +263,7 @@ class Profile:
 
     def histogram(self, bins: int = 30) -> DataFrame:
         """(name, bin, lower, upper, midpoint, count): equal bins of each numeric variable; a constant falls into the middle one."""
-        own = self._values(NUMERIC).where(F.col("g") == ALL)
+        own = self._with_g(self._values(NUMERIC)).where(F.col("g") == ALL).drop("g")
         ends = self._cells_of(NUMERIC).where((F.col("g") == ALL) & (F.col("n_finite") > 0)).select("i", "name", "lo", "hi")
         flat = F.col("lo") == F.col("hi")
         pad = F.greatest(F.lit(0.5), F.abs("lo") * 0.01)
@@ -270,14 +278,16 @@ class Profile:
 
 
 def _merged(cells: DataFrame) -> DataFrame:
-    """Cells of all groups together: counts add up, moments are taken about the common mean."""
-    whole = Window.partitionBy("i")
-    mean = F.sum("sum").over(whole) / F.sum("n_finite").over(whole)
-    d = F.when(F.col("n_finite") > 0, F.col("sum") / F.col("n_finite") - mean).otherwise(0.0)
-    n = F.col("n_finite")
-    moved = cells.withColumns({"m2": F.col("m2") + n * d * d, "m3": F.col("m3") + 3 * d * F.col("m2") + n * d * d * d, "m4": F.col("m4") + 4 * d * F.col("m3") + 6 * d * d * F.col("m2") + n * d * d * d * d})
+    """Cells of all groups together."""
     how = {"lo": F.min, "hi": F.max, "min_length": F.min, "max_length": F.max}
-    return moved.groupBy("i").agg(F.sum("n").alias("n"), *(how.get(c, F.sum)(c).alias(c) for c in _CELL)).select(F.lit(ALL).alias("g"), "n", "i", *_CELL)
+    return cells.groupBy("i").agg(F.sum("n").alias("n"), *(how.get(c, F.sum)(c).alias(c) for c in _CELL)).select(F.lit(ALL).alias("g"), "n", "i", *_CELL)
+
+
+def _about_mean(c: Column, fences: bool) -> list[Column]:
+    """Central moments and, if wanted, counts beyond the fences, of values v that occur c times."""
+    d = F.col("v") - F.col("mean")
+    outside = lambda cond: F.sum(F.when(cond, c).otherwise(0)) if fences else F.lit(0)
+    return [F.sum(d * d * c).alias("m2"), F.sum(d * d * d * c).alias("m3"), F.sum(d * d * d * d * c).alias("m4"), outside(F.col("v") < F.col("lower_fence")).alias("n_below_lower"), outside(F.col("v") > F.col("upper_fence")).alias("n_above_upper")]
 
 
 def with_fences(part: DataFrame, coef: float = 1.5) -> DataFrame:
@@ -308,8 +318,5 @@ def numeric_statistics(values: DataFrame, keys: list[str], coef: float = 1.5) ->
     q = quantiles(values, keys, base=base.select(*keys, F.col("n_finite").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi")))
     # One row for each group and variable: kept, so that the second pass does not repeat the first.
     first = materialised(with_fences(base.join(q, keys), coef), "numeric-first-pass")
-    d = F.col("v") - F.col("mean")
-    power = lambda k: F.sum(F.pow(d, F.lit(k)) * F.col("c"))
-    outside = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)) if coef else F.lit(0)
-    second = values.join(first.select(*keys, "mean", "lower_fence", "upper_fence"), keys).groupBy(*keys).agg(power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"), outside(F.col("v") < F.col("lower_fence")).alias("n_below_lower"), outside(F.col("v") > F.col("upper_fence")).alias("n_above_upper"))
+    second = values.join(F.broadcast(first.select(*keys, "mean", "lower_fence", "upper_fence")), keys).groupBy(*keys).agg(*_about_mean(F.col("c"), bool(coef)))
     return numeric_columns(first.join(second, keys), keys)

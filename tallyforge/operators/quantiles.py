@@ -10,14 +10,19 @@ the next one cuts it by magnitude.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import materialised
+from ..storage import bounded, materialised
 
 CELLS = 2048
 #: Rows of an interval that are counted value by value.
 FEW = 4096
+#: Intervals that the driver keeps: a few for each combination of the keys.
+MOST = 2_000_000
 
 
 def _magnitude(v: Column) -> Column:
@@ -41,23 +46,34 @@ def quantiles(values: DataFrame, keys: list[str], probs: tuple[float, ...] = (0.
     """
     if base is None:
         base = materialised(values.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "quantile-bounds")
-    place = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    ranks = F.array_distinct(F.array(*(f(h).cast("long") for h in place for f in (F.floor, F.ceil))))
-    now = base.where("n > 0").select(*keys, "n", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("held"), F.lit(False).alias("sizes"))
-    done, going = now.where("lo = hi"), now.where("lo < hi")
-    first = True
-    while first or going.limit(1).count():
-        first = False
-        intervals = going.groupBy(*keys, "before").agg(*(F.first(c).alias(c) for c in ("lo", "hi", "held", "sizes")))
-        inside = values.join(F.broadcast(intervals), keys).where("v >= lo and v <= hi").withColumn("cell", _cell(F.col("v"), F.col("lo"), F.col("hi")))
+    spark, k = values.sparkSession, len(keys)
+    place = lambda n, p: (n - 1) * p
+    kinds = T.StructType([*(base.schema[c] for c in keys), *(T.StructField(c, t) for c, t in (("before", T.LongType()), ("lo", T.DoubleType()), ("hi", T.DoubleType()), ("held", T.LongType()), ("sizes", T.BooleanType()), ("ranks", T.ArrayType(T.LongType()))))])
+    bases = bounded(base.select(*keys, "n", "lo", "hi").where("n > 0"), MOST, "the table of quantiles")
+    totals = {tuple(r[:k]): r["n"] for r in bases}
+    at: dict[tuple, dict[int, float]] = {x: {} for x in totals}
+    # Intervals: how many smaller values there are, their ends, the values in them, how to cut them and the ranks that are looked for.
+    going = [(*r[:k], 0, r["lo"], r["hi"], r["n"], False, sorted({f(place(r["n"], p)) for p in probs for f in (math.floor, math.ceil)})) for r in bases]
+    while going:
+        for x in going:
+            if x[k + 1] == x[k + 2]:
+                at[x[:k]] |= dict.fromkeys(x[k + 5], x[k + 1])
+        going = [x for x in going if x[k + 1] < x[k + 2]]
+        if not going:
+            break
+        intervals = spark.createDataFrame(going, kinds)
+        inside = values.join(F.broadcast(intervals.drop("ranks")), keys).where("v >= lo and v <= hi").withColumn("cell", _cell(F.col("v"), F.col("lo"), F.col("hi")))
         cells = inside.groupBy(*keys, "before", "cell").agg(F.sum("c").alias("m"), F.min("v").alias("least"), F.max("v").alias("most"))
         cells = cells.withColumn("upto", F.col("before") + F.sum("m").over(Window.partitionBy(*keys, "before").orderBy("cell")))
-        met = going.join(cells, [*keys, "before"]).where("rank < upto and rank >= upto - m")
-        now = materialised(met.select(*keys, "n", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("upto") - F.col("m")).alias("before"), F.col("m").alias("held"), (F.col("m") * 16 > F.col("held")).alias("sizes")), "quantile-cells")
-        done, going = done.unionByName(now.where("lo = hi")), now.where("lo < hi")
-    by_rank = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"), F.first("n").alias("n"))
+        mine = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("m")))
+        met = cells.join(F.broadcast(intervals), [*keys, "before"]).select(*keys, (F.col("upto") - F.col("m")).alias("before"), "least", "most", F.col("m").cast("long"), (F.col("m") * 16 > F.col("held")).alias("sizes"), mine.alias("ranks")).where("size(ranks) > 0")
+        going = [tuple(r) for r in bounded(met, MOST, "the table of quantiles")]
     out = []
-    for h in place:
-        low, high = F.col("at")[F.floor(h).cast("long")], F.col("at")[F.ceil(h).cast("long")]
-        out.append(low + (high - low) * (h - F.floor(h)))
-    return by_rank.select(*keys, F.array(*out).alias("q"))
+    for x, n in totals.items():
+        q = []
+        for p in probs:
+            h = place(n, p)
+            low, high = at[x][math.floor(h)], at[x][math.ceil(h)]
+            q.append(low + (high - low) * (h - math.floor(h)))
+        out.append((*x, q))
+    return spark.createDataFrame(out, T.StructType([*(base.schema[c] for c in keys), T.StructField("q", T.ArrayType(T.DoubleType()))]))

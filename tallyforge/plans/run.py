@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prepare import prepare, synthetic_data
-from ..operators.profile import ALL, Profile
+from ..operators.profile import ALL, NUMERIC, TEMPORAL, Profile
 from ..operators.quality import coordinate_profile, points_in_box
 from ..operators.stratified import categorical_display, profile_stratified, reconcile, table1
 from ..operators.summaries import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TEMPORAL_COLUMNS, TEXT_COLUMNS, identifier_profile, profile_missing, schema_check, variables_component
 from ..sources.catalogue import Source
 from ..sources.files import Bundle, check_bundle
 from ..spec import Spec, SpecError, load_spec, scaffold_spec
+from ..storage import bounded
 from .report import bars_svg, box_svg, histogram_svg, page, scatter_svg, table_html
 
 MAX_PLOT_LEVELS = 20
+MAX_PUBLISHED = 1_000_000
 
 
 def run_eda(data: DataFrame | Source | None, spec: Spec, output_dir: str | None = None, *, spark: SparkSession | None = None, synthetic_rows: int | None = None, seed: int = 0, strata: str | None = None, plots: bool = True, basis: str = "compatibility", overwrite: bool = False, maps: bool = False, max_map_points: int = 10_000) -> dict[str, DataFrame]:
@@ -33,6 +35,8 @@ def run_eda(data: DataFrame | Source | None, spec: Spec, output_dir: str | None
     zone = isinstance(data, Source) and data.assume_timezone == "UTC"
     df = synthetic_data(spark, spec, synthetic_rows, seed) if data is None else data.checked() if isinstance(data, Source) else data
     p = Profile(df, spec, None, zone)
+    # In one go, since all are wanted.
+    p.quartiles((*NUMERIC, *TEMPORAL))
     out = {
         "schema": schema_check(df, spec, zone),
         "missing": profile_missing(df, spec),
@@ -52,7 +56,9 @@ def run_eda(data: DataFrame | Source | None, spec: Spec, output_dir: str | None
     if output_dir:
         with Bundle(output_dir, overwrite) as b:
             for name, part in out.items():
-                b.table(name, part)
+                # Computed once: tables of the report and what is returned are these rows.
+                out[name] = df.sparkSession.createDataFrame(bounded(part, MAX_PUBLISHED, f"the table {name}"), part.schema)
+                b.table(name, out[name])
             if plots:
                 for name, svg in profile_plots(p).items():
                     b.text(f"plots/{name}.svg", svg)
