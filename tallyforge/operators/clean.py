@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contract import quoted
-from ..storage import bounded
+from ..storage import bounded, materialised, small_join
 
 _RESERVED = set("if else repeat while function for next break TRUE FALSE NULL Inf NaN NA NA_integer_ NA_real_ NA_character_ in".split())
 
@@ -84,13 +84,17 @@ def label_values(df: DataFrame, lookup: list[tuple[str, str, str]]) -> tuple[Dat
     return df.withColumns(mapped), [v for i, v in enumerate(here) if flags[f"f{i}"]]
 
 
+def distinct_up_to(df: DataFrame, columns: list[str], most: int) -> dict[str, int]:
+    """Distinct values of each column, null counted as one, but no more than ``most``: each column is read by itself and no more values are gathered."""
+    parts = [df.select(quoted(c).alias("x")).distinct().limit(most).agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n")) for i, c in enumerate(columns)]
+    return {columns[r["i"]]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
+
+
 def categorical_candidates(df: DataFrame, cutoff: int = 10) -> list[str]:
     """Columns, dates apart, with fewer than ``cutoff`` distinct values; null counts as one."""
     fields = [f for f in df.schema.fields if not is_date(f.dataType) and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    if not fields:
-        return []
-    got = df.agg(*[(F.count_distinct(quoted(f.name)) + F.max(quoted(f.name).isNull().cast("int"))).alias(f"d{i}") for i, f in enumerate(fields)]).first()
-    return [f.name for i, f in enumerate(fields) if (got[f"d{i}"] or 0) < cutoff]
+    held = distinct_up_to(df, [f.name for f in fields], cutoff)
+    return [f.name for f in fields if held[f.name] < cutoff]
 
 
 def integers_to_text(df: DataFrame) -> DataFrame:
@@ -177,12 +181,26 @@ def merge_all(tables: dict[str, DataFrame], id_col: str, how: str = "full_outer"
 
 
 def stratified_sample(df: DataFrame, outcome: str, proportion: float, key: str, seed: int = 0) -> DataFrame:
-    """round(n p) rows of each stratum without replacement, by a hash of key and seed, so the same rows each time."""
+    """round(n p) rows of each stratum without replacement, those with the smallest hashes of seed and key, so the same rows each time.
+
+    ``key`` identifies a row.  The hash at which a stratum's sample ends is found by counting
+    hashes in ranges; only the range that holds it is sorted, never a stratum.
+    """
     if not 0 < proportion <= 1:
         raise ValueError("the proportion must be in (0, 1]")
-    sizes = df.groupBy(quoted(outcome).alias("_s")).agg(F.bround(F.count(F.lit(1)) * F.lit(float(proportion))).cast("long").alias("_take"))
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(outcome).orderBy(F.xxhash64(quoted(key), F.lit(seed)), quoted(key))))
-    return ranked.join(F.broadcast(sizes), quoted(outcome).eqNullSafe(F.col("_s"))).where("_k <= _take").drop("_k", "_take", "_s")
+    stratum = F.coalesce(F.concat(F.lit("="), quoted(outcome).cast("string")), F.lit("")).alias("\1s")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), quoted(key).cast("string"))), 1, 13), 16, 10).cast("long")
+    rows = df.select(stratum, draw.alias("\1u"), quoted(key).alias("\1k"))
+    s, u, cell = F.col("`\1s`"), F.col("`\1u`"), F.shiftright("`\1u`", 36)
+    counts = rows.groupBy(s, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(s)
+    ends = counts.withColumn("upto", F.sum("n").over(whole.orderBy("cell"))).withColumn("take", F.bround(F.sum("n").over(whole) * F.lit(float(proportion))).cast("long"))
+    ends = materialised(ends.where("upto >= take and upto - n < take").select(s, "cell", (F.col("take") - F.col("upto") + F.col("n")).alias("more")), "sample-ends")
+    strata = ends.count()
+    last = small_join(rows.withColumn("cell", cell), ends, ["\1s", "cell"], "inner", strata)
+    edge = last.withColumn("r", F.row_number().over(whole.orderBy(u, F.col("`\1k`")))).where("r = more").select(s, u.alias("\1u_end"), F.col("`\1k`").alias("\1k_end"))
+    out = small_join(df.withColumns({"\1s": stratum, "\1u": draw}), materialised(edge, "sample-edges"), ["\1s"], "inner", strata)
+    return out.where(F.struct(u, quoted(key)) <= F.struct(F.col("`\1u_end`"), F.col("`\1k_end`"))).select(*map(quoted, df.columns))
 
 
 def head_and_tail(df: DataFrame, order: list[str], rows: int = 5, cols: int = 5, last_cols: bool = False) -> DataFrame:

@@ -226,7 +226,8 @@ def derive_civil_dates(df: DataFrame, operations: list[dict[str, str]], keys: Ma
 def synthetic_data(spark: SparkSession, spec: Spec, n: int = 100, seed: int = 0) -> DataFrame:
     """Rows after the specification: the same ones for the same seed, made in parallel."""
     base = spark.range(n)
-    unit = lambda i: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    digits = lambda i: F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), F.col("id").cast("string"))), 1, 13)
+    unit = lambda i: F.conv(digits(i), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
     out = []
     for i, v in enumerate(spec):
         u = unit(i)

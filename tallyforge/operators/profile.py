@@ -12,10 +12,14 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contract import BLANKS, EXACT, Reading, is_infinite, number_form, readings, safe_div, text_form
+from ..functions.pvalues import shapiro_wilk
 from ..spec import Spec
 from ..storage import bounded, materialised
 from .quantiles import quantiles
@@ -182,6 +186,8 @@ class Profile:
         own = materialised(own, "numeric-first-pass")
         about = F.broadcast(own.select(*self.keys, "mean", "lower_fence", "upper_fence"))
         second = self._with_g(self._values(NUMERIC).join(about, self.keys).groupBy(*self.keys).agg(*_about_mean(F.lit(1), True)))
+        tested = shapiro_table(self._values(NUMERIC), own, self.keys)
+        second = second.join(F.broadcast(self._with_g(tested)), ["g", "i"], "left")
         stats = numeric_columns(own.withColumnsRenamed({"lo": "min", "hi": "max"}).join(F.broadcast(second), ["g", "i"], "left"), ["g", "name", "n", "n_missing", "n_observed", "n_infinite", "n_inexact"])
         out = self._full(groups, NUMERIC, stats)
         for c in ("n", "n_missing", "n_observed", "n_infinite", "n_finite", "n_below_lower", "n_above_upper", "outlier_count"):
@@ -290,6 +296,20 @@ def _about_mean(c: Column, fences: bool) -> list[Column]:
     return [F.sum(d * d * c).alias("m2"), F.sum(d * d * d * c).alias("m3"), F.sum(d * d * d * d * c).alias("m4"), outside(F.col("v") < F.col("lower_fence")).alias("n_below_lower"), outside(F.col("v") > F.col("upper_fence")).alias("n_above_upper")]
 
 
+def shapiro_table(values: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shapiro_p) for keys with more than 3 and fewer than 5000 finite values (n_finite in ``sizes``): only those values are gathered, each key's in a task."""
+    few = sizes.where("n_finite > 3 and n_finite < 5000").select(*keys)
+    schema = T.StructType([*(sizes.schema[c] for c in keys), T.StructField("shapiro_p", T.DoubleType())])
+    if not few.limit(1).count():
+        return sizes.sparkSession.createDataFrame([], schema)
+
+    def test(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = np.repeat(part["v"].to_numpy(), part["c"].to_numpy())
+        return pd.DataFrame([(*key, shapiro_wilk(x))], columns=schema.names)
+
+    return values.join(F.broadcast(few), keys).select(*keys, "v", "c").groupBy(*keys).applyInPandas(test, schema)
+
+
 def with_fences(part: DataFrame, coef: float = 1.5) -> DataFrame:
     """``part`` (n_finite, sum, q) with mean, iqr and Tukey's fences."""
     q = F.col("q")
@@ -308,7 +328,7 @@ def numeric_columns(part: DataFrame, keys: list[str]) -> DataFrame:
     out = F.col("n_below_lower") + F.col("n_above_upper")
     return part.select(
         *keys, "n_finite", "sum", "min", F.col("q")[0].alias("q1"), "mean", F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "iqr", sd.alias("sd"), variance.alias("variance"), F.when(n > 0, sd / F.sqrt(n)).alias("sem"),
-        F.when(F.col("mean") != 0, sd / F.col("mean")).alias("cv"), skew.alias("skewness"), kurt.alias("kurtosis"), F.lit(None).cast("double").alias("shapiro_p"), "lower_fence", "upper_fence", "n_below_lower", "n_above_upper", out.alias("outlier_count"), F.when(n > 0, out * 100.0 / n).alias("outlier_percentage"),
+        F.when(F.col("mean") != 0, sd / F.col("mean")).alias("cv"), skew.alias("skewness"), kurt.alias("kurtosis"), "shapiro_p", "lower_fence", "upper_fence", "n_below_lower", "n_above_upper", out.alias("outlier_count"), F.when(n > 0, out * 100.0 / n).alias("outlier_percentage"),
     )
 
 
@@ -319,4 +339,5 @@ def numeric_statistics(values: DataFrame, keys: list[str], coef: float = 1.5) ->
     # One row for each group and variable: kept, so that the second pass does not repeat the first.
     first = materialised(with_fences(base.join(q, keys), coef), "numeric-first-pass")
     second = values.join(F.broadcast(first.select(*keys, "mean", "lower_fence", "upper_fence")), keys).groupBy(*keys).agg(*_about_mean(F.col("c"), bool(coef)))
-    return numeric_columns(first.join(second, keys), keys)
+    tested = shapiro_table(values, first, keys)
+    return numeric_columns(first.join(second, keys).join(F.broadcast(tested), keys, "left"), keys)

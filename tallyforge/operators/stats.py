@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..contract import BLANKS, number_form, quoted, safe_div, text_form
 from ..functions.pvalues import chi_square, correlation_p, fisher_2x2
 from ..storage import bounded
-from .clean import is_date, is_numeric, is_text
+from .clean import distinct_up_to, is_date, is_numeric, is_text
 from .profile import numeric_statistics
 from .quantiles import quantiles
 
@@ -173,12 +173,12 @@ def contingency_tables(df: DataFrame, x: str, columns: list[str] | None = None)
 def testable_columns(df: DataFrame, least: int = 2) -> list[str]:
     """Columns with at least ``least`` distinct values; null counts as one."""
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    got = df.agg(*[(F.count_distinct(quoted(c)) + F.coalesce(F.max(quoted(c).isNull().cast("int")), F.lit(0))).alias(f"d{i}") for i, c in enumerate(plain)]).first()
-    return [c for i, c in enumerate(plain) if got[f"d{i}"] >= least]
+    held = distinct_up_to(df, plain, least)
+    return [c for c in plain if held[c] >= least]
 
 
 def contingency_test(df: DataFrame, x: str, y: str, test: str = "fisher") -> DataFrame:
-    """p-value of independence: Fisher's exact test for small 2 x 2 tables, chi-square for others."""
+    """p-value of independence: Fisher's exact test of a 2 x 2 table, whatever its counts; chi-square if asked for, and for tables of more rows or columns."""
     rows = contingency(df, x, y).collect()
     xs, ys = sorted({r["x"] for r in rows}), sorted({r["y"] for r in rows})
     t = np.zeros((len(xs), len(ys)))
@@ -186,7 +186,7 @@ def contingency_test(df: DataFrame, x: str, y: str, test: str = "fisher") -> Dat
         t[xs.index(r["x"]), ys.index(r["y"])] = r["n"]
     if test not in ("fisher", "chisq"):
         raise ValueError("the test is fisher or chisq")
-    if test == "fisher" and t.shape == (2, 2) and t.max() <= 100:
+    if test == "fisher" and t.shape == (2, 2):
         out = (y, "fisher", None, None, fisher_2x2(t))
     else:
         stat, dof, p = chi_square(t)
@@ -242,8 +242,12 @@ def correlations(df: DataFrame, columns: list[str], method: str = "spearman") ->
         joint = materialised(wide.groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("c")), "rank-pairs")
 
         def ranks(side: str) -> DataFrame:
+            # Ranges of values, their sizes, and a running sum within each: no task has all values of a pair.
             by = joint.groupBy("k", side).agg(F.sum("c").alias("m"))
-            return by.select("k", side, (F.sum("m").over(Window.partitionBy("k").orderBy(side)) - (F.col("m") - 1) / 2).alias(f"r_{side}"))
+            ranged = materialised(by.repartitionByRange("k", side).withColumn("_p", F.spark_partition_id()), "rank-ranges")
+            before = ranged.groupBy("k", "_p").agg(F.sum("m").alias("t")).withColumn("before", F.sum("t").over(Window.partitionBy("k").orderBy("_p")) - F.col("t"))
+            upto = F.sum("m").over(Window.partitionBy("k", "_p").orderBy(side))
+            return ranged.join(F.broadcast(before.drop("t")), ["k", "_p"]).select("k", side, (F.col("before") + upto - (F.col("m") - 1) / 2).alias(f"r_{side}"))
 
         ranked = joint.join(ranks("a"), ["k", "a"]).join(ranks("b"), ["k", "b"])
         x, y, c = F.col("r_a"), F.col("r_b"), F.col("c")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import is_missing, quoted, readings, safe_div
 from ..spec import Spec, storage_family
 from ..storage import Parts, bounded
+from .clean import distinct_up_to
 from .profile import ALL, Profile
 
 NUMERIC_COLUMNS = ["name", "n_finite", "sum", "min", "q1", "mean", "median", "q3", "max", "iqr", "sd", "variance", "sem", "cv", "skewness", "kurtosis", "shapiro_p", "lower_fence", "upper_fence", "n_below_lower", "n_above_upper", "outlier_count", "outlier_percentage"]
@@ -125,12 +126,12 @@ def identifier_profile(df: DataFrame, spec: Spec) -> DataFrame:
 
 def frequencies(df: DataFrame, column: str, top: int = 20) -> DataFrame:
     """(rank, level, n): the ``top`` commonest levels, ties bytewise, and one row for what is left."""
-    from pyspark.sql import Window
-
     counted = df.where(quoted(column).isNotNull()).groupBy(quoted(column).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "level")))
-    rest = counted.join(ranked.where(F.col("rank") <= top).select("level"), "level", "left_anti").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 0")
-    return ranked.where(F.col("rank") <= top).select("rank", "level", "n").unionByName(rest.select(F.lit(top + 1).alias("rank"), F.concat(F.lit("Other ("), F.col("k").cast("string"), F.lit(" levels)")).alias("level"), "n"))
+    # The commonest are found without sorting the others; only they are numbered.
+    first = counted.orderBy(F.col("n").desc(), "level").limit(top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "level")))
+    rest = counted.join(F.broadcast(first.select("level")), "level", "left_anti").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 0")
+    return ranked.select("rank", "level", "n").unionByName(rest.select(F.lit(top + 1).alias("rank"), F.concat(F.lit("Other ("), F.col("k").cast("string"), F.lit(" levels)")).alias("level"), "n"))
 
 
 def plot_data(df: DataFrame, spec: Spec, assume_timezone: bool = False, top: int = 20) -> dict[str, DataFrame]:
@@ -145,8 +146,9 @@ def plot_data(df: DataFrame, spec: Spec, assume_timezone: bool = False, top: int
 
 def catalogue_profile(df: DataFrame, columns: list[str], max_levels: int = 50) -> DataFrame:
     """(column, value, n, n_missing) of columns with at most ``max_levels`` distinct values; refuses larger ones before any is listed."""
-    counts = df.agg(*[F.count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)], *[F.coalesce(F.sum(quoted(c).isNull().cast("long")), F.lit(0)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    if any(counts[f"d{i}"] > max_levels for i in range(len(columns))):
+    counts = df.agg(*[F.coalesce(F.sum(quoted(c).isNull().cast("long")), F.lit(0)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    held = distinct_up_to(df, columns, max_levels + 2)
+    if any(held[c] - (counts[f"m{i}"] > 0) > max_levels for i, c in enumerate(columns)):
         raise ValueError(f"a column has more than {max_levels} distinct values")
     rows = []
     for i, c in enumerate(columns):

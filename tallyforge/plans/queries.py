@@ -19,7 +19,7 @@ from ..operators.identity import LinkedTable, alias_crosswalk, identity_universe
 from ..operators.longitudinal_qc import population_qc
 from ..operators.panel import longitudinal_panel
 from ..operators.periods import Periods
-from ..operators.prepare import civil_date_operations, derive_civil_dates, prepare, synthetic_data
+from ..operators.prepare import civil_date_operations, derive_civil_dates, inject_missing, offset_instant, prepare, synthetic_data
 from ..operators.profile import Profile
 from ..operators.stratified import categorical_display, profile_stratified, table1
 from ..operators.summaries import catalogue_profile, frequencies, identifier_profile, profile_missing, profile_summaries, schema_check
@@ -291,10 +291,13 @@ def _(t, spark):
     return stats.summary_by_class(t("orders"), ["F", "5-LOW"], "text", "exclude")
 
 
-@register("tidy_counts", "WITH k AS (SELECT p_brand AS id, count(*) FILTER (p_type = 'ECONOMY') AS ECONOMY, count(*) FILTER (p_type = 'SMALL') AS SMALL FROM part WHERE p_type IN ('ECONOMY', 'SMALL') GROUP BY 1) SELECT id, nullif(ECONOMY, 0) AS ECONOMY, nullif(SMALL, 0) AS SMALL, ECONOMY + SMALL AS row_sums, (ECONOMY + SMALL)::DOUBLE / 1000 * 100 AS percent FROM k", "percent")
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@register("tidy_counts", "WITH k AS (SELECT p_brand AS id, " + ", ".join(f"count(*) FILTER (p_type = '{x}') AS {x}" for x in _TYPES) + ", count(*) AS n FROM part GROUP BY 1) SELECT id, " + ", ".join(f"nullif({x}, 0) AS {x}" for x in _TYPES) + ", n AS row_sums, n::DOUBLE / 1000 * 100 AS percent FROM k", "percent")
 def _(t, spark):
-    counts = t("part").where("p_type in ('ECONOMY', 'SMALL')").groupBy(F.col("p_brand").alias("id"), F.col("p_type").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    return stats.tidy_counts(counts, 1000, ["ECONOMY", "SMALL"])
+    counts = t("part").groupBy(F.col("p_brand").alias("id"), F.col("p_type").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return stats.tidy_counts(counts, 1000, _TYPES)
 
 
 @register("outcome_proportion", "SELECT count(*) AS n_at_risk, sum(toxic)::BIGINT AS n_outcome, round(avg(toxic), 4) AS proportion FROM labels WHERE quality = 1", "proportion")
@@ -307,11 +310,28 @@ def _(t, spark):
     return stats.contingency(t("orders"), "o_orderstatus", "o_orderpriority")
 
 
-@register("contingency_test", """
-WITH t AS (SELECT quality AS x, toxic AS y, count(*)::DOUBLE AS o FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), e AS (SELECT *, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY y) / sum(o) OVER () AS e FROM t)
-SELECT 'toxic' AS variable, 'chisq' AS method, sum(pow(greatest(abs(o - e) - 0.5, 0), 2) / e) AS statistic, 1 AS parameter FROM e""", "statistic")
+#: Twice the normal density between 0 and z, by Simpson's rule.
+_NORMAL = "(SELECT 2 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * z / 4000, 2) / 2)) * z / 4000 / 3 FROM range(0, 4001) q(i))"
+
+
+@register("contingency_test", f"""
+WITH t AS (SELECT quality AS x, toxic AS y, count(*)::DOUBLE AS o FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), e AS (SELECT *, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY y) / sum(o) OVER () AS e FROM t),
+c AS (SELECT sum(pow(greatest(abs(o - e) - 0.5, 0), 2) / e) AS statistic FROM e), z AS (SELECT statistic, sqrt(statistic) AS z FROM c)
+SELECT 'toxic' AS variable, 'chisq' AS method, statistic, 1 AS parameter, round(1 - {_NORMAL}, 8) AS p_value FROM z""", "statistic p_value")
+def _(t, spark):
+    return stats.contingency_test(t("labels"), "quality", "toxic", "chisq").withColumn("p_value", F.round("p_value", 8))
+
+
+_FISHER = """
+{0}_t AS (SELECT count(*) FILTER ({1} AND {2}) AS a, count(*) FILTER ({1}) AS n1, count(*) FILTER (NOT {1}) AS n2, count(*) FILTER ({2}) AS k FROM {3} WHERE {1} IS NOT NULL AND {2} IS NOT NULL),
+{0}_p AS (SELECT a, x, lgamma(n1 + 1) - lgamma(x + 1) - lgamma(n1 - x + 1) + lgamma(n2 + 1) - lgamma(k - x + 1) - lgamma(n2 - k + x + 1) - lgamma(n1 + n2 + 1) + lgamma(k + 1) + lgamma(n1 + n2 - k + 1) AS lp FROM {0}_t, unnest(range(greatest(0, k - n2), least(k, n1) + 1)) r(x)),
+{0} AS (SELECT round(sum(exp(lp)) FILTER (lp <= (SELECT lp FROM {0}_p WHERE x = a) + 1e-7), 7) AS p FROM {0}_p)"""
+
+
+@register("contingency_fisher", "WITH " + _FISHER.format("f", "(quality = 1)", "(toxic = 1)", "labels") + ", " + _FISHER.format("g", "(quality = 1)", "(doc_id % 2 = 1)", "labels") + " SELECT 'toxic' AS variable, 'fisher' AS method, NULL::DOUBLE AS statistic, NULL::INT AS parameter, p AS p_value FROM f UNION ALL SELECT 'odd', 'fisher', NULL, NULL, p FROM g", "p_value")
 def _(t, spark):
-    return stats.contingency_test(t("labels"), "quality", "toxic", "chisq").drop("p_value")
+    rows = t("labels").select("quality", "toxic", (F.col("doc_id") % 2).alias("odd"))
+    return stats.contingency_tests(rows, "quality").withColumn("p_value", F.round("p_value", 7))
 
 
 @register("contingency_nxn", """
@@ -324,14 +344,25 @@ def _(t, spark):
 _PAIRS = [(a, b) for a in ("l_quantity", "l_extendedprice", "l_discount") for b in ("l_quantity", "l_extendedprice", "l_discount")]
 
 
-@register("correlation_pearson", " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, {'1.0::DOUBLE' if a == b else f'corr({a}, {b})'} AS r, count(*) AS n FROM lineitem" for a, b in _PAIRS), "r")
+def _with_p(pairs: str) -> str:
+    """(var1, var2, r, n) rows with the two-sided p of Student's t, integrated by Simpson's rule; beyond 40 it is nothing."""
+    return f"""WITH pairs AS ({pairs}), t AS (SELECT *, (n - 2)::DOUBLE AS v, CASE WHEN var1 <> var2 THEN least(40, abs(r) * sqrt((n - 2) / nullif(1 - r * r, 0))) END AS z FROM pairs)
+SELECT var1, var2, r, n, CASE WHEN var1 <> var2 THEN round(1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * (SELECT sum(CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(i * z / 8000, 2) / v, -(v + 1) / 2)) * z / 8000 / 3 FROM range(0, 8001) q(i)), 7) END AS p FROM t"""
+
+
+@register("correlation_pearson", _with_p(" UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, {'1.0::DOUBLE' if a == b else f'corr({a}, {b})'} AS r, count(*) AS n FROM lineitem" for a, b in _PAIRS)), "r p")
 def _(t, spark):
-    return stats.correlations(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], "pearson").drop("p")
+    return stats.correlations(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], "pearson").withColumn("p", F.round("p", 7))
+
 
+_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+_RANKED = " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, {'1.0::DOUBLE' if a == b else f'corr({a}, {b})'} AS r, count(*) AS n FROM (SELECT {_RANKS} FROM lineitem)" for a, b in _PAIRS if a >= b)
 
-@register("correlation_spearman", "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, {'1.0::DOUBLE' if a == b else f'corr({a}, {b})'} AS r, count(*) AS n FROM r" for a, b in _PAIRS if a >= b), "r")
+
+@register("correlation_spearman", _with_p(_RANKED), "r p")
 def _(t, spark):
-    return stats.lower_triangle(stats.correlations(t("lineitem"), ["l_discount", "l_extendedprice", "l_quantity"]), ["l_discount", "l_extendedprice", "l_quantity"]).drop("p")
+    names = ["l_discount", "l_extendedprice", "l_quantity"]
+    return stats.lower_triangle(stats.correlations(t("lineitem"), names), names).withColumn("p", F.round("p", 7))
 
 
 @register("kaplan_meier", """
@@ -364,14 +395,57 @@ def _(t, spark):
     return clean.merge_all({"nations": t("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("label")), "suppliers": t("supplier").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.min("s_name").alias("label"), F.count(F.lit(1)).alias("n"))}, "k")
 
 
-@register("stratified_sample")
+@register("stratified_sample", """
+WITH d AS (SELECT *, ('0x' || substr(md5('7:' || o_orderkey::VARCHAR), 1, 13))::BIGINT AS u FROM orders)
+SELECT * EXCLUDE (u) FROM d QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY u, o_orderkey) <= round_even(count(*) OVER (PARTITION BY o_orderstatus) * 0.1::DOUBLE, 0)""", "o_totalprice")
 def _(t, spark):
     return clean.stratified_sample(t("orders"), "o_orderstatus", 0.1, "o_orderkey", 7)
 
 
-@register("missing_percent", "SELECT unnest(['l_returnflag', 'l_quantity']) AS column, 0::BIGINT AS na_count, 0.0::DOUBLE AS na_perc", "na_perc")
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@register("missing_percent", " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) - count({c}) AS na_count, (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS na_perc FROM lineitem" for c in _LINE_COLUMNS), "na_perc")
+def _(t, spark):
+    return clean.missing_percent(t("lineitem").select(*_LINE_COLUMNS))
+
+
+@register("inject_missing", """
+WITH d AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer) SELECT (SELECT count(*) FROM d) AS n, 120::BIGINT AS n_balance, 75::BIGINT AS n_segment, 30::BIGINT AS n_blank, 0::BIGINT AS n_other""")
 def _(t, spark):
-    return clean.missing_percent(t("lineitem").select("l_returnflag", "l_quantity"))
+    was = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    now = inject_missing(was, {"c_acctbal": 120, "c_mktsegment": 75}, "c_custkey", 3, {"c_mktsegment": 30})
+    both = now.join(was.withColumnsRenamed({"c_mktsegment": "s", "c_acctbal": "b"}), "c_custkey")
+    changed = F.coalesce((F.col("c_mktsegment") != F.col("s")) & (F.col("c_mktsegment") != ""), F.lit(False)) | F.coalesce(F.col("c_acctbal") != F.col("b"), F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal").isNull()).alias("n_balance"), F.count_if(F.col("c_mktsegment").isNull()).alias("n_segment"), F.count_if(F.col("c_mktsegment") == "").alias("n_blank"), F.count_if(changed).alias("n_other"))
+
+
+@register("head_and_tail", "(SELECT 'head' AS part, o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 5) UNION ALL (SELECT 'tail', o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 5)")
+def _(t, spark):
+    return clean.head_and_tail(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"])
+
+
+@register("values_to_null", "SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('P', 'F') THEN o_orderstatus END AS o_orderstatus FROM orders")
+def _(t, spark):
+    return clean.values_to_null(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["P", "F"])
+
+
+@register("integers_to_text", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def _(t, spark):
+    return clean.integers_to_text(t("nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@register("categorical_candidates", "SELECT unnest(['o_orderstatus', 'o_orderpriority']) AS name")
+def _(t, spark):
+    found = clean.categorical_candidates(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), 10)
+    return spark.createDataFrame([(x,) for x in found], "name string")
+
+
+@register("offset_instants", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE + INTERVAL 10 HOUR WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE + INTERVAL 12 HOUR END AS at FROM orders")
+def _(t, spark):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(day, F.lit("T12:00:00+02:00"))).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit("T12:00:00Z"))).otherwise(F.concat(day, F.lit("T12:00:00+15:00")))
+    return t("orders").select("o_orderkey", offset_instant(text).cast("timestamp_ntz").alias("at"))
 
 
 @register("replace_value", "SELECT p_partkey, CASE WHEN p_type LIKE '%SMALL%' THEN 'tiny' ELSE p_type END AS p_type FROM part")
@@ -585,11 +659,11 @@ def _(t, spark):
 
 # A panel: users by week, the value of one kind of event.
 _WEEKS = ["w1", "w2", "w3", "w4", "w5"]
-_PANEL_SQL = "WITH r AS (SELECT user_id AS id, 1 + (datediff('day', DATE '2024-01-01', ts::DATE) // 7) AS t, CASE WHEN value < 150 THEN value END AS v FROM events WHERE event_type = 'purchase'), c AS (SELECT id, t, count(*) AS rows, count(DISTINCT v) AS k, min(v) AS x FROM r GROUP BY ALL), p AS (SELECT id, count(*) AS k, min(t) AS a, max(t) AS b, max(rows) AS m FROM c GROUP BY 1) "
+_PANEL_SQL = "WITH r AS (SELECT user_id AS id, 1 + (datediff('day', DATE '2024-01-01', ts::DATE) // 7) AS t, CASE WHEN value < 150 THEN value END AS v FROM events), c AS (SELECT id, t, count(*) AS rows, count(DISTINCT v) AS k, min(v) AS x FROM r GROUP BY ALL), p AS (SELECT id, count(*) AS k, min(t) AS a, max(t) AS b, max(rows) AS m FROM c GROUP BY 1) "
 
 
 def _panel(t):
-    rows = t("events").where("event_type = 'purchase'").select("user_id", F.concat(F.lit("w"), (1 + F.floor(F.datediff("ts", F.lit(dt.date(2024, 1, 1))) / 7)).cast("string")).alias("week"), F.when(F.col("value") < 150, F.col("value")).alias("value"))
+    rows = t("events").select("user_id", F.concat(F.lit("w"), (1 + F.floor(F.datediff("ts", F.lit(dt.date(2024, 1, 1))) / 7)).cast("string")).alias("week"), F.when(F.col("value") < 150, F.col("value")).alias("value"))
     return longitudinal_panel(rows, spec_of(("user_id", "integer", "", "", "id"), ("week", "categorical", ";".join(_WEEKS)), ("value", "numeric")), "user_id", "week")
 
 
@@ -721,9 +795,17 @@ def _(t, spark):
     return windowed_counts(t("events"), "ts", ["value"], "1 day").withColumn("value_sum", F.round("value_sum", 4))
 
 
-@register("synthetic_data")
+def _unit(i: int) -> str:
+    return f"(('0x' || substr(md5('1:{i}:' || id::VARCHAR), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r}::DOUBLE)"
+
+
+@register("synthetic_data", "SELECT " + ", ".join([
+    *(f"{_unit(i)} * 100 AS {c}" for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])), f"floor({_unit(4)} * 101)::BIGINT AS l_linenumber", f"['A', 'N', 'X'][floor({_unit(5)} * 3)::INT + 1] AS l_returnflag", f"['F', 'O'][floor({_unit(6)} * 2)::INT + 1] AS l_linestatus",
+    f"TIMESTAMP '2000-01-01' + INTERVAL 1 SECOND * floor({_unit(7)} * {366 * 86_400})::BIGINT AS l_shipdate",
+]) + " FROM range(0, 1000) x(id)", "l_quantity l_extendedprice l_discount l_tax")
 def _(t, spark):
-    return synthetic_data(spark, LINES, 1000, 1)
+    made = synthetic_data(spark, LINES, 1000, 1)
+    return made.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
