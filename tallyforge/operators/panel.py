@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import number_form, readings, safe_div, text_form
 from ..spec import Spec, SpecError, strict_levels
-from ..storage import materialised
+from ..storage import Parts, materialised
 from .periods import valid_entity
 from .profile import LEVELS, NUMERIC, numeric_statistics
 from .stratified import Stratified, profile_stratified
 
 
-@dataclass
-class Panel:
-    structure: DataFrame
-    observation_count: DataFrame
-    first_observation: DataFrame
-    last_observation: DataFrame
-    gap_status: DataFrame
-    timepoints: DataFrame
-    missing_by_time: DataFrame
-    entity_summary: DataFrame
-    measurement_distribution: DataFrame
-    interior_missing: DataFrame
-    change_adjacent: DataFrame
-    change_first_to_last: DataFrame
-    issues: DataFrame
-    summaries: Stratified | None = None
+class Panel(Parts):
+    """The tables of a panel: structure, observation_count, first_observation, last_observation, gap_status, timepoints,
+    missing_by_time, entity_summary, measurement_distribution, interior_missing, change_adjacent, change_first_to_last, issues and,
+    if they were asked for, summaries by time."""
 
 
 def longitudinal_panel(df: DataFrame, spec: Spec, entity: str, time: str, time_order: list[str] | None = None, variables: list[str] | None = None, summaries: bool = False) -> Panel:
@@ -67,6 +55,7 @@ def longitudinal_panel(df: DataFrame, spec: Spec, entity: str, time: str, time_o
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i in range(len(sides)):
         aggs += [F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"), F.min(f"s{i}").alias(f"slo{i}"), F.max(f"s{i}").alias(f"shi{i}")]
+    # What several tables need is computed when the first of them is asked for.
     cells = materialised(rows.groupBy("id", "t").agg(*aggs), "panel-cells")
 
     per = cells.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("t").alias("first"), F.max("t").alias("last"), F.max((F.col("rows") > 1).cast("int")).alias("dup"))
@@ -77,12 +66,10 @@ def longitudinal_panel(df: DataFrame, spec: Spec, entity: str, time: str, time_o
         "n_rows", "n_missing_id", "n_blank_id", "n_missing_time", "n_invalid_id_and_missing_time", "n_valid_panel_rows", "n_valid_entities", F.lit(n_times).cast("long").alias("n_declared_timepoints"), "n_observed_timepoints", "n_observed_id_time_cells", "n_duplicate_cells", "n_duplicate_excess", "max_rows_per_cell",
         "n_entities_with_duplicate_cell", (F.col("n_valid_entities") * n_times).alias("n_expected_cells"), "n_complete_entities", (F.col("n_valid_entities") - F.col("n_complete_entities")).alias("n_incomplete_entities"),
     )
-    spread = per.groupBy("k", "first", "last").agg(F.count(F.lit(1)).alias("n"))
-    spread = materialised(spread, "panel-spread")
-    total = lambda d, on, name: times.join(d.groupBy(F.col(on).alias("t")).agg(F.sum("n").alias("n")), "t", "left").select(F.col("t").alias(name), "timepoint", F.coalesce("n", F.lit(0)).alias("n_entities"))
-    observation_count = total(spread, "k", "n_timepoints_observed").drop("timepoint")
+    spread = cache(lambda: materialised(per.groupBy("k", "first", "last").agg(F.count(F.lit(1)).alias("n")), "panel-spread"))
+    total = lambda on, name: times.join(spread().groupBy(F.col(on).alias("t")).agg(F.sum("n").alias("n")), "t", "left").select(F.col("t").alias(name), "timepoint", F.coalesce("n", F.lit(0)).alias("n_entities"))
     has_gap = (F.col("last") - F.col("first") + 1 > F.col("k")) & (F.col("k") >= 2)
-    gaps = F.broadcast(spark.createDataFrame([(False,), (True,)], "has_gap boolean")).join(spread.groupBy(has_gap.alias("has_gap")).agg(F.sum("n").alias("n")), "has_gap", "left").select("has_gap", F.coalesce("n", F.lit(0)).alias("n_entities"))
+    gaps = lambda: F.broadcast(spark.createDataFrame([(False,), (True,)], "has_gap boolean")).join(spread().groupBy(has_gap.alias("has_gap")).agg(F.sum("n").alias("n")), "has_gap", "left").select("has_gap", F.coalesce("n", F.lit(0)).alias("n_entities"))
 
     w = Window.partitionBy("id").orderBy("t")
     flagged = cells.select("id", "t", "rows", F.lag("t").over(w).alias("before"), F.lead("t").over(w).alias("after"))
@@ -112,26 +99,30 @@ def longitudinal_panel(df: DataFrame, spec: Spec, entity: str, time: str, time_o
     usable_t = F.when(F.col("k") == 1, F.col("t"))
     wv = Window.partitionBy("vx", "id")
     inside = long.select("*", F.min(usable_t).over(wv).alias("a"), F.max(usable_t).over(wv).alias("b"))
-    own = inside.groupBy("vx", "id").agg(F.sum((F.col("k") == 1).cast("int")).alias("usable"), F.count(F.lit(1)).alias("present"), F.max(((F.col("k") == 0) & (F.col("t") > F.col("a")) & (F.col("t") < F.col("b"))).cast("int")).alias("interior"))
-    own = materialised(own.groupBy("vx", "usable", "present", F.coalesce("interior", F.lit(0)).alias("interior")).agg(F.count(F.lit(1)).alias("n")), "panel-entities")
+    by_entity = inside.groupBy("vx", "id").agg(F.sum((F.col("k") == 1).cast("int")).alias("usable"), F.count(F.lit(1)).alias("present"), F.max(((F.col("k") == 0) & (F.col("t") > F.col("a")) & (F.col("t") < F.col("b"))).cast("int")).alias("interior"))
+    own = cache(lambda: materialised(by_entity.groupBy("vx", "usable", "present", F.coalesce("interior", F.lit(0)).alias("interior")).agg(F.count(F.lit(1)).alias("n")), "panel-entities"))
     su = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    entity_summary = used.join(own, "vx", "left").groupBy(F.col("vx").alias("variable_index"), "variable").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_valid_entities"), su(F.col("usable") == 0).alias("n_never_observed"), su(F.col("usable") > 0).alias("n_observed_at_least_once"), su(F.col("usable") == F.col("present")).alias("n_complete_among_present"), su(F.col("usable") != F.col("present")).alias("n_incomplete_among_present"))
+    entity_summary = lambda: used.join(own(), "vx", "left").groupBy(F.col("vx").alias("variable_index"), "variable").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_valid_entities"), su(F.col("usable") == 0).alias("n_never_observed"), su(F.col("usable") > 0).alias("n_observed_at_least_once"), su(F.col("usable") == F.col("present")).alias("n_complete_among_present"), su(F.col("usable") != F.col("present")).alias("n_incomplete_among_present"))
     steps = F.broadcast(spark.createDataFrame([(i,) for i in range(n_times + 1)], "usable int"))
-    distribution = used.crossJoin(steps).join(own.groupBy("vx", "usable").agg(F.sum("n").alias("n")), ["vx", "usable"], "left").select(F.col("vx").alias("variable_index"), "variable", F.col("usable").alias("n_usable_measurements"), z("n").alias("n_entities"))
-    interior = used.join(own, "vx", "left").groupBy(F.col("vx").alias("variable_index"), "variable").agg(su(F.col("interior") == 1).alias("n_entities_interior_missing"))
+    distribution = lambda: used.crossJoin(steps).join(own().groupBy("vx", "usable").agg(F.sum("n").alias("n")), ["vx", "usable"], "left").select(F.col("vx").alias("variable_index"), "variable", F.col("usable").alias("n_usable_measurements"), z("n").alias("n_entities"))
+    interior = lambda: used.join(own(), "vx", "left").groupBy(F.col("vx").alias("variable_index"), "variable").agg(su(F.col("interior") == 1).alias("n_entities_interior_missing"))
 
     numeric_names = [n for n, _, _ in sides if spec[n].analysis_type in NUMERIC]
     nums = long.where(F.col("variable").isin(numeric_names or [""]))
     wn = Window.partitionBy("vx", "id").orderBy("t")
     lagged = nums.select("vx", "variable", "id", "t", "k", "x", F.lag("t").over(wn).alias("t0"), F.lag("k").over(wn).alias("k0"), F.lag("x").over(wn).alias("x0"))
-    adjacent = _changes(lagged.where("t0 = t - 1").select("vx", "variable", F.col("t0").alias("from"), "k0", "x0", "k", "x"), ["vx", "variable", "from"])
-    pairs = F.broadcast(spark.createDataFrame([(order[n], n, i) for n in numeric_names for i in range(1, n_times)], "vx int, variable string, `from` int"))
-    change_adjacent = pairs.join(adjacent.drop("variable"), ["vx", "from"], "left").join(times.select(F.col("t").alias("from"), F.col("timepoint").alias("from_timepoint")), "from").join(times.select((F.col("t") - 1).alias("from"), F.col("timepoint").alias("to_timepoint")), "from")
-    change_adjacent = change_adjacent.select(F.col("from").alias("from_time_index"), "from_timepoint", (F.col("from") + 1).alias("to_time_index"), "to_timepoint", F.col("vx").alias("variable_index"), "variable", *_change_columns())
-    ends = nums.groupBy("vx", "variable", "id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("k", "x"), "t").alias("a"), F.max_by(F.struct("k", "x"), "t").alias("b"))
-    lasting = _changes(ends.where("n > 1").select("vx", "variable", F.col("a.k").alias("k0"), F.col("a.x").alias("x0"), F.col("b.k").alias("k"), F.col("b.x").alias("x")), ["vx", "variable"])
-    single = ends.groupBy("vx").agg(F.count(F.lit(1)).alias("present"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
-    first_last = used.where(F.col("variable").isin(numeric_names or [""])).join(single, "vx", "left").join(lasting.drop("variable"), "vx", "left").select(F.col("vx").alias("variable_index"), "variable", z("present").alias("n_entities_with_presence"), z("single").alias("n_excluded_single_timepoint"), *_change_columns())
+
+    def change_adjacent() -> DataFrame:
+        adjacent = _changes(lagged.where("t0 = t - 1").select("vx", "variable", F.col("t0").alias("from"), "k0", "x0", "k", "x"), ["vx", "variable", "from"])
+        pairs = F.broadcast(spark.createDataFrame([(order[n], n, i) for n in numeric_names for i in range(1, n_times)], "vx int, variable string, `from` int"))
+        out = pairs.join(adjacent.drop("variable"), ["vx", "from"], "left").join(times.select(F.col("t").alias("from"), F.col("timepoint").alias("from_timepoint")), "from").join(times.select((F.col("t") - 1).alias("from"), F.col("timepoint").alias("to_timepoint")), "from")
+        return out.select(F.col("from").alias("from_time_index"), "from_timepoint", (F.col("from") + 1).alias("to_time_index"), "to_timepoint", F.col("vx").alias("variable_index"), "variable", *_change_columns())
+
+    def first_last() -> DataFrame:
+        ends = nums.groupBy("vx", "variable", "id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("k", "x"), "t").alias("a"), F.max_by(F.struct("k", "x"), "t").alias("b"))
+        lasting = _changes(ends.where("n > 1").select("vx", "variable", F.col("a.k").alias("k0"), F.col("a.x").alias("x0"), F.col("b.k").alias("k"), F.col("b.x").alias("x")), ["vx", "variable"])
+        single = ends.groupBy("vx").agg(F.count(F.lit(1)).alias("present"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
+        return used.where(F.col("variable").isin(numeric_names or [""])).join(single, "vx", "left").join(lasting.drop("variable"), "vx", "left").select(F.col("vx").alias("variable_index"), "variable", z("present").alias("n_entities_with_presence"), z("single").alias("n_excluded_single_timepoint"), *_change_columns())
 
     plain = counts.crossJoin(cel).select(F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(code).alias("issue_code"), F.col(c).alias("n_affected"), F.lit(text).alias("message")) for i, (code, c, text) in enumerate((("missing_entity_id", "n_missing_id", "rows without an entity id take no part"), ("blank_entity_id", "n_blank_id", "rows with a blank entity id take no part"), ("missing_time", "n_missing_time", "rows without a known time take no part"), ("duplicate_id_time", "n_duplicate_cells", "cells hold several rows")))])).alias("i")).select("i.*").where("n_affected > 0")
     none = lambda k, a: F.lit(None).cast(k).alias(a)
@@ -139,8 +130,22 @@ def longitudinal_panel(df: DataFrame, spec: Spec, entity: str, time: str, time_o
     conflict = by_time.where("n_conflicting > 0").select(F.lit("conflicting_variable_cell").alias("issue_code"), F.lit("warning").alias("severity"), "time_index", "timepoint", "variable_index", "variable", F.col("n_conflicting").alias("n_affected"), F.lit("cells hold different values").alias("message"), F.lit(4).alias("rank"))
     empty = filled.where("n_entities = 0").select(F.lit("zero_observation_timepoint").alias("issue_code"), F.lit("warning").alias("severity"), F.col("t").alias("time_index"), "timepoint", none("int", "variable_index"), none("string", "variable"), F.lit(0).cast("long").alias("n_affected"), F.lit("nobody was observed at this time").alias("message"), F.lit(5).alias("rank"))
     issues = plain.unionByName(conflict).unionByName(empty).orderBy("rank", "time_index", "variable_index").drop("rank")
-    strata = profile_stratified(df, spec, time, include_missing_stratum=False) if summaries else None
-    return Panel(structure, observation_count, total(spread, "first", "time_index"), total(spread, "last", "time_index"), gaps, timepoints, by_time, entity_summary, distribution, interior, change_adjacent, first_last, issues, strata)
+    return Panel(
+        structure=lambda: structure,
+        observation_count=lambda: total("k", "n_timepoints_observed").drop("timepoint"),
+        first_observation=lambda: total("first", "time_index"),
+        last_observation=lambda: total("last", "time_index"),
+        gap_status=gaps,
+        timepoints=lambda: timepoints,
+        missing_by_time=lambda: by_time,
+        entity_summary=entity_summary,
+        measurement_distribution=distribution,
+        interior_missing=interior,
+        change_adjacent=change_adjacent,
+        change_first_to_last=first_last,
+        issues=lambda: issues,
+        summaries=lambda: profile_stratified(df, spec, time, include_missing_stratum=False) if summaries else None,
+    )
 
 
 def _changes(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,6 +25,8 @@ class Periods:
     """At least two named tables in time order."""
 
     tables: dict[str, DataFrame]
+    #: (table, number of the period) where all are cut from one table: it is read once, not once for each of them
+    whole: tuple[DataFrame, Column] | None = None
 
     def __post_init__(self) -> None:
         if len(self.tables) < 2:
@@ -40,6 +42,9 @@ class Periods:
 
     def stacked(self, columns) -> DataFrame:
         """Union of ``columns(df)`` (a list of Columns) over the periods, with the period's number p, from 1."""
+        if self.whole:
+            df, number = self.whole
+            return df.select(number.alias("p"), *columns(df)).where("p > 0")
         parts = [df.select(F.lit(i).alias("p"), *columns(df)) for i, df in enumerate(self.tables.values(), 1)]
         return reduce(DataFrame.unionByName, parts)
 
@@ -54,4 +59,5 @@ class Periods:
 
 def periods_by(df: DataFrame, column: Column, labels: dict[str, object]) -> Periods:
     """Periods cut from one table: label -> value of ``column``."""
-    return Periods({k: df.where(column == F.lit(v)) for k, v in labels.items()})
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, labels.values())), column).cast("int"), F.lit(0))
+    return Periods({k: df.where(column == F.lit(v)) for k, v in labels.items()}, (df, number))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..contract import readings, safe_div, text_form
 from ..spec import Spec, SpecError, strict_levels
 from ..storage import Parts, bounded
-from .profile import ALL, LEVELS, Profile
+from .profile import ALL, LEVELS, NUMERIC, TEMPORAL, Profile
 from .summaries import NUMERIC_COLUMNS, TEMPORAL_COLUMNS, TEXT_COLUMNS
 
 BASES = ("compatibility", "column", "row", "overall")
@@ -95,6 +95,7 @@ def profile_stratified(df: DataFrame, spec: Spec, strata: str, include_overall:
         declared=lambda: {n: [w for w, d in ls if d] for n, ls in p.levels().items() if any(d for _, d in ls)},
     )
     out.strata, out.labels = strata, labels
+    out.quartiles = lambda: p.quartiles((*NUMERIC, *TEMPORAL))
     out.orders = {r.name: j for j, r in enumerate(p.usable, 1)}
     out.types = {r.name: r.variable.analysis_type for r in p.usable}
     return out
@@ -161,6 +162,8 @@ def _or_dash(x: Column) -> Column:
 def table1(result: Stratified, basis: str = "compatibility") -> DataFrame:
     """Display rows of all variables but the stratifier, ordered by variable, row and group."""
     spark = result.groups.sparkSession
+    # Of numbers and times together, since both are shown.
+    result.quartiles()
     order = F.broadcast(spark.createDataFrame([(n, i, result.labels[n]) for i, n in enumerate((n for n in result.orders if n != result.strata), 1)], "name string, variable_order int, label string"))
     stratum_note = F.concat_ws(" ", F.when(F.col("is_missing_stratum"), "Missing stratum."), F.when(F.col("is_unexpected_stratum"), "Unexpected stratum."))
     missing_note = F.lit("Percentage of all rows of the group.")

@@ -18,7 +18,7 @@ from ..operators.drift import longitudinal_drift
 from ..operators.identity import LinkedTable, alias_crosswalk, identity_universe, pseudonym_audit
 from ..operators.longitudinal_qc import population_qc
 from ..operators.panel import longitudinal_panel
-from ..operators.periods import Periods
+from ..operators.periods import Periods, periods_by
 from ..operators.prepare import civil_date_operations, derive_civil_dates, inject_missing, offset_instant, prepare, synthetic_data
 from ..operators.profile import Profile
 from ..operators.stratified import categorical_display, profile_stratified, table1
@@ -578,7 +578,7 @@ _YEARS_SQL = f"WITH y AS (SELECT *, year(o_orderdate) - {YEARS[0] - 1} AS p FROM
 
 
 def _years(t) -> Periods:
-    return Periods({str(y): t("orders").where(F.year("o_orderdate") == y) for y in YEARS})
+    return periods_by(t("orders"), F.year("o_orderdate"), {str(y): y for y in YEARS})
 
 
 @register("population_periods", _YEARS_SQL + f", k AS (SELECT p, o_custkey, count(*) AS c FROM y GROUP BY ALL), r AS (SELECT p, o_custkey, o_orderstatus, count(*) AS c FROM y GROUP BY ALL) SELECT p::INT AS period_index, (p + {YEARS[0] - 1})::VARCHAR AS period_label, sum(c)::BIGINT AS n_rows, count(*) AS n_distinct_entities, coalesce(sum(c) FILTER (c > 1), 0)::BIGINT AS n_repeated_entity_rows, sum(c - 1)::BIGINT AS n_repeated_entity_excess, max(c) AS max_entity_frequency, (SELECT count(*) FROM r WHERE r.p = k.p) AS n_distinct_record_keys, (SELECT sum(r.c - 1)::BIGINT FROM r WHERE r.p = k.p) AS n_duplicate_record_key_excess FROM k GROUP BY p")

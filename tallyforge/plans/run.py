@@ -18,7 +18,7 @@ from ..operators.summaries import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TEMPORAL
 from ..sources.catalogue import Source
 from ..sources.files import Bundle, check_bundle
 from ..spec import Spec, SpecError, load_spec, scaffold_spec
-from ..storage import bounded
+from ..storage import bounded, scratch
 from .report import bars_svg, box_svg, histogram_svg, page, scatter_svg, table_html
 
 MAX_PLOT_LEVELS = 20
@@ -34,6 +34,14 @@ def run_eda(data: DataFrame | Source | None, spec: Spec, output_dir: str | None
         raise SpecError("give data or ask for synthetic rows")
     zone = isinstance(data, Source) and data.assume_timezone == "UTC"
     df = synthetic_data(spark, spec, synthetic_rows, seed) if data is None else data.checked() if isinstance(data, Source) else data
+    if output_dir:
+        # What is published is rows by then.
+        with scratch(df.sparkSession):
+            return _run_eda(df, spec, output_dir, strata, plots, basis, overwrite, maps, max_map_points, zone)
+    return _run_eda(df, spec, None, strata, plots, basis, overwrite, maps, max_map_points, zone)
+
+
+def _run_eda(df: DataFrame, spec: Spec, output_dir: str | None, strata: str | None, plots: bool, basis: str, overwrite: bool, maps: bool, max_map_points: int, zone: bool) -> dict[str, DataFrame]:
     p = Profile(df, spec, None, zone)
     # In one go, since all are wanted.
     p.quartiles((*NUMERIC, *TEMPORAL))

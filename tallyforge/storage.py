@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _MADE[key]
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside are deleted at the end, from whatever file system the folder is on.
+
+    Only for results that are rows by then: a DataFrame that still reads the tables would fail.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read again: later passes read a narrow table instead of the input."""
     path = f"{shared_folder(df.sparkSession)}/tallyforge/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
