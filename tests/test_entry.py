@@ -36,3 +36,17 @@ def test_works_without_the_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert n and not any(q.startswith('op') or q == 'pipeline' for q in n); assert set(e.oracle_sql()) <= set(n)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_suite_works_without_the_subpackage(tmp_path):
+    """In a copy without both folders of the subpackage and the pipeline all tests are collected and some are run."""
+    import shutil
+
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    for folder in ("tallyforge", "tests"):
+        shutil.copytree(f"{root}/{folder}", tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    run = lambda *a: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *a], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True)
+    run("--collect-only", "tests")
+    run("tests/test_statistics.py", "-k", "fisher_is_exact or shapiro or distinct")
