@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, readable after executors are lost."""
-    path = fresh_path(df.sparkSession, name)
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside, but for those to keep, are deleted at the end."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _SCRATCH.pop())
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders from whatever file system they are on."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, readable after executors are lost.
+
+    A table with a path of its own is kept; others belong to the scratch that is open, if one is.
+    """
+    if path is None:
+        path = fresh_path(df.sparkSession, name)
+        if _SCRATCH:
+            _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,7 +75,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` for rows that hold texts: batches of at most BATCH_BYTES, unless the session asks for still smaller ones.
 
-    A worker holds a batch several times over, on both sides of the pipe.
+    A worker holds a batch several times over, on both sides of the pipe.  Spark reads the
+    setting when a query runs, so it stays for the session; only Spark's own default is replaced.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) == f"{DEFAULT_BATCH_BYTES}b":
