@@ -276,6 +276,14 @@ def _(t, spark):
     return stats.stats_dates(t("orders").select(F.col("o_orderdate").cast("date").alias("day")))
 
 
+_STATISTICS = ["N", "N Missing", "N Unique", "Min", "25%", "Median", "75%", "Max", "IQR", "Most Common", "Range (Days)"]
+
+
+@register("stats_dates_wide", "SELECT \"column\", " + ", ".join(f"max(value) FILTER (statistic = '{x}') AS \"{x}\"" for x in _STATISTICS) + f" FROM ({SQL['stats_dates']}) GROUP BY \"column\"")
+def _(t, spark):
+    return stats.stats_dates_wide(t("orders").select(F.col("o_orderdate").cast("date").alias("day")))
+
+
 @register("date_gaps", "WITH d AS (SELECT o_orderdate::DATE AS d, lag(o_orderdate::DATE) OVER (ORDER BY o_orderdate) AS p FROM orders) SELECT datediff('day', p, d)::INT AS gap_days, count(*) AS n FROM d WHERE p IS NOT NULL GROUP BY 1")
 def _(t, spark):
     return stats.date_gaps(t("orders"), "o_orderdate")
@@ -687,6 +695,34 @@ def _(t, spark):
     return _panel(t).missing_by_time.select("time_index", "n_present_entities", "n_usable", "n_missing", "n_conflicting", "p_usable")
 
 
+@register("panel_observation_count", _PANEL_SQL + "SELECT g.t::INT AS n_timepoints_observed, count(p.id) AS n_entities FROM range(1, 6) g(t) LEFT JOIN p ON p.k = g.t GROUP BY 1")
+def _(t, spark):
+    return _panel(t).observation_count
+
+
+@register("panel_entity_summary", _PANEL_SQL + ", e AS (SELECT id, count(*) FILTER (k = 1) AS u, count(*) AS n FROM c GROUP BY id) SELECT 1 AS variable_index, 'value' AS variable, count(*) AS n_valid_entities, count(*) FILTER (u = 0) AS n_never_observed, count(*) FILTER (u > 0) AS n_observed_at_least_once, count(*) FILTER (u = n) AS n_complete_among_present, count(*) FILTER (u <> n) AS n_incomplete_among_present FROM e")
+def _(t, spark):
+    return _panel(t).entity_summary
+
+
+@register("panel_distribution", _PANEL_SQL + ", e AS (SELECT id, count(*) FILTER (k = 1) AS u FROM c GROUP BY id) SELECT 1 AS variable_index, 'value' AS variable, g.t::INT AS n_usable_measurements, count(e.id) AS n_entities FROM range(0, 6) g(t) LEFT JOIN e ON e.u = g.t GROUP BY ALL")
+def _(t, spark):
+    return _panel(t).measurement_distribution
+
+
+@register("panel_change_first_last", _PANEL_SQL + """, f AS (SELECT p.id, p.k AS n, a.k AS k0, a.x AS x0, b.k AS k1, b.x AS x1 FROM p JOIN c a ON a.id = p.id AND a.t = p.a JOIN c b ON b.id = p.id AND b.t = p.b)
+SELECT 'value' AS variable, count(*) AS n_entities_with_presence, count(*) FILTER (n = 1) AS n_excluded_single_timepoint, count(*) FILTER (n > 1) AS n_present_both, count(*) FILTER (n > 1 AND k0 = 1 AND k1 = 1) AS n_eligible, count(*) FILTER (n > 1 AND (k0 > 1 OR k1 > 1)) AS n_excluded_conflict,
+  count(*) FILTER (n > 1 AND k0 < 2 AND k1 < 2 AND (k0 = 0 OR k1 = 0)) AS n_excluded_missing, round(avg(x1 - x0) FILTER (n > 1 AND k0 = 1 AND k1 = 1), 6) AS mean, round(median(x1 - x0) FILTER (n > 1 AND k0 = 1 AND k1 = 1), 6) AS median FROM f""", "mean median")
+def _(t, spark):
+    one = _panel(t).change_first_to_last
+    return one.select("variable", "n_entities_with_presence", "n_excluded_single_timepoint", "n_present_both", "n_eligible", "n_excluded_conflict", "n_excluded_missing", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
+@register("panel_issues", _PANEL_SQL + "SELECT 'duplicate_id_time' AS issue_code, NULL::INT AS time_index, count(*) AS n_affected FROM c WHERE rows > 1 HAVING count(*) > 0 UNION ALL SELECT 'conflicting_variable_cell', t::INT, count(*) FROM c WHERE k > 1 GROUP BY t UNION ALL SELECT 'missing_time', NULL, count(*) FROM r WHERE t NOT BETWEEN 1 AND 5 HAVING count(*) > 0")
+def _(t, spark):
+    return _panel(t).issues.select("issue_code", "time_index", "n_affected")
+
+
 @register("panel_change", _PANEL_SQL + ", j AS (SELECT a.t, a.k AS k0, b.k AS k1, b.x - a.x AS d FROM c a JOIN c b ON b.id = a.id AND b.t = a.t + 1), e AS (SELECT t, count(*) AS n, avg(d) AS mean, median(d) AS med, stddev_samp(d) AS sd FROM j WHERE k0 = 1 AND k1 = 1 GROUP BY t) SELECT g.t::INT AS from_time_index, coalesce(z.n, 0) AS n_present_both, coalesce(e.n, 0) AS n_eligible, coalesce(z.co, 0) AS n_excluded_conflict, coalesce(z.mi, 0) AS n_excluded_missing, round(mean, 6) AS mean, round(med, 6) AS median, round(sd, 6) AS sd FROM range(1, 5) g(t) LEFT JOIN (SELECT t, count(*) AS n, count(*) FILTER (k0 > 1 OR k1 > 1) AS co, count(*) FILTER (k0 < 2 AND k1 < 2 AND (k0 = 0 OR k1 = 0)) AS mi FROM j GROUP BY t) z ON z.t = g.t LEFT JOIN e ON e.t = g.t", "mean median sd")
 def _(t, spark):
     return _panel(t).change_adjacent.select("from_time_index", "n_present_both", "n_eligible", "n_excluded_conflict", "n_excluded_missing", *[F.round(c, 6).alias(c) for c in ("mean", "median", "sd")])
@@ -808,6 +844,12 @@ def _(t, spark):
     return made.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
 
 
+@register("population_issues", "WITH k AS (SELECT year(o_orderdate) AS y, o_orderpriority, count(*) AS c FROM orders GROUP BY ALL) SELECT (y - " + str(YEARS[0]) + " + 1)::INT AS period_index, y::VARCHAR AS period_label, 'duplicate_record_key' AS issue_code, 'warning' AS severity, 'o_orderpriority' AS field, sum(c - 1)::BIGINT AS n_affected FROM k GROUP BY y HAVING sum(c - 1) > 0")
+def _(t, spark):
+    found = population_qc(_years(t), "o_custkey", ["o_orderpriority"]).issues
+    return found.select("period_index", "period_label", "issue_code", "severity", "field", "n_affected")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric summaries of line items by return flag, for every group and all together."""
     spec = spec_of(("l_quantity", "numeric"), ("l_extendedprice", "numeric"), ("l_returnflag", "categorical", "A;N;R"))
