@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prepare import prepare, synthetic_data
-from ..operators.profile import ALL, NUMERIC, TEMPORAL, Profile
+from ..operators.profile import NUMERIC, TEMPORAL, Profile
 from ..operators.quality import coordinate_profile, points_in_box
 from ..operators.stratified import categorical_display, profile_stratified, reconcile, table1
 from ..operators.summaries import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TEMPORAL_COLUMNS, TEXT_COLUMNS, identifier_profile, profile_missing, schema_check, variables_component
@@ -43,19 +45,32 @@ def run_eda(data: DataFrame | Source | None, spec: Spec, output_dir: str | None
 
 def _run_eda(df: DataFrame, spec: Spec, output_dir: str | None, strata: str | None, plots: bool, basis: str, overwrite: bool, maps: bool, max_map_points: int, zone: bool) -> dict[str, DataFrame]:
     p = Profile(df, spec, None, zone)
-    # In one go, since all are wanted.
-    p.quartiles((*NUMERIC, *TEMPORAL))
-    out = {
-        "schema": schema_check(df, spec, zone),
-        "missing": profile_missing(df, spec),
-        "geo": coordinate_profile(df, spec),
-        "identifiers": identifier_profile(df, spec),
-        "variables": variables_component(p),
-        "numeric": p.numeric().select(*NUMERIC_COLUMNS),
-        "categorical": p.categorical().select(*CATEGORICAL_COLUMNS),
-        "text": p.text().select(*TEXT_COLUMNS),
-        "temporal": p.temporal().select(*TEMPORAL_COLUMNS),
+    # Independent passes run beside one another; what several components need is there before them.
+    p.cells  # noqa: B018
+    at_once([lambda: p.quartiles((*NUMERIC, *TEMPORAL)), lambda: p.basic, lambda: p.level_counts])
+    makers = {
+        "schema": lambda: schema_check(df, spec, zone),
+        "missing": lambda: profile_missing(df, spec),
+        "geo": lambda: coordinate_profile(df, spec),
+        "identifiers": lambda: identifier_profile(df, spec),
+        "variables": lambda: variables_component(p),
+        "numeric": lambda: p.numeric().select(*NUMERIC_COLUMNS),
+        "categorical": lambda: p.categorical().select(*CATEGORICAL_COLUMNS),
+        "text": lambda: p.text().select(*TEXT_COLUMNS),
+        "temporal": lambda: p.temporal().select(*TEMPORAL_COLUMNS),
     }
+    bins: list = []
+
+    def rows_of(name: str) -> DataFrame:
+        part = makers[name]()
+        # Computed once: tables of the report and what is returned are these rows.
+        return df.sparkSession.createDataFrame(bounded(part, MAX_PUBLISHED, f"the table {name}"), part.schema) if output_dir else part
+
+    tasks = [lambda n=n: (n, rows_of(n)) for n in makers]
+    if output_dir and plots:
+        tasks.append(lambda: bins.extend(p.histogram().collect()))
+    done = dict(x for x in at_once(tasks) if x)
+    out = {n: done[n] for n in makers}
     if strata:
         s = profile_stratified(df, spec, strata, assume_timezone=zone)
         reconcile(s)
@@ -64,11 +79,11 @@ def _run_eda(df: DataFrame, spec: Spec, output_dir: str | None, strata: str | No
     if output_dir:
         with Bundle(output_dir, overwrite) as b:
             for name, part in out.items():
-                # Computed once: tables of the report and what is returned are these rows.
-                out[name] = df.sparkSession.createDataFrame(bounded(part, MAX_PUBLISHED, f"the table {name}"), part.schema)
-                b.table(name, out[name])
+                if name not in makers:
+                    out[name] = part = df.sparkSession.createDataFrame(bounded(part, MAX_PUBLISHED, f"the table {name}"), part.schema)
+                b.table(name, part)
             if plots:
-                for name, svg in profile_plots(p).items():
+                for name, svg in profile_plots(bins, out["numeric"], out["categorical"]).items():
                     b.text(f"plots/{name}.svg", svg)
             if maps:
                 for name, svg in point_maps(df, spec, out["geo"], max_map_points).items():
@@ -77,18 +92,24 @@ def _run_eda(df: DataFrame, spec: Spec, output_dir: str | None, strata: str | No
     return out
 
 
-def profile_plots(p: Profile, top: int = MAX_PLOT_LEVELS) -> dict[str, str]:
+def at_once(tasks: list[Callable[[], object]], most: int = 4) -> list:
+    """The results of independent jobs that the driver starts beside one another: small ones leave executors idle."""
+    with ThreadPoolExecutor(most) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
+def profile_plots(histogram: list, numeric: DataFrame, categorical: DataFrame, top: int = MAX_PLOT_LEVELS) -> dict[str, str]:
     """SVG by file name: histograms, boxes and bars, from bins, quantiles and counts only."""
     out, bins = {}, {}
-    for r in p.histogram().collect():
+    for r in histogram:
         bins.setdefault(r["name"], []).append(r)
     for i, (name, rows) in enumerate(bins.items(), 1):
         out[f"histogram_{i:03d}"] = histogram_svg(name, rows)
-    boxes = p.numeric().select("name", "min", "q1", "median", "q3", "max").collect()
+    boxes = numeric.select("name", "min", "q1", "median", "q3", "max").collect()
     if boxes:
         out["boxes"] = box_svg("Quartiles", boxes)
     levels: dict[str, list] = {}
-    for r in p.categorical().where(F.col("g") == ALL).select("name", "level", "n").collect():
+    for r in categorical.select("name", "level", "n").collect():
         levels.setdefault(r["name"], []).append((r["level"], r["n"]))
     for i, (name, pairs) in enumerate(levels.items(), 1):
         pairs.sort(key=lambda x: (-x[1], x[0].encode()))
