@@ -49,6 +49,8 @@ def longitudinal_drift(periods: Periods, spec: Spec, variables: list[str] | None
     # Written once: the periods are read again by each pass of the profile.
     profile = Profile(rows, Spec(tuple(good)), F.col("`\0p`"), assume_timezone, overall=False, kept=True)
     groups = [str(p) for p in bound]
+    # Too many levels are refused here, not when the categorical part is read.
+    profile.levels(max_levels)
     cells = [(p, periods.labels[p - 1], order[v.name], v.name, v.analysis_type, (p, v.name) in usable) for p in bound for v in spec]
     cell = F.broadcast(spark.createDataFrame(cells, "period_index int, period string, variable_index int, variable string, kind string, usable boolean"))
     state = [F.when(F.col("usable"), "available").otherwise("unavailable").alias("status"), F.when(~F.col("usable"), "the variable can't be read in this period").alias("reason")]

@@ -26,6 +26,8 @@ class Summaries(Parts):
 def profile_summaries(df: DataFrame, spec: Spec, assume_timezone: bool = False, max_levels: int | None = None) -> Summaries:
     """All six components, each computed when it is asked for."""
     p = Profile(df, spec, None, assume_timezone)
+    if max_levels is not None:
+        p.levels(max_levels)
     return Summaries(
         variables=lambda: variables_component(p),
         numeric=lambda: p.numeric().select(*NUMERIC_COLUMNS),
