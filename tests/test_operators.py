@@ -304,6 +304,36 @@ def test_linkage(spark):
         linkage.candidates(linkage.prepare(x, y, dataclasses.replace(LINK, max_candidates=1)))
 
 
+def test_jaro_of_many_pairs():
+    import itertools
+
+    import numpy as np
+
+    from tallyforge.functions.linkage_text import jaro_pairs
+
+    texts = ["", "a", "aab", "martha", "marhta", "dixon", "dicksonx", "é中é", "customer 000000017", "custmer 000000071", "ab" * 31, "ba" * 40]
+    ia, ib = map(np.array, zip(*itertools.product(range(len(texts)), repeat=2)))
+    assert jaro_pairs(texts, texts, ia, ib).tolist() == [jaro(texts[i], texts[j]) for i, j in zip(ia, ib)]
+
+
+def test_linkage_blocks_of_any_size(spark, monkeypatch):
+    """More than ten million pairs of one block are counted without a limit; tiles make each pair once."""
+    many = spark.range(3300).select(F.col("id").cast("string").alias("id"), F.lit("Ana").alias("name"), F.lit(None).cast("date").alias("born"), F.lit(1).alias("age"), F.lit("g").alias("g"))
+    other = many.withColumnsRenamed({"id": "key", "name": "who", "born": "dob"})
+    r = linkage.link(many, other, LINK)
+    assert r.candidates.overall.first().n_candidates == 3300**2
+    monkeypatch.setattr(linkage, "TILE", 4)
+    date = F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("id") % 5).cast("int"))
+    some = spark.range(30).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("Ana "), F.col("id") % 4).alias("name"), date.alias("born"), (F.col("id") % 7).cast("int").alias("age"), (F.col("id") % 2).cast("string").alias("g"))
+    r = linkage.link(some, some.withColumnsRenamed({"id": "key", "name": "who", "born": "dob"}), LINK)
+    ids = {z.i: int(z.id) for z in r.candidates.prepared.x.collect()}
+    want = {(i, j): 1 if a % 2 == b % 2 else 2 for i, a in ids.items() for j, b in ids.items() if a % 2 == b % 2 or a % 5 == b % 5}
+    got = [(p.x_index, p.y_index) for p in r.candidates.pairs.collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+    assert [p.n_new_candidates for p in r.candidates.passes.orderBy("pass").collect()] == [list(want.values()).count(n) for n in (1, 2)]
+    assert sorted(r.decisions.collect()) == sorted(linkage.classify(LINK, r.scores).collect()) and r.evidence.count() == 3 * len(want)
+
+
 def test_universe_and_aliases(spark):
     a = spark.createDataFrame([("1",), ("2",), ("2",), (None,), (" ",)], "i string")
     b = spark.createDataFrame([("2",), ("3x",)], "i string")
