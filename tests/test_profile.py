@@ -164,3 +164,10 @@ def test_histogram_edges(spark):
     assert len(rows) == 90 and by["c", 15]["count"] == 3 and (by["c", 1].lower, by["c", 30].upper) == (4.5, 5.5)
     assert by["r", 1]["count"] == 1 and by["r", 30]["count"] == 1 and by["r", 16]["count"] == 1
     assert (by["e", 1].lower, by["e", 30].upper, by["e", 7]["count"]) == (0, 1, 0)
+
+
+def test_histogram_edges_are_those_shown(spark):
+    """0.3 is below 3 * 0.1, where the fourth of 30 bins from 0 to 3 begins."""
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.3, 1.4, 3.0)], "x double")
+    bins = {r.bin: r for r in Profile(df, spec(("x", "numeric", "numeric", "v", "", ""))).histogram().collect()}
+    assert [b for b, r in sorted(bins.items()) if r["count"]] == [1, 3, 14, 30] and bins[3].lower <= 0.3 < bins[4].lower
