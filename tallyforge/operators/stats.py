@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..contract import BLANKS, number_form, quoted, safe_div, text_form
 from ..functions.pvalues import chi_square, correlation_p, fisher_2x2
-from ..storage import bounded
+from ..storage import bounded, materialised, small_join
 from .clean import distinct_up_to, is_date, is_numeric, is_text
 from .profile import numeric_statistics
 from .quantiles import quantiles
@@ -225,6 +225,8 @@ def correlations(df: DataFrame, columns: list[str], method: str = "spearman") ->
 
     Spearman's needs ranks among the rows of each pair.  They come from the pair's value
     counts: a value's mean rank is the number of smaller ones plus half its own and a half.
+    A column with itself is counted only; of two columns the one with fewer values comes
+    second, so that its ranks are mostly few enough to be broadcast.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("the method is spearman or pearson")
@@ -236,25 +238,28 @@ def correlations(df: DataFrame, columns: list[str], method: str = "spearman") ->
         got = df.agg(*[F.corr(F.when(both(a, b), good(a)), F.when(both(a, b), good(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(both(a, b).cast("long")).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]).first()
         rows = [(a, b, got[f"r{i}"], got[f"n{i}"]) for i, (a, b) in enumerate(pairs)]
     else:
-        wide = df.select(F.explode(F.array(*[F.when(ok(a) & ok(b), F.struct(F.lit(i).alias("k"), good(a).alias("a"), good(b).alias("b"))) for i, (a, b) in enumerate(pairs)])).alias("e")).where("e is not null").select("e.*")
-        from ..storage import materialised
-
+        known = df.agg(*[F.sum(ok(c).cast("long")).alias(f"n{j}") for j, c in enumerate(columns)], *[F.approx_count_distinct(F.when(ok(c), good(c))).alias(f"d{j}") for j, c in enumerate(columns)]).first()
+        rows_of, values_of = ({c: known[f"{p}{j}"] or 0 for j, c in enumerate(columns)} for p in "nd")
+        crossed = [(i, *sorted((a, b), key=lambda c: -values_of[c])) for i, (a, b) in enumerate(pairs) if a != b]
+        items = [F.when(ok(a) & ok(b), F.struct(F.lit(i).alias("k"), good(a).alias("a"), good(b).alias("b"))) for i, a, b in crossed] or [F.lit(None).cast("struct<k:int,a:double,b:double>")]
+        wide = df.select(F.explode(F.array(*items)).alias("e")).where("e is not null").select("e.*")
         joint = materialised(wide.groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("c")), "rank-pairs")
 
-        def ranks(side: str) -> DataFrame:
+        def ranks(side: str) -> tuple[DataFrame, int]:
             # Ranges of values, their sizes, and a running sum within each: no task has all values of a pair.
             by = joint.groupBy("k", side).agg(F.sum("c").alias("m"))
             ranged = materialised(by.repartitionByRange("k", side).withColumn("_p", F.spark_partition_id()), "rank-ranges")
             before = ranged.groupBy("k", "_p").agg(F.sum("m").alias("t")).withColumn("before", F.sum("t").over(Window.partitionBy("k").orderBy("_p")) - F.col("t"))
             upto = F.sum("m").over(Window.partitionBy("k", "_p").orderBy(side))
-            return ranged.join(F.broadcast(before.drop("t")), ["k", "_p"]).select("k", side, (F.col("before") + upto - (F.col("m") - 1) / 2).alias(f"r_{side}"))
+            return ranged.join(F.broadcast(before.drop("t")), ["k", "_p"]).select("k", side, (F.col("before") + upto - (F.col("m") - 1) / 2).alias(f"r_{side}")), ranged.count()
 
-        ranked = joint.join(ranks("a"), ["k", "a"]).join(ranks("b"), ["k", "b"])
+        (left, n_left), (right, n_right) = ranks("a"), ranks("b")
+        ranked = small_join(small_join(joint, right, ["k", "b"], "inner", n_right), left, ["k", "a"], "inner", n_left)
         x, y, c = F.col("r_a"), F.col("r_b"), F.col("c")
         sums = ranked.groupBy("k").agg(F.sum("c").alias("n"), *[F.sum(e * c).alias(s) for e, s in ((x, "x"), (y, "y"), (x * x, "xx"), (y * y, "yy"), (x * y, "xy"))])
         r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt((F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n")))
         by_k = {z["k"]: (z["r"], z["n"]) for z in sums.select("k", "n", F.when((F.col("xx") > F.col("x") * F.col("x") / F.col("n")) & (F.col("yy") > F.col("y") * F.col("y") / F.col("n")), r).alias("r")).collect()}
-        rows = [(a, b, *by_k.get(i, (None, 0))) for i, (a, b) in enumerate(pairs)]
+        rows = [(a, b, *(by_k.get(i, (None, 0)) if a != b else (None, rows_of[a]))) for i, (a, b) in enumerate(pairs)]
     full = [(a, b, 1.0 if a == b and n else r, n, None if a == b else correlation_p(r, n)) for a, b, r, n in rows]
     full += [(b, a, r, n, p) for a, b, r, n, p in full if a != b]
     return df.sparkSession.createDataFrame(full, "var1 string, var2 string, r double, n long, p double")

@@ -97,6 +97,20 @@ def test_spearman_against_ranks(spark):
     assert got["a", "b"][1] == ok.sum() and math.isclose(got["a", "b"][0], np.corrcoef(rank(a[ok]), rank(b[ok]))[0, 1], rel_tol=1e-9)
 
 
+def test_spearman_ranks_no_column_with_itself(spark, monkeypatch):
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = storage.materialised(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(stats, "materialised", kept, raising=False)
+    df = spark.createDataFrame([(float(i % 2), float(i), 1.0) for i in range(8)], "a double, b double, c double")
+    got = {(r.var1, r.var2): (r.r, r.n) for r in stats.correlations(df, ["a", "b", "c"]).collect()}
+    assert {(r.k, r.n) for r in tables["rank-pairs"].groupBy("k").agg(F.count("a").alias("n")).collect()} == {(1, 8), (2, 2), (4, 8)}
+    assert got["a", "a"] == got["c", "c"] == (1.0, 8) and got["a", "c"] == (None, 8) and len(got) == 9
+
+
 def test_distinct_and_frequencies(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1), ("a", 1), (None, 1), ("c", 1)], "x string, y int")
     assert clean.distinct_up_to(df, ["x", "y"], 3) == {"x": 3, "y": 1}
